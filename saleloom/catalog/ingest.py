@@ -141,10 +141,10 @@ def standardise_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("B4", """SELECT count(*) AS rows_before,
-count(*) FILTER ("State" = 'Unknown') AS unknown_state,
-count(*) FILTER ("Vehicle_Class" IS NULL) AS unknown_category,
-count(*) FILTER ("State" <> 'Unknown' AND "Vehicle_Class" IS NOT NULL) AS rows_after,
-count(*) FILTER (NOT ("State" <> 'Unknown' AND "Vehicle_Class" IS NOT NULL)) AS removed
+count(*) FILTER (WHERE "State" = 'Unknown') AS unknown_state,
+count(*) FILTER (WHERE "Vehicle_Class" IS NULL) AS unknown_category,
+count(*) FILTER (WHERE "State" <> 'Unknown' AND "Vehicle_Class" IS NOT NULL) AS rows_after,
+count(*) FILTER (WHERE NOT ("State" <> 'Unknown' AND "Vehicle_Class" IS NOT NULL)) AS removed
 FROM raw_sales""")
 def unknown_rows_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.removal_report(inputs.raw_sales(spark, sf_dir), "Vehicle_Class")

@@ -120,6 +120,7 @@ def wide_sheets(spark: SparkSession, sf_dir: str, months: int = 12,
     cell = F.when(amount == 0, "-").otherwise(text)
     wide = (monthly(spark, sf_dir).filter(year).groupBy(STATE, CATEGORY)
             .agg(*[F.max(F.when(month == m, cell)).alias(f"m{m}") for m in range(1, months + 1)]))
+    wide = cut_lineage(wide)  # four branches read it
     classes = list(CLASS_OF_CATEGORY)
     serial, label = F.lit(None).cast("int"), F.lit(None).cast("string")
     for i, cat in enumerate(classes, 1):
