@@ -9,6 +9,16 @@ from saleloom.functions.rules import STANDARD_CATEGORIES
 from saleloom.schema import CATEGORY, DATE, QTY, SERIES, STATE
 
 
+def place_by_series(df: DataFrame, series: list[str] = SERIES) -> DataFrame:
+    """Hash placement by series for the windows that follow.
+
+    The number of partitions is named, because adaptive execution would size them
+    by bytes and windows cost far more than their bytes.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *series)
+
+
 def dense_calendar(panel: DataFrame, categories: list[str] = STANDARD_CATEGORIES) -> DataFrame:
     """Every day x state x category between the first and last date, absent = 0.
 
@@ -25,7 +35,7 @@ def dense_calendar(panel: DataFrame, categories: list[str] = STANDARD_CATEGORIES
                      F.explode(F.sequence(span.getField("a"), span.getField("b"))).alias(DATE),
                      F.lit(0).cast("long").alias(QTY)))
     facts = panel.select(STATE, CATEGORY, DATE, QTY)
-    return (zeros.unionByName(facts).repartition(*SERIES)
+    return (place_by_series(zeros.unionByName(facts))
             .groupBy(STATE, CATEGORY, DATE).agg(F.sum(QTY).alias(QTY))
             .select(DATE, STATE, CATEGORY, QTY))
 

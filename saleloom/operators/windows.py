@@ -16,7 +16,7 @@ from pyspark.sql.window import WindowSpec
 
 from saleloom.functions import calendar
 from saleloom.operators import group_stats
-from saleloom.operators.densify import mark_holidays
+from saleloom.operators.densify import mark_holidays, place_by_series
 from saleloom.schema import CATEGORY, DATE, QTY, SERIES, STATE
 
 CHUNK = 256  # rows per EWMA block: 0.5 ** -256 is still far from overflow
@@ -50,10 +50,14 @@ def rolling(windows: list[int], stats: list[str], mode: str, series: list[str] =
 
 
 def middle(sorted_array: Column) -> Column:
-    """Median of a sorted, non-empty array."""
+    """Median of a sorted array, null when it is empty.
+
+    ``get`` answers null outside the array; a ``when`` around it would keep Spark
+    from sharing the sort between both halves.
+    """
     n = F.size(sorted_array)
-    low = F.element_at(sorted_array, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(sorted_array, F.floor((n + 2) / 2).cast("int"))
+    low = F.get(sorted_array, F.floor((n - 1) / 2).cast("int"))
+    high = F.get(sorted_array, F.floor(n / 2).cast("int"))
     return (low + high) / 2
 
 
@@ -66,8 +70,8 @@ def rolling_medians(df: DataFrame, windows: list[int], series: list[str] = SERIE
                     name: str = "rolling_median_{n}", mode: str = "inclusive") -> DataFrame:
     """Rolling medians; one array of the widest window serves all widths."""
     recent = F.collect_list(QTY).over(frame(series_window(series), max(windows), mode))
-    medians = [F.when(F.size("_recent") > 0, middle(F.sort_array(tail(F.col("_recent"), n))))
-               .alias(name.format(n=n)) for n in windows]
+    medians = [middle(F.sort_array(tail(F.col("_recent"), n))).alias(name.format(n=n))
+               for n in windows]
     return df.withColumn("_recent", recent).select("*", *medians).drop("_recent")
 
 
@@ -187,7 +191,9 @@ def daily_features(panel: DataFrame, spec: DailySpec = DailySpec(),
     computed from earlier rows, and the ratios use the previous day's quantity.
     """
     windows = list(spec.windows)
-    df = add_group_means(panel, spec.means_until) if spec.group_means else panel
+    df = panel
+    if spec.group_means:
+        df = place_by_series(add_group_means(df, spec.means_until))
     df = mark_holidays(df, holidays) if holidays is not None else df
     emas = ewma if spec.mode == "inclusive" else shifted_ewma
     df = emas(df, windows, name="ema_{n}")
