@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleloom.operators.group_stats import lookup_or_default
-from saleloom.operators.position import with_position
+from saleloom.operators.position import group_quantiles, with_position
 from saleloom.schema import QTY, STATE
 
 UNSEEN = -1
@@ -67,11 +67,13 @@ def zscore_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
     """(pos, feature, center, scale): exact median and interquartile range (1 where 0)."""
-    def fit(c: str) -> Column:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        width = q[2] - q[0]
-        return F.struct(q[1].alias("center"), F.when(width == 0, 1.0).otherwise(width).alias("scale"))
-    return _stacked(df, columns, fit)
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], columns, "feature", "value")
+    q = group_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
+    width = F.col("q2") - F.col("q0")
+    order = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("feature")) - 1
+    return q.select(order.cast("int").alias("pos"), "feature", F.col("q1").alias("center"),
+                    F.when(width == 0, 1.0).otherwise(width).alias("scale"))
 
 
 def minmax_parameters(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +55,28 @@ def positional_split(df: DataFrame, group: list[str], order: list[str],
     return (attach(placed, sizes, group)
             .withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("test"))
             .drop("_pos", "_n"))
+
+
+def group_quantiles(df: DataFrame, group: list[str], value: str,
+                    shares: list[float]) -> DataFrame:
+    """Exact interpolated quantiles per group as columns ``q0``, ``q1``, ...
+
+    Read off a range-partitioned sort by position, so no task holds a whole group
+    or its set of distinct values. Nulls are left out.
+    """
+    rows = df.select(*group, value).dropna(subset=[value])
+    placed = with_position(rows, [value], "_pos", group)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    placed = attach(placed, sizes, group)
+    at = {i: (F.col("_n") - 1) * F.lit(p) for i, p in enumerate(shares)}
+    low = {i: F.floor(x) + 1 for i, x in at.items()}
+    pick = {i: F.col("_pos").isin(low[i], F.least(low[i] + 1, F.col("_n"))) for i in at}
+    wanted = placed.filter(reduce(lambda a, b: a | b, pick.values()))
+
+    def value_at(i: int):
+        below = F.max(F.when(F.col("_pos") == low[i], F.col(value)))
+        above = F.max(F.when(F.col("_pos") == F.least(low[i] + 1, F.col("_n")), F.col(value)))
+        part = F.max(at[i] - F.floor(at[i]))
+        return (below + (above - below) * part).cast("double").alias(f"q{i}")
+
+    return wanted.groupBy(*group).agg(*[value_at(i) for i in at])

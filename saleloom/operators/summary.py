@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from saleloom.functions import scores
 from saleloom.operators.group_stats import attach
+from saleloom.operators.position import group_quantiles
 from saleloom.schema import CATEGORY, DATE, PRED, QTY, SERIES, STATE
 
 
@@ -205,10 +206,9 @@ def interval_coverage(df: DataFrame, history: DataFrame, low: float = 0.05,
                       high: float = 0.95) -> DataFrame:
     """Share of actuals inside prediction + residual quantiles of ``history``."""
     residual = F.col(QTY) - F.col(PRED)
-    counts = history.groupBy(CATEGORY, residual.alias("_res")).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counts.groupBy(CATEGORY).agg(
-        F.percentile("_res", F.array(F.lit(low), F.lit(high)), F.col("_n")).alias("_q"))
-    inside = (residual >= F.col("_q")[0]) & (residual <= F.col("_q")[1])
+    bounds = group_quantiles(history.select(CATEGORY, residual.alias("_res")), [CATEGORY],
+                             "_res", [low, high])
+    inside = residual.between(F.col("q0"), F.col("q1"))
     return (attach(df, bounds, [CATEGORY]).groupBy(CATEGORY)
             .agg(F.count(F.lit(1)).alias("records"), F.avg(inside.cast("int")).alias("coverage")))
 

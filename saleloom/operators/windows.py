@@ -276,8 +276,8 @@ def specialised_monthly_features(monthly: DataFrame, mode: str = "inclusive",
     d = F.col(DATE)
     w = series_window(series)
     seen = w.rowsBetween(Window.unboundedPreceding, 0 if mode == "inclusive" else -1)
-    df = monthly.select(
-        "*", F.month(d).alias("month_no"), F.year(d).alias("year_no"), F.quarter(d).alias("quarter"),
+    df = monthly.drop("Year", "Month").select(
+        "*", F.month(d).alias("month"), F.year(d).alias("year"), F.quarter(d).alias("quarter"),
         *lags(MONTHLY_LAGS, "lag_month_", series),
         *rolling(MONTHLY_WINDOWS, ["mean", "std", "max"], mode, series, "roll_{stat}_{n}m"),
         F.avg(QTY).over(seen).alias("state_avg"))

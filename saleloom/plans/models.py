@@ -1,9 +1,60 @@
-"""placeholder"""
-from pyspark.sql import DataFrame
+"""Training, storing and scoring one model per category with Spark ML trees.
+
+Trees stand in for the reference's boosting library; what carries over is the
+protocol: leak-safe features, date splits, a grid on validation error, a refit on
+all rows. The driver holds model metadata only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
 from saleloom.functions import calendar
-from saleloom.operators import windows
-from saleloom.schema import DATE, SERIES
+from saleloom.operators import encode, summary, windows
+from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, STATE
+
+MIN_ROWS = 50
+THREADS = 4
+
+# ---- fixed values: feature lists ---------------------------------------------------
+HURDLE_FEATURES = [
+    "year", "month", "day", "quarter", "day_of_week", "week_of_year", "is_weekend", "State_code",
+    "lag_1_day", "lag_7_days", "rolling_mean_7_days", "rolling_std_7_days",
+    "rolling_mean_30_days", "month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos"]
+HYBRID_FEATURES = (
+    ["Month", "Quarter", "Month_Sin", "Month_Cos"]
+    + [f"Lag_{k}" for k in windows.MONTHLY_LAGS]
+    + [f"Roll_{s}_{n}" for n in windows.MONTHLY_WINDOWS for s in ("Mean", "Std")]
+    + [f"EWMA_{n}" for n in windows.MONTHLY_SPANS] + ["State_code"])
+SPECIALISED_FEATURES = (
+    ["month", "year", "quarter"] + [f"lag_month_{k}" for k in windows.MONTHLY_LAGS]
+    + [f"roll_{s}_{n}m" for n in windows.MONTHLY_WINDOWS for s in ("mean", "std", "max")]
+    + ["momentum", "state_avg", "state_encoded"])
+BENCHMARK_FEATURES = ["month", "year", "lag_1", "lag_3", "rolling_mean_3"]
+
+# ---- fixed values: model settings ---------------------------------------------------
+HURDLE_CLASSIFIER = {"maxIter": 50, "seed": 42}
+MONTHLY_SETTINGS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
+                    "seed": 42}
+THREE_WHEELER_SETTINGS = {"lossType": "squared", "maxIter": 200, "stepSize": 0.03, "maxDepth": 5,
+                          "subsamplingRate": 0.8, "seed": 42}
+BUS_SETTINGS = {"lossType": "absolute", "maxIter": 200, "stepSize": 0.03, "maxDepth": 5,
+                "minInstancesPerNode": 15, "seed": 42}
+INCREMENTAL_SETTINGS = {"stepSize": 0.01, "maxIter": 100, "seed": 42}
+BENCHMARK_SETTINGS = {"maxIter": 50, "stepSize": 0.05, "maxDepth": 3, "seed": 42}
+
+
+# ---- features -----------------------------------------------------------------------
 
 
 def hurdle_features(panel: DataFrame) -> DataFrame:
@@ -14,3 +65,264 @@ def hurdle_features(panel: DataFrame) -> DataFrame:
         *[c.alias(n) for c, n in zip(windows.lags([1, 7]), ["lag_1_day", "lag_7_days"])],
         *windows.rolling([7], ["mean", "std"], "shifted", name="rolling_{stat}_{n}_days"),
         *windows.rolling([30], ["mean"], "shifted", name="rolling_{stat}_{n}_days")).fillna(0)
+
+
+def benchmark_features(monthly: DataFrame, series: list[str]) -> DataFrame:
+    """Five features of a monthly series; rows without a full history go."""
+    d = F.col(DATE)
+    return (monthly.drop("Year", "Month")
+            .select("*", F.month(d).alias("month"), F.year(d).alias("year"),
+                    *windows.lags([1, 3], series=series),
+                    windows.full_window_mean(3, series=series).alias("rolling_mean_3")).dropna())
+
+
+def last_rows_split(df: DataFrame, n: int, series: list[str]) -> DataFrame:
+    """Mark the newest n rows of each series as test."""
+    newest = F.row_number().over(windows.series_window(series).orderBy(F.col(DATE).desc()))
+    return df.withColumn("is_test", newest <= n)
+
+
+def trainable_categories(train: DataFrame, minimum: int = MIN_ROWS) -> DataFrame:
+    """Rows per category and whether they suffice for a model."""
+    return (train.groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("records"))
+            .withColumn("trainable", F.col("records") >= minimum))
+
+
+def categories_with_enough(train: DataFrame, minimum: int = MIN_ROWS) -> list[str]:
+    """Names of the categories to train; one short row each, so they fit the driver."""
+    rows = trainable_categories(train, minimum).filter("trainable").select(CATEGORY).collect()
+    return sorted(r[0] for r in rows)
+
+
+# ---- fitting ------------------------------------------------------------------------
+
+
+def fit_regressor(train: DataFrame, features: list[str], label: str = QTY, scale: bool = False,
+                  validation: str | None = None, **settings) -> PipelineModel:
+    """Assembler, optional robust scaler, boosted trees.
+
+    ``validation`` names a boolean column; its rows stop the boosting early.
+    """
+    stages = [VectorAssembler(inputCols=features, outputCol="raw_features")]
+    if scale:
+        stages.append(RobustScaler(inputCol="raw_features", outputCol="features",
+                                   withCentering=True, withScaling=True))
+    source = "features" if scale else "raw_features"
+    trees = GBTRegressor(featuresCol=source, labelCol=label, predictionCol="prediction", **settings)
+    if validation:
+        trees.setValidationIndicatorCol(validation)
+    return Pipeline(stages=[*stages, trees]).fit(train)
+
+
+def fit_classifier(train: DataFrame, features: list[str], label: str,
+                   validation: str | None = None, **settings) -> PipelineModel:
+    trees = GBTClassifier(featuresCol="class_features", labelCol=label,
+                          predictionCol="sells", rawPredictionCol="sells_raw",
+                          probabilityCol="sells_probability", **settings)
+    if validation:
+        trees.setValidationIndicatorCol(validation)
+    assemble = VectorAssembler(inputCols=features, outputCol="class_features")
+    return Pipeline(stages=[assemble, trees]).fit(train)
+
+
+def fit_each(names: Iterable[str], fit: Callable[[str], object], threads: int = THREADS) -> dict:
+    """Fit several models at once; each fit is its own chain of Spark jobs."""
+    names = list(names)
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(zip(names, pool.map(fit, names)))
+
+
+def grid_search(train: DataFrame, valid: DataFrame, features: list[str], grid: list[dict],
+                label: str = QTY, scale: bool = False, threads: int = THREADS,
+                **settings) -> tuple[dict, list[tuple[dict, float]]]:
+    """Settings with the smallest validation MAE, and the error of every setting."""
+    def error(setting: dict) -> float:
+        model = fit_regressor(train, features, label, scale, **{**settings, **setting})
+        scored = model.transform(valid)
+        return scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+
+    with ThreadPoolExecutor(threads) as pool:
+        errors = list(pool.map(error, grid))
+    trials = list(zip(grid, errors))
+    return min(trials, key=lambda t: t[1])[0], trials
+
+
+@dataclass
+class ModelSet:
+    """Fitted models by category with the features they expect."""
+
+    features: list[str]
+    models: dict[str, PipelineModel] = field(default_factory=dict)
+
+    def save(self, folder: str) -> None:
+        for category, model in self.models.items():
+            model.write().overwrite().save(f"{folder}/{category}")
+
+    @staticmethod
+    def load(folder: str, features: list[str], categories: list[str]) -> ModelSet:
+        return ModelSet(features, {c: PipelineModel.load(f"{folder}/{c}") for c in categories})
+
+    def registry(self, spark: SparkSession) -> DataFrame:
+        """One row per fitted model, bounded by the models the driver holds."""
+        return spark.createDataFrame([(c,) for c in sorted(self.models)], f"{CATEGORY} string")
+
+    def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """Score each category with its own model; rows without a model are left out."""
+        aligned = encode.align_features(df, self.features, _distinct(keep, self.features))
+        parts = [model.transform(aligned.filter(F.col(CATEGORY) == c))
+                 .select(*keep, F.greatest("prediction", F.lit(0.0)).alias(PRED))
+                 for c, model in self.models.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    def skipped(self, df: DataFrame) -> DataFrame:
+        """Categories of ``df`` that have no model, with their rows."""
+        known = F.broadcast(self.registry(df.sparkSession))
+        return df.join(known, CATEGORY, "left_anti").groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _distinct(keep: list[str], features: list[str]) -> list[str]:
+    lowered = {f.lower() for f in features}
+    return [c for c in keep if c.lower() not in lowered]
+
+
+def train_per_category(train: DataFrame, features: list[str], settings: dict | Callable[[str], dict],
+                       scale: bool = False, minimum: int = MIN_ROWS) -> ModelSet:
+    """One regressor per category with enough rows."""
+    train = train.persist()
+    try:
+        def fit(category: str) -> PipelineModel:
+            chosen = settings(category) if callable(settings) else settings
+            return fit_regressor(train.filter(F.col(CATEGORY) == category), features, scale=scale,
+                                 **chosen)
+        return ModelSet(features, fit_each(categories_with_enough(train, minimum), fit))
+    finally:
+        train.unpersist()
+
+
+# ---- protocols -----------------------------------------------------------------------
+
+
+@dataclass
+class Hurdle:
+    """Whether a day sells, and how much when it does."""
+
+    classifier: PipelineModel
+    regressor: PipelineModel | None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``Predicted_Sales`` is 0 where the classifier says no sale."""
+        flagged = self.classifier.transform(df)
+        if self.regressor is None:
+            return flagged.withColumn(PRED, F.lit(0.0))
+        sized = self.regressor.transform(flagged)
+        size = F.greatest(F.expm1("prediction"), F.lit(0.0))
+        return sized.withColumn(PRED, F.when(F.col("sells") == 1, size).otherwise(0.0))
+
+
+def fit_hurdle(train: DataFrame, features: list[str], validation: str | None = None,
+               classifier: dict = HURDLE_CLASSIFIER, regressor: dict = BUS_SETTINGS) -> Hurdle:
+    """Classifier on all rows, regressor on log1p of the rows that sold.
+
+    A day type that always or never sells needs no classifier split; Spark handles it
+    as a single-leaf tree.
+    """
+    labelled = (train.withColumn("sold", (F.col(QTY) > 0).cast("double"))
+                .withColumn("log_quantity", F.log1p(QTY))).persist()
+    try:
+        first = fit_classifier(labelled, features, "sold", validation, **classifier)
+        positive = labelled.filter("sold = 1")
+        second = None if positive.isEmpty() else fit_regressor(
+            positive, features, "log_quantity", validation=validation, **regressor)
+        return Hurdle(first, second)
+    finally:
+        labelled.unpersist()
+
+
+def train_monthly(monthly_features: DataFrame, valid_from: str, grid: list[dict],
+                  features: list[str] = HYBRID_FEATURES, settings: dict = MONTHLY_SETTINGS,
+                  minimum: int = MIN_ROWS) -> tuple[ModelSet, list[tuple]]:
+    """Per category: grid on rows before ``valid_from``, refit on all rows.
+
+    Returns the refitted models and (category, setting, validation MAE) of all trials.
+    """
+    rows = monthly_features.persist()
+    cut = F.lit(valid_from).cast("date")
+    try:
+        def fit(category: str):
+            mine = rows.filter(F.col(CATEGORY) == category)
+            best, trials = grid_search(mine.filter(F.col(DATE) < cut), mine.filter(F.col(DATE) >= cut),
+                                       features, grid, scale=True, threads=1, **settings)
+            model = fit_regressor(mine, features, scale=True, **{**settings, **best})
+            return model, [(category, str(s), e) for s, e in trials]
+
+        fitted = fit_each(categories_with_enough(rows, minimum), fit)
+        models = ModelSet(features, {c: m for c, (m, _) in fitted.items()})
+        return models, [t for _, trials in fitted.values() for t in trials]
+    finally:
+        rows.unpersist()
+
+
+def specialised_settings(category: str) -> dict:
+    """Absolute loss for buses, squared for the others."""
+    return BUS_SETTINGS if category == "Bus" else THREE_WHEELER_SETTINGS
+
+
+def incremental_update(old: PipelineModel, new_rows: DataFrame, features: list[str], stamp: str,
+                       settings: dict = INCREMENTAL_SETTINGS
+                       ) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Fit a second model on new rows and average it with the old one.
+
+    80 % of the new rows train (hash of the key), the rest validates and stops the
+    boosting. Returns the new model, scored validation rows (columns original, updated,
+    ensemble) and one history row.
+    """
+    parted = summary.hashed_split(new_rows, PANEL_KEY).withColumn(
+        "is_valid", F.col("part") == "test").persist()
+    try:
+        new = fit_regressor(parted, features, validation="is_valid", **settings)
+        scored = old.transform(parted).withColumnRenamed("prediction", "original")
+        scored = new.transform(scored.drop("raw_features", "features")) \
+            .withColumnRenamed("prediction", "updated")
+        scored = scored.select(*PANEL_KEY, QTY, "part", "original", "updated",
+                               ((F.col("original") + F.col("updated")) / 2).alias("ensemble"))
+        train, valid = F.col("part") == "train", F.col("part") == "test"
+
+        def gap(column: str, rows) -> list:
+            y, p = F.when(rows, F.col(QTY).cast("double")), F.when(rows, F.col(column))
+            return [F.avg(F.abs(y - p)),
+                    1 - F.sum((y - p) * (y - p)) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))]
+
+        figures = {"train": ("updated", train), "val": ("updated", valid), "ensemble": ("ensemble", valid)}
+        columns = [c.alias(f"{name}_{m}") for name, (col, rows) in figures.items()
+                   for c, m in zip(gap(col, rows), ("mae", "r2"))]
+        history = scored.agg(F.lit(stamp).alias("timestamp"), F.count(F.lit(1)).alias("new_records"),
+                             *columns, F.lit(float(settings["stepSize"])).alias("learning_rate"),
+                             F.lit(settings["maxIter"]).alias("n_estimators"))
+        return new, scored.filter(valid), history
+    finally:
+        parted.unpersist()
+
+
+def compare_predictions(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Metrics of several prediction columns of the same rows, one row per column."""
+    long = df.select(*keys, QTY, *columns).unpivot([*keys, QTY], columns, "model", PRED)
+    return summary.metrics(long, [*keys, "model"])
+
+
+def importance_table(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+    """(feature, importance, temporal) of a fitted tree model: one row per feature."""
+    weights = model.stages[-1].featureImportances.toArray()
+    table = spark.createDataFrame(list(zip(features, map(float, weights))),
+                                  "feature string, importance double")
+    temporal = F.lower("feature").rlike("lag_|roll|ema_|ewma|seasonal_|trend_|volatility_")
+    return table.withColumn("temporal", temporal)
+
+
+def route_categories(df: DataFrame, families: dict[str, str], default: str = "daily") -> DataFrame:
+    """Model family per row: the registry is a short literal map."""
+    table = F.create_map(*[F.lit(x) for pair in families.items() for x in pair])
+    return df.withColumn("family", F.coalesce(F.try_element_at(table, F.col(CATEGORY)), F.lit(default)))
+
+
+def with_state_codes(df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    return encode.apply_codes(df, encode.code_table(df, STATE) if codes is None else codes, STATE)
