@@ -1 +1,283 @@
-"""Placeholder."""
+"""Queries that train and apply models. No SQL can train trees, so most are checked by
+rows here and by invariants in the tests; each shows its error next to a plain mean."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from saleloom.catalog import inputs
+from saleloom.catalog.base import query, rounded
+from saleloom.operators import allocate, clean, encode, merge, summary, windows
+from saleloom.plans import models, ondemand, recursive
+from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, SERIES, STATE
+from saleloom.session import cut_lineage, new_folder
+
+VALID_FROM = inputs.TRAIN_BEFORE
+NEXT_DAY, NEXT_MONTH = "2001-08-02", "2001-08-01"
+
+# small settings for the registered runs; the library's own are in plans/models.py
+QUICK = {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3, "seed": 42}
+GRID = [{"maxDepth": 3, "minInstancesPerNode": 5}, {"maxDepth": 4, "minInstancesPerNode": 20}]
+SMALL_SPEC = windows.DailySpec(mode="shifted", lag_steps=(1, 7, 14, 30), windows=(7, 30), medians=False,
+                               means_until=inputs.TEST_FROM)
+
+
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(inputs.full_months(spark, sf_dir))
+
+
+def _hybrid(months: DataFrame) -> DataFrame:
+    return models.with_state_codes(windows.hybrid_monthly_features(months))
+
+
+def _specialised(months: DataFrame) -> DataFrame:
+    """Leak-safe set; the target mean of the state comes from training rows."""
+    df = windows.specialised_monthly_features(months, mode="shifted")
+    return encode.target_encode(df, clean.between_dates(months, before=VALID_FROM), SERIES)
+
+
+def _before(df: DataFrame) -> DataFrame:
+    return clean.between_dates(df, before=inputs.TEST_FROM)
+
+
+def _after(df: DataFrame) -> DataFrame:
+    return clean.between_dates(df, start=inputs.TEST_FROM)
+
+
+def _against_mean(scored: DataFrame, history: DataFrame) -> DataFrame:
+    """Hold-out MAE and R2 by category, next to the MAE of the series mean."""
+    plain = summary.mean_predictor(scored.withColumnRenamed(PRED, "model"), history)
+    gap = F.col(QTY) - F.col(PRED)
+    table = plain.groupBy(CATEGORY).agg(F.avg(F.abs(gap)).alias("mean_mae"))
+    return rounded(summary.metrics(scored, [CATEGORY]).select(CATEGORY, "records", "mae", "r2")
+                   .join(table, CATEGORY))
+
+
+def _daily_rows(dense: DataFrame) -> DataFrame:
+    df = windows.daily_features(dense, SMALL_SPEC)
+    return clean.zero_for_null_numbers(df)
+
+
+@query("J1,A10,K7")
+def hurdle_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifier and regressor per category, stopped early on the validation dates."""
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    rows = cut_lineage(models.with_state_codes(models.hurdle_features(dense)))
+    train = _before(rows).withColumn("is_valid", F.col(DATE) >= F.lit(VALID_FROM).cast("date"))
+    small = {k: v for k, v in QUICK.items() if k != "stepSize"} | {"maxIter": 4}
+
+    def fit(category: str) -> models.Hurdle:
+        return models.fit_hurdle(train.filter(F.col(CATEGORY) == category), models.HURDLE_FEATURES,
+                                 "is_valid", small, {**QUICK, "maxIter": 4, "lossType": "absolute"})
+
+    fitted = models.fit_each(models.categories_with_enough(train), fit)
+    test = _after(rows)
+    scored = merge.union_all(*[
+        h.score(test.filter(F.col(CATEGORY) == c)).select(*PANEL_KEY, QTY, PRED)
+        for c, h in fitted.items()])
+    return _against_mean(cut_lineage(scored), _before(dense))
+
+
+@query("J2,J5,H6,J4")
+def monthly_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid monthly models: grid on 2000-06..12, refit on all rows before 2001."""
+    months = _months(spark, sf_dir)
+    rows = cut_lineage(_hybrid(months))
+    fitted, _ = models.train_monthly(_before(rows), VALID_FROM, GRID, settings=QUICK)
+    scored = fitted.score(_after(rows), [*PANEL_KEY, QTY])
+    return _against_mean(cut_lineage(scored), _before(months))
+
+
+@query("J5")
+def grid_search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation error of every setting tried for every category."""
+    rows = cut_lineage(_hybrid(_months(spark, sf_dir)))
+    _, trials = models.train_monthly(_before(rows), VALID_FROM, GRID, settings=QUICK)
+    return rounded(spark.createDataFrame(trials, f"{CATEGORY} string, setting string, valid_mae double"))
+
+
+@query("J3,H4,K8")
+def specialised_monthly_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared loss for three-wheelers, absolute for buses, on the last months."""
+    months = _months(spark, sf_dir).filter(F.col(CATEGORY).isin("3-Wheelers", "Bus"))
+    rows = cut_lineage(_specialised(months))
+    fitted = models.train_per_category(
+        _before(rows), models.SPECIALISED_FEATURES,
+        lambda c: {**QUICK, "lossType": models.specialised_settings(c)["lossType"]})
+    scored = fitted.score(_after(rows), [*PANEL_KEY, QTY])
+    return _against_mean(cut_lineage(scored), _before(months))
+
+
+@query("J6,C10,A10")
+def batch_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models saved, loaded and applied by category; categories without one are listed."""
+    rows = cut_lineage(_hybrid(_months(spark, sf_dir)))
+    train = _before(rows).filter(F.col(CATEGORY).isin("2-Wheelers", "4-Wheelers", "Others"))
+    fitted = models.train_per_category(train, models.HYBRID_FEATURES, QUICK, scale=True)
+    folder = new_folder(spark, "models")
+    fitted.save(folder)
+    loaded = models.ModelSet.load(folder, models.HYBRID_FEATURES, sorted(fitted.models))
+    test = _after(rows)
+    scored = loaded.score(test, [*PANEL_KEY, QTY]).groupBy(CATEGORY).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(PRED).alias("predicted"))
+    return rounded(merge.union_all(scored.withColumn("status", F.lit("scored")),
+                                   loaded.skipped(test).withColumn("status", F.lit("skipped"))))
+
+
+@query("J7,J8,K9")
+def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old model on rows before 2001, second model on the push, average of both."""
+    rows = cut_lineage(_hybrid(_months(spark, sf_dir)))
+    old = models.fit_regressor(_before(rows), models.HYBRID_FEATURES, **QUICK)
+    settings = {**QUICK, "stepSize": 0.1}
+    _, valid, history = models.incremental_update(old, _after(rows), models.HYBRID_FEATURES,
+                                                  "2001-08-01T00:00:00", settings)
+    folder = new_folder(spark, "training-history")
+    history.write.mode("append").parquet(folder)
+    table = models.compare_predictions(cut_lineage(valid), ["original", "updated", "ensemble"], [])
+    past = spark.read.parquet(folder)
+    return rounded(table.select("model", "records", "mae", "rmse", "r2").withColumns(
+        {c: past.agg(F.max(c)).scalar() for c in ("new_records", "learning_rate", "n_estimators")}))
+
+
+@query("J9,I2,D6,C5")
+def recursive_monthly_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve months ahead for all series, then days by the category pattern."""
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    months = clean.between_dates(windows.monthly_totals(dense), before=inputs.LAST_FULL_DAY_BEFORE)
+    months = cut_lineage(months)
+    codes = cut_lineage(encode.code_table(months, STATE))
+    rows = encode.apply_codes(windows.hybrid_monthly_features(months), codes, STATE)
+    fitted = models.train_per_category(rows, models.HYBRID_FEATURES, QUICK, scale=True)
+    forecast = recursive.forecast_months(months, codes, fitted.models, NEXT_MONTH, 12)
+    pattern = allocate.category_pattern(dense, inputs.PATTERN_YEAR)
+    return allocate.allocate_by_pattern(forecast, pattern)
+
+
+def _fit_daily(rows: DataFrame) -> models.ModelSet:
+    return models.train_per_category(rows, recursive.daily_columns(SMALL_SPEC), {**QUICK, "maxIter": 4})
+
+
+@query("J10,A9,C5")
+def recursive_daily_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen days ahead for all series, the group means frozen."""
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    fitted = _fit_daily(_before(_daily_rows(dense)))
+    return rounded(recursive.forecast_days(dense, fitted.models, SMALL_SPEC, NEXT_DAY, 14))
+
+
+NET_NUMBERS = ["month", "year", "quarter", "day_of_week", "lag_1", "lag_3", "lag_7"]
+
+
+@query("J11,E5,H3,H5,H8,H9,F3")
+def iterative_forecast_all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One linear model for all series on scaled inputs; the last 60 rows are kept.
+
+    Scaling parameters are stored figures, so the driver holds one row per feature.
+    """
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    d = F.col(DATE)
+    rows = dense.select(*PANEL_KEY, QTY, F.month(d).alias("month"), F.year(d).alias("year"),
+                        F.quarter(d).alias("quarter"), F.weekday(d).alias("day_of_week"),
+                        *windows.lags([1, 3, 7])).dropna()
+    one_hot = (encode.one_hot(CATEGORY, encode.known_values(dense, CATEGORY), "cat")
+               + encode.one_hot(STATE, encode.known_values(dense, STATE), "state"))
+    params = {r["feature"]: (r["mean"], r["std"])
+              for r in encode.zscore_parameters(rows, [*NET_NUMBERS, QTY]).collect()}
+
+    def scaled(name: str, value) -> F.Column:
+        mean, std = params[name]
+        return (value - F.lit(mean)) / F.lit(std)
+
+    flags = dense.limit(0).select(*one_hot).columns
+    train = rows.select(*[scaled(c, F.col(c)).alias(c) for c in [*NET_NUMBERS, QTY]], *one_hot)
+    assembler = VectorAssembler(inputCols=[*NET_NUMBERS, *flags], outputCol="x")
+    linear = LinearRegression(featuresCol="x", labelCol=QTY, regParam=0.01)
+    model = Pipeline(stages=[assembler, linear]).fit(train)
+
+    state = cut_lineage(merge.recent_values(dense, 60).select("*", *one_hot))
+
+    def features(day) -> dict:
+        h = F.col("history")
+        values = {"month": F.lit(day.month), "year": F.lit(day.year),
+                  "quarter": F.lit((day.month + 2) // 3), "day_of_week": F.lit(day.weekday()),
+                  **{f"lag_{k}": recursive.back(h, k) for k in (1, 3, 7)}}
+        return {c: scaled(c, v) for c, v in values.items()}
+
+    mean, std = params[QTY]
+    return recursive.roll_forward(
+        state, {recursive.ALL: model}, recursive.days_after(NEXT_DAY, 30), features,
+        lambda v: {"history": windows.tail(F.array_append("history", v), 60)},
+        lambda p, _: F.greatest(p * F.lit(std) + F.lit(mean), F.lit(0.0)).cast("long").cast("double"))
+
+
+@query("J12,D8,E9,G13,J13,J14")
+def on_demand_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 days for all series: run rate, day loop or projection by category."""
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    rows = clean.between_dates(ondemand.training_rows(dense), start="2000-01-01")
+    rows = rows.filter(F.col(CATEGORY).isin("2-Wheelers", "4-Wheelers"))
+    fitted = models.train_per_category(rows, ondemand.model_columns(), {**QUICK, "maxIter": 4})
+    return ondemand.on_demand(dense, merge.distinct_series(dense), fitted.models, NEXT_DAY, 30,
+                              inputs.PATTERN_YEAR)
+
+
+@query("J15,I3,B14")
+def direct_monthly_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve months at once, every lag frozen at the last value, even days."""
+    months = _months(spark, sf_dir).filter(F.col(CATEGORY).isin("3-Wheelers", "Bus"))
+    rows = cut_lineage(_specialised(months))
+    fitted = models.train_per_category(rows, models.SPECIALISED_FEATURES, QUICK)
+    frozen = [c for c in models.SPECIALISED_FEATURES if c.startswith("roll") or
+              c in ("momentum", "state_avg", "state_encoded")]
+    last = rows.groupBy(*SERIES).agg(F.max_by(F.struct(QTY, *frozen), DATE).alias("r"))
+    last = last.select(*SERIES, F.col(f"r.{QTY}").alias("_last"), *[F.col(f"r.{c}").alias(c) for c in frozen])
+    ahead = F.sequence(F.lit(NEXT_MONTH).cast("date"), F.lit("2002-07-01").cast("date"),
+                       F.expr("interval 1 month"))
+    future = last.withColumn(DATE, F.explode(ahead)).select(
+        "*", F.month(DATE).alias("month"), F.year(DATE).alias("year"), F.quarter(DATE).alias("quarter"),
+        *[F.col("_last").alias(f"lag_month_{k}") for k in windows.MONTHLY_LAGS])
+    return allocate.allocate_evenly(fitted.score(future, PANEL_KEY))
+
+
+@query("J16,C3,I4,J21")
+def back_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History scored by its own models: monthly ones a thirtieth a day, daily ones whole."""
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    monthly_cats = ["3-Wheelers", "Bus"]
+    slow = dense.filter(F.col(CATEGORY).isin(monthly_cats))
+    months = cut_lineage(_specialised(windows.monthly_totals(slow)))
+    fitted = models.train_per_category(_before(months), models.SPECIALISED_FEATURES, QUICK)
+    by_month = fitted.score(months, PANEL_KEY).withColumnRenamed(PRED, "Monthly_Pred")
+    a = allocate.thirtieth_onto_days(slow, by_month).select(*PANEL_KEY, QTY, PRED)
+    rows = cut_lineage(_daily_rows(dense.filter(~F.col(CATEGORY).isin(monthly_cats))))
+    b = _fit_daily(_before(rows)).score(rows, [*PANEL_KEY, QTY])
+    scored = a.unionByName(b.withColumn(PRED, F.col(PRED).cast("long")))
+    return rounded(summary.metrics(scored, [CATEGORY]))
+
+
+@query("J19,F7")
+def boosting_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """National months per category, five features, the last twelve rows as test."""
+    national = _months(spark, sf_dir).groupBy(CATEGORY, DATE).agg(F.sum(QTY).alias(QTY))
+    rows = cut_lineage(models.last_rows_split(models.benchmark_features(national, [CATEGORY]), 12, [CATEGORY]))
+    fitted = models.train_per_category(rows.filter("NOT is_test"), models.BENCHMARK_FEATURES,
+                                       {**models.BENCHMARK_SETTINGS, "maxIter": 10, "stepSize": 0.2},
+                                       minimum=12)
+    scored = fitted.score(rows.filter("is_test"), [CATEGORY, DATE, QTY])
+    return rounded(summary.metrics(scored, [CATEGORY]))
+
+
+@query("J20")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top ten features of one model and the share of the temporal ones."""
+    rows = cut_lineage(_hybrid(_months(spark, sf_dir)))
+    model: PipelineModel = models.fit_regressor(_before(rows), models.HYBRID_FEATURES, **QUICK)
+    table = models.importance_table(spark, model, models.HYBRID_FEATURES)
+    share = table.agg(F.sum(F.when(F.col("temporal"), F.col("importance")))).scalar()
+    top = table.orderBy(F.col("importance").desc(), "feature").limit(10)
+    return rounded(top.withColumn("temporal_share", share))

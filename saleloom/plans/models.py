@@ -117,8 +117,8 @@ def fit_regressor(train: DataFrame, features: list[str], label: str = QTY, scale
 def fit_classifier(train: DataFrame, features: list[str], label: str,
                    validation: str | None = None, **settings) -> PipelineModel:
     trees = GBTClassifier(featuresCol="class_features", labelCol=label,
-                          predictionCol="sells", rawPredictionCol="sells_raw",
-                          probabilityCol="sells_probability", **settings)
+                          predictionCol="sells", **settings)
+    trees.setRawPredictionCol("sells_raw").setProbabilityCol("sells_probability")
     if validation:
         trees.setValidationIndicatorCol(validation)
     assemble = VectorAssembler(inputCols=features, outputCol="class_features")
