@@ -51,19 +51,24 @@ def allocate_exact(monthly: DataFrame, pattern: DataFrame, total: str = QTY,
     Weights come from ``pattern`` where it covers every day of the month, else from
     hashed noise (``noise=False``: even weights). Each day gets the floor of its
     share; what is left goes one by one to the largest fractions, earlier days
-    first. A month has 31 rows at most, which bounds the windows. ``monthly`` has
-    one row per ``keys`` and month.
+    first. ``monthly`` has one row per ``keys`` and month.
+
+    The pattern joins the months before they grow to days, as an array of at most 31
+    weights; the windows over the days of a month reuse the placement of that join.
     """
-    days = to_days(monthly.withColumn("_total", F.greatest(F.col(total), F.lit(0).cast("long")))
-                   .drop(total))
-    matched = days.join(pattern, [*SERIES, "month", "day"], "left")
-    month = Window.partitionBy(*keys, "_month")
-    length = calendar.days_in_month(F.col("_month"))
-    usable = F.coalesce(F.min("days").over(month) == length, F.lit(False)) & (
-        F.count("weight").over(month) == length)
+    weights = pattern.groupBy(*SERIES, "month").agg(
+        F.map_from_entries(F.collect_list(F.struct("day", "weight"))).alias("_weights"))
+    first = monthly.withColumns({"_month": F.trunc(DATE, "MM"), "month": F.month(DATE),
+                                 "_total": F.greatest(F.col(total), F.lit(0).cast("long"))})
+    joined = first.drop(total, DATE).join(weights, [*SERIES, "month"], "left")
+    usable = F.size("_weights") == calendar.days_in_month(F.col("_month"))
+    days = joined.withColumns({"_usable": F.coalesce(usable, F.lit(False)),
+                               DATE: F.explode(calendar.days_of_month(F.col("_month")))})
     spare = hashed_weight(*keys, DATE) if noise else F.lit(1.0)
-    raw = matched.withColumn("_w", F.when(usable, F.col("weight")).otherwise(spare))
-    share = raw.withColumn("_w", F.col("_w") / F.sum("_w").over(month))
+    raw = days.withColumn("_w", F.when(
+        F.col("_usable"), F.try_element_at("_weights", F.dayofmonth(DATE))).otherwise(spare))
+    month = Window.partitionBy(*keys, "month", "_month")
+    share = raw.drop("_weights").withColumn("_w", F.col("_w") / F.sum("_w").over(month))
     # rounded before the floor so that 3.9999999999 counts as 4
     split = share.withColumn("_x", F.round(F.col("_total") * F.col("_w"), 9))
     split = split.withColumns({"_floor": F.floor("_x"),
@@ -73,8 +78,8 @@ def allocate_exact(monthly: DataFrame, pattern: DataFrame, total: str = QTY,
     return (split.select("*", rank.alias("_rank"), left.alias("_left"))
             .withColumn(out, (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long"))
                         .cast("long"))
-            .drop("_month", "month", "day", "weight", "days", "_w", "_x", "_floor", "_rest",
-                  "_rank", "_left", "_total"))
+            .drop("_month", "month", "_usable", "_w", "_x", "_floor", "_rest", "_rank", "_left",
+                  "_total"))
 
 
 def allocate_by_pattern(monthly: DataFrame, pattern: DataFrame, total: str = PRED) -> DataFrame:

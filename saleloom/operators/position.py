@@ -12,9 +12,11 @@ from saleloom.session import cut_lineage
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "position",
-                  group: list[str] | None = None) -> DataFrame:
+                  group: list[str] | None = None, size: str | None = None) -> DataFrame:
     """1-based position in sort order, over the table or inside each group.
 
+    ``size`` names a column for the number of rows of the group.
+
     The sort is range-partitioned, so a group may span many tasks. Each task
     numbers its own rows; only one count per partition is summed up in sequence.
     The sorted rows are checkpointed first: both passes must see one placement.
@@ -35,8 +37,10 @@ def with_position(df: DataFrame, order: list[str], name: str = "position",
               .drop("_part", "_mark", "_offset"))
     if not group:
         return placed
-    first = placed.groupBy(*group).agg((F.min(name) - 1).alias("_first"))
-    return (attach(placed, first, group)
+    figures = [(F.min(name) - 1).alias("_first")]
+    if size:
+        figures.append(F.count(F.lit(1)).alias(size))
+    return (attach(placed, placed.groupBy(*group).agg(*figures), group)
             .withColumn(name, F.col(name) - F.col("_first")).drop("_first"))
 
 
@@ -49,10 +53,9 @@ def every_nth(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
 def positional_split(df: DataFrame, group: list[str], order: list[str],
                      train_share: float = 0.85) -> DataFrame:
     """Mark the first share of each sorted group as train, the rest as test."""
-    placed = with_position(df, order, "_pos", group)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_position(df, order, "_pos", group, "_n")
     cut = F.floor(F.col("_n") * F.lit(train_share))
-    return (attach(placed, sizes, group)
+    return (placed
             .withColumn("part", F.when(F.col("_pos") <= cut, "train").otherwise("test"))
             .drop("_pos", "_n"))
 
@@ -65,9 +68,7 @@ def group_quantiles(df: DataFrame, group: list[str], value: str,
     or its set of distinct values. Nulls are left out.
     """
     rows = df.select(*group, value).dropna(subset=[value])
-    placed = with_position(rows, [value], "_pos", group)
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    placed = attach(placed, sizes, group)
+    placed = with_position(rows, [value], "_pos", group, "_n")
     at = {i: (F.col("_n") - 1) * F.lit(p) for i, p in enumerate(shares)}
     low = {i: F.floor(x) + 1 for i, x in at.items()}
     pick = {i: F.col("_pos").isin(low[i], F.least(low[i] + 1, F.col("_n"))) for i in at}

@@ -8,8 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from saleloom.functions import rules, scores
-from saleloom.operators import allocate, clean, encode, merge, position, summary
-from saleloom.operators.group_stats import attach_aggregates
+from saleloom.operators import allocate, clean, encode, group_stats, merge, position, summary
 from saleloom.schema import CATEGORY, DATE, PRED, QTY, STATE
 from saleloom.sources import panel as panel_source
 from saleloom.sources import sheets
@@ -97,15 +96,14 @@ def skewed(spark, n=20000):
                                  .alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("v"), "id")
 
 
-@pytest.mark.parametrize("threshold", ["10485760", "-1"])
-def test_group_figures_with_and_without_broadcast(spark, threshold):
-    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        df = skewed(spark)
-        got = attach_aggregates(df, ["g"], [F.avg("v").alias("m")]).toPandas().sort_values("id")
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+@pytest.mark.parametrize("limit", [100_000, 5])
+def test_group_figures_with_and_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(group_stats, "BROADCAST_ROWS", limit)
+    df = skewed(spark)
+    out = group_stats.attach_aggregates(df, ["g"], [F.avg("v").alias("m")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (limit > 5)
+    got = out.toPandas().sort_values("id")
     want = got.groupby("g")["v"].transform("mean")
     assert len(got) == 20000
     np.testing.assert_allclose(got["m"], want)
