@@ -214,7 +214,43 @@ def daily_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4)
 
 
-@query("F1,F4,F9,F12,F13,F14,F18,G1,G2,G3,G7,G8")
+def _leak_safe_sql() -> str:
+    """Every column of the shifted daily set, from windows over the dense panel."""
+    spans = windows.DAILY_WINDOWS
+    zero = "coalesce({}, 0)"
+    base = [f"lag({Q}, {k}) OVER @W AS lag_{k}" for k in windows.DAILY_LAGS]
+    base += [f"{_SQL_STATS[s]}({Q}) OVER @BEFORE({n}) AS rolling_{s}_{n}" for n in spans for s in _SQL_STATS]
+    base += [f"sum({Q} * pow({1 - 2 / (n + 1)!r}, 1200 - i)) OVER @W * pow({1 - 2 / (n + 1)!r}, i - 1200)"
+             f" / ((1 - pow({1 - 2 / (n + 1)!r}, i + 1)) / {2 / (n + 1)!r}) AS e{n}" for n in spans]
+    base += [f"sum(CAST({Q} > 0 AS INTEGER)) OVER @BEFORE(30) AS sold",
+             f"lag({Q}) OVER @W AS own", "lag(sd) OVER @W AS state_day",
+             f"avg(CASE WHEN \"Date\" < DATE '2001-01-01' THEN {Q} END) OVER (PARTITION BY \"State\") AS sm",
+             f"avg(CASE WHEN \"Date\" < DATE '2001-01-01' THEN {Q} END) OVER (PARTITION BY \"Vehicle_Category\") AS cm"]
+    second = [f"lag(e{n}) OVER @W AS ema_{n}" for n in spans]
+    second += [f"rolling_mean_{k} - lag(rolling_mean_{k}) OVER @W AS trend_{k}" for k in (7, 30, 60)]
+    out = [f"{zero.format(f'lag_{k}')} AS lag_{k}" for k in windows.DAILY_LAGS]
+    out += [f"round({zero.format(f'rolling_{s}_{n}')}, 6) AS rolling_{s}_{n}" for n in spans for s in _SQL_STATS]
+    out += [f"round({zero.format(f'ema_{n}')}, 6) AS ema_{n}" for n in spans]
+    out += [f"round({zero.format(f'rolling_mean_{k}')}, 6) AS seasonal_{k}" for k in (7, 30, 60)]
+    out += [f"round({zero.format(f'rolling_std_{k}')}, 6) AS volatility_{k}" for k in (7, 30, 60)]
+    out += [f"round({zero.format(f'trend_{k}')}, 6) + 0 AS trend_{k}" for k in (7, 30, 60)]
+    d = '"Date"'
+    waves = {"month": (f"month({d})", 12), "day_of_week": (f"(isodow({d}) - 1)", 7), "day_of_year": (f"dayofyear({d})", 365)}
+    out += [f"round({fn}(2 * pi() * {v} / {p}), 6) + 0 AS {n}_{fn}" for n, (v, p) in waves.items() for fn in ("sin", "cos")]
+    return f"""SELECT {KEY_SQL}, {Q}, CAST({d} IN (SELECT "Date" FROM holidays) AS INTEGER) AS is_holiday,
+coalesce(sold, 0) AS sales_frequency_30d, round(coalesce(state_day, 0), 6) AS state_daily_mean,
+round(sm, 6) AS state_overall_mean, round(cm, 6) AS category_overall_mean, round(sm * cm, 6) AS state_category_interaction,
+round(own / (state_day + 1), 6) AS sales_ratio_to_state_mean, round(own / (cm + 1), 6) AS sales_ratio_to_category_mean,
+year({d}) AS year, month({d}) AS month, day({d}) AS day, quarter({d}) AS quarter, isodow({d}) - 1 AS day_of_week,
+week({d}) AS week_of_year, dayofyear({d}) AS day_of_year, CAST(isodow({d}) >= 6 AS INTEGER) AS is_weekend,
+CAST(day({d}) = 1 AS INTEGER) AS is_month_start, CAST({d} = last_day({d}) AS INTEGER) AS is_month_end,
+CAST(day({d}) = 1 AND month({d}) IN (1, 4, 7, 10) AS INTEGER) AS is_quarter_start,
+CAST({d} = last_day({d}) AND month({d}) IN (3, 6, 9, 12) AS INTEGER) AS is_quarter_end, {', '.join(out)}
+FROM (SELECT *, {', '.join(second)} FROM (SELECT *, {', '.join(base)} FROM (SELECT *, row_number() OVER @W - 1 AS i,
+avg({Q}) OVER (PARTITION BY "State", "Date") AS sd FROM panel_dense))) WHERE {d} >= DATE '2001-01-01'"""
+
+
+@query("F1,F4,F9,F12,F13,F14,F18,G1,G2,G3,G7,G8", _leak_safe_sql())
 def daily_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of the leak-safe daily set from 2001 on, features looking back freely."""
     spec = windows.DailySpec(mode="shifted", means_until=inputs.TEST_FROM)

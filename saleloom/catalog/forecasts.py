@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from saleloom.catalog import inputs
 from saleloom.catalog.base import query, rounded
 from saleloom.catalog.features import WEIGHTS_2000
 from saleloom.catalog.panel_ops import RATE_SQL
-from saleloom.operators import allocate, clean, summary, windows
-from saleloom.plans import baselines, models
+from saleloom.operators import allocate, clean, merge, summary, windows
+from saleloom.plans import baselines, models, recursive
 from saleloom.schema import CATEGORY, PANEL_KEY, PRED, QTY
 from saleloom.session import cut_lineage
 
@@ -86,6 +88,24 @@ def ar5_forecast_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.metrics(scored, [CATEGORY]))
 
 
+@query("J9,J10,J11,E5,C5", """WITH RECURSIVE start AS (SELECT "State", "Vehicle_Category", list(CAST(q AS DOUBLE) ORDER BY "Date") AS h FROM (
+SELECT *, "EV_Sales_Quantity" AS q, row_number() OVER (PARTITION BY "State", "Vehicle_Category" ORDER BY "Date" DESC) AS rn FROM panel_dense)
+WHERE rn <= 7 GROUP BY 1, 2),
+steps AS (SELECT "State", "Vehicle_Category", 0 AS step, h, CAST(0 AS DOUBLE) AS v FROM start UNION ALL
+SELECT "State", "Vehicle_Category", step + 1, list_append(h, p)[2:8], p FROM (SELECT *, greatest(h[7] / 4 + h[1] / 2 + 0.5, 0) AS p FROM steps WHERE step < 30))
+SELECT CAST(CAST(DATE '2001-08-01' + step AS DATE) AS VARCHAR) AS "Date", "State", "Vehicle_Category", round(v, 6) AS "Predicted_Sales"
+FROM steps WHERE step > 0""")
+def recursive_loop_with_fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step loop under a model whose recursion SQL can follow: lag_1/4 + lag_7/2 + 1/2."""
+    fixed = SQLTransformer(statement="SELECT *, lag_1 / 4 + lag_7 / 2 + 0.5D AS prediction FROM __THIS__")
+    state = cut_lineage(merge.recent_values(inputs.dense(spark, sf_dir), 7))
+    h = F.col("history")
+    known = {f"lag_{k}": recursive.back(h, k) for k in (1, 7)}
+    return rounded(recursive.roll_forward(
+        state, {recursive.ALL: PipelineModel([fixed])}, recursive.days_after("2001-08-02", 30),
+        lambda _: known, lambda v: {"history": windows.tail(F.array_append("history", v), 7)}))
+
+
 @query("J21", """SELECT "Vehicle_Category", CASE WHEN "Vehicle_Category" IN ('3-Wheelers', 'Bus') THEN 'monthly' ELSE 'daily' END AS family,
 count(*) AS days, CAST(sum("EV_Sales_Quantity") AS BIGINT) AS total FROM panel GROUP BY 1, 2""")
 def route_to_model_family(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,8 @@ def roll_forward(state: DataFrame, models: dict[str | None, PipelineModel], date
     ``features`` gives the model inputs of a date from the state columns, ``advance``
     the state after a value, ``adjust`` turns the raw prediction into that value (at
     least 0 by default). The loop only builds plans; all series of a category move
-    together. Lineage is cut every ``cut_every`` steps.
+    together. Lineage is cut every ``cut_every`` steps and after the last one: a filter
+    above the chain would be pushed down through all steps and copy their expressions.
     """
     adjust = adjust or (lambda p, _: F.greatest(p, F.lit(0.0)))
     fixed = state.columns
@@ -79,7 +80,7 @@ def roll_forward(state: DataFrame, models: dict[str | None, PipelineModel], date
         for i, day in enumerate(dates, 1):
             scored = model.transform(rows.withColumns(inputs[day]))
             rows = scored.select(*fixed, "path", values[day]).select(*next_state, longer_path)
-            if i % cut_every == 0 and i < len(dates):
+            if i % cut_every == 0 or i == len(dates):
                 rows = cut_lineage(rows)
         return rows
 
