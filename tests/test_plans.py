@@ -91,7 +91,7 @@ def test_ar_forecast_follows_its_equation(spark, months):
         assert got == pytest.approx([first, first + c[key] * (first - b)])
 
 
-def test_monthly_model_is_no_worse_than_the_series_mean(spark, months):
+def test_monthly_models_score_every_row_without_negatives(spark, months):
     rows = cut_lineage(models.with_state_codes(windows.hybrid_monthly_features(months)))
     fitted = models.train_per_category(clean.between_dates(rows, before=inputs.TEST_FROM),
                                        models.HYBRID_FEATURES, QUICK, scale=True)
