@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleloom.llm import bpe, token_files
+from saleloom.llm import bpe, simhash, token_files
 from saleloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,8 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_digests(table(spark, sf_dir, "documents"))
