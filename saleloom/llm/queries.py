@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleloom.llm import bpe, chat, decontam, html_extract, simhash, token_files, topk
+from saleloom.llm import bpe, chat, decontam, html_extract, pii, simhash, token_files, topk
 from saleloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op4_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(PROBE).alias("text"))
     return chat.conversation_digests(rows.unionByName(probe), vocabulary())
+
+
+@query
+def op5_disclosive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
