@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleloom.llm import bpe, chat, decontam, html_extract, pii, simhash, token_files, topk
+from saleloom.llm import bpe, chat, decontam, html_extract, pii, simhash, substring_dedup, token_files, topk
 from saleloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,23 @@ def op4_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_disclosive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+SQL["op2_phrase_automata"] = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+win AS (SELECT doc_id, i, w[i + 1 : i + 13] AS words FROM d, unnest(range(len(w) - 12)) AS u(i) WHERE len(w) >= 13),
+first AS (SELECT words, min(doc_id) AS low FROM win GROUP BY words HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN first USING (words), unnest(range(i, i + 13)) AS u(p) WHERE low < doc_id),
+pos AS (SELECT doc_id, p, w[p + 1] AS word FROM d, unnest(range(len(w))) AS u(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM pos ANTI JOIN gone USING (doc_id, p)
+         GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
