@@ -128,5 +128,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     found = contamination(docs, benchmark, window).filter("n_hit > 0").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_doc"), F.col("key").alias("_key")).distinct()
     found = stored(found, "contaminated")
-    same = (F.coalesce(docs["doc_id"].cast("string"), F.lit("none")) == found["_doc"]) & (row_key(docs["text"]) == found["_key"])
-    return docs.join(found, same, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), row_key(F.col("text")).alias("_row_key"))
+    same = (F.coalesce(F.col("row.doc_id").cast("string"), F.lit("none")) == found["_doc"]) & (F.col("_row_key") == found["_key"])
+    return rows.join(found, same, "left_anti").select("row.*")

@@ -246,8 +246,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("added").alias("_added")).dropDuplicates(["_doc", "_key"]),
         "added")
     names = docs.columns
-    same = docs["doc_id"].eqNullSafe(added["_doc"]) & (row_key(docs["text"]) == added["_key"])
-    met = docs.join(added, same, "left").select(*[docs[n] for n in names], "_added")
+    rows = docs.select(F.struct("*").alias("row"), row_key(F.col("text")).alias("_row_key"))
+    same = F.col("row.doc_id").eqNullSafe(added["_doc"]) & (F.col("_row_key") == added["_key"])
+    met = rows.join(added, same, "left").select("row.*", "_added")
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

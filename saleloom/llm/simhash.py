@@ -208,11 +208,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
              .select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_rows"))
     kept = kept.join(again, kept["_doc"].eqNullSafe(again["_d"]) & (kept["_key"] == again["_k"])).select("_doc", "_key", "_rows")
     kept = stored(kept, "kept")
-    names = docs.columns
-    rows = docs.withColumn("_key_of_row", row_key(F.col("text")))
-    met = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_doc"]) & (rows["_key_of_row"] == kept["_key"]))
-    once = met.filter("_rows = 1").select(*names)
-    more = met.filter("_rows > 1").dropDuplicates(["_doc", "_key"]).select(*names)
+    # the row travels as one struct, so its columns may have any name
+    rows = docs.select(F.struct("*").alias("row"), row_key(F.col("text")).alias("_row_key"))
+    met = rows.join(kept, F.col("row.doc_id").eqNullSafe(kept["_doc"]) & (F.col("_row_key") == kept["_key"]))
+    once = met.filter("_rows = 1").select("row.*")
+    more = met.filter("_rows > 1").dropDuplicates(["_doc", "_key"]).select("row.*")
     return once.unionByName(more)
 
 
