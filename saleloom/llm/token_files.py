@@ -9,11 +9,14 @@ Shards follow each other in document order; ``starts`` of the shards come from o
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +30,7 @@ from saleloom.session import new_folder
 END_ID = 2
 BLOCK = 4096  # ids transposed together; the last block of a chunk is shorter
 CHUNK = 1 << 16  # a chunk ends with the document that reaches so many ids
-KEPT_PIECES = 600_000
+KEPT_PIECES = 500_000
 
 CHUNKS = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.LongType()),
@@ -42,39 +45,63 @@ _ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first_id", p
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each piece between white space that a worker meets.
+    """The tokenizers library, asked once for each word that a worker meets.
 
-    Where a text has other characters than PLAIN, special tokens or none of that, the library gets it whole.
+    Texts of PLAIN characters are cut at white space and their new words, by the file's own pattern, go
+    to the library in one text; the last token of a word ends with the suffix, which cuts the answer.
+    Where a text has other characters or special tokens, the library gets it whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores run tasks already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        parts = text.lower().split()
+    def _learn(self, new: set[str]) -> None:
         pieces = self.pieces
-        new = list({p for p in parts if p not in pieces})
+        bare = set(filter(str.isalpha, new))  # one word each
+        cut = {p: self.words.findall(p) for p in new - bare}
+        unknown = list(bare.union(*cut.values()) - pieces.keys())
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(unknown):
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            pieces.update(zip(unknown, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        else:
+            pieces.update((w, self._whole(w)) for w in unknown)
+        for piece, words in cut.items():
+            pieces[piece] = b"".join(map(pieces.__getitem__, words))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; none for null and the empty text."""
+        cut = [t.lower().split() if t and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None
+               for t in texts]
+        new = set().union(*(c for c in cut if c)) - self.pieces.keys()
+        if len(self.pieces) + len(new) > KEPT_PIECES:
+            self.pieces.clear()
+            new = set().union(*(c for c in cut if c))
         if new:
-            if len(pieces) + len(new) > KEPT_PIECES:
-                pieces.clear()
-                new = list(set(parts))
-            found = self.library.encode_batch_fast(new, add_special_tokens=False)
-            pieces.update(zip(new, (np.asarray(e.ids, dtype="<u4").tobytes() for e in found), strict=True))
-        return b"".join(map(pieces.__getitem__, parts))
+            self._learn(new)
+        of = self.pieces.__getitem__
+        return [b"".join(map(of, c)) if c is not None else self._whole(t) if t else b""
+                for t, c in zip(texts, cut, strict=True)]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def to_planes(ids: np.ndarray, plane_bits: int = 8, block: int = BLOCK) -> list[bytes]:
@@ -135,15 +162,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
         size = 0
         for batch in batches:
-            for name, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = encoder.encode(value.as_py()) + end
-                held.append(ids)
-                names.append(name.as_py())
-                lengths.append(len(ids) // 4)
-                size += lengths[-1]
-                if size >= CHUNK:
-                    yield close()
-                    chunk, first, size, held, names, lengths = chunk + 1, first + size, 0, [], [], []
+            for part in (batch.slice(at, 100) for at in range(0, batch.num_rows, 100)):
+                encoded = encoder.encode_all(part.column("text").to_pylist())
+                for name, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    held += (ids, end)
+                    names.append(name)
+                    lengths.append(len(ids) // 4 + 1)
+                    size += lengths[-1]
+                    if size >= CHUNK:
+                        yield close()
+                        chunk, first, size, held, names, lengths = chunk + 1, first + size, 0, [], [], []
         if held:
             yield close()
 
