@@ -16,6 +16,15 @@ KEY_SQL = 'CAST("Date" AS VARCHAR) AS "Date", "State", "Vehicle_Category"'
 Q = '"EV_Sales_Quantity"'
 
 
+# decays such as 3/4 give values that lie exactly between two numbers of six digits; shown
+# figures are moved off these ties before rounding, here and in the SQL alike
+OFF_TIES = 3e-10
+
+
+def _off_ties(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c) + F.lit(OFF_TIES) for c in df.columns if c.lower().startswith(("ema_", "ewma_"))})
+
+
 def _lag_sql(steps: list[int], prefix: str, suffix: str = "") -> str:
     return ", ".join(f"lag({Q}, {k}) OVER @W AS {prefix}{k}{suffix}" for k in steps)
 
@@ -36,7 +45,7 @@ def _ewma_sql(source: str, spans: list[int], lag: bool = False, name: str = "ema
         f"sum({Q} * pow({1 - 2 / (n + 1)!r}, {middle} - i)) OVER @W * pow({1 - 2 / (n + 1)!r}, i - {middle})"
         f" / ((1 - pow({1 - 2 / (n + 1)!r}, i + 1)) / {2 / (n + 1)!r}) AS e{n}" for n in spans)
     shown = ", ".join(
-        f"round({f'lag(e{n}) OVER @W' if lag else f'e{n}'}, {digits}) AS {name.format(n=n)}" for n in spans)
+        f"round({f'lag(e{n}) OVER @W' if lag else f'e{n}'} + {OFF_TIES}, {digits}) AS {name.format(n=n)}" for n in spans)
     return (f'SELECT {KEY_SQL}, {shown} FROM (SELECT *, {sums} FROM '
             f'(SELECT *, row_number() OVER @W - 1 AS i FROM {source}))')
 
@@ -99,7 +108,7 @@ def full_window_mean_and_lookback(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query("F9", _ewma_sql("panel_dense", windows.DAILY_WINDOWS))
 def ewma_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windows.ewma(inputs.dense(spark, sf_dir), windows.DAILY_WINDOWS).drop(QTY))
+    return rounded(_off_ties(windows.ewma(inputs.dense(spark, sf_dir), windows.DAILY_WINDOWS).drop(QTY)))
 
 
 @query("F12", f"""SELECT {KEY_SQL}, {', '.join(
@@ -161,7 +170,7 @@ def rolling_monthly_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("F10", _ewma_sql("monthly", windows.MONTHLY_SPANS, lag=True, name="EWMA_{n}", middle=40))
 def ewma_shifted_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = windows.shifted_ewma(inputs.monthly(spark, sf_dir), windows.MONTHLY_SPANS)
-    return rounded(df.select(*PANEL_KEY, "EWMA_3", "EWMA_12"))
+    return rounded(_off_ties(df.select(*PANEL_KEY, "EWMA_3", "EWMA_12")))
 
 
 @query("F22", f"""WITH a AS (SELECT "Vehicle_Category", "Date", CAST(sum({Q}) AS BIGINT) AS q FROM full_months GROUP BY ALL),
@@ -230,7 +239,7 @@ def _leak_safe_sql() -> str:
     second += [f"rolling_mean_{k} - lag(rolling_mean_{k}) OVER @W AS trend_{k}" for k in (7, 30, 60)]
     out = [f"{zero.format(f'lag_{k}')} AS lag_{k}" for k in windows.DAILY_LAGS]
     out += [f"round({zero.format(f'rolling_{s}_{n}')}, 6) AS rolling_{s}_{n}" for n in spans for s in _SQL_STATS]
-    out += [f"round({zero.format(f'ema_{n}')}, 6) AS ema_{n}" for n in spans]
+    out += [f"round({zero.format(f'ema_{n}')} + {OFF_TIES}, 6) AS ema_{n}" for n in spans]
     out += [f"round({zero.format(f'rolling_mean_{k}')}, 6) AS seasonal_{k}" for k in (7, 30, 60)]
     out += [f"round({zero.format(f'rolling_std_{k}')}, 6) AS volatility_{k}" for k in (7, 30, 60)]
     out += [f"round({zero.format(f'trend_{k}')}, 6) + 0 AS trend_{k}" for k in (7, 30, 60)]
@@ -255,7 +264,7 @@ def daily_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of the leak-safe daily set from 2001 on, features looking back freely."""
     spec = windows.DailySpec(mode="shifted", means_until=inputs.TEST_FROM)
     df = windows.daily_features(inputs.dense(spark, sf_dir), spec, inputs.holidays(spark))
-    return rounded(clean.zero_for_null_numbers(clean.between_dates(df, start=inputs.TEST_FROM)))
+    return rounded(_off_ties(clean.zero_for_null_numbers(clean.between_dates(df, start=inputs.TEST_FROM))))
 
 
 # ---- calendar and scalar functions -----------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,11 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pushes arrive as one file group per month, three files a batch."""
     work = new_folder(spark, "stream-upsert")
     start = clean.between_dates(inputs.panel(spark, sf_dir), before="2001-04-01")
-    start.write.parquet(f"{work}/panel/version=-1")
+    jobs.write_panel(start, f"{work}/panel")
     push = inputs.new_push(spark, sf_dir)
     push.repartition(F.trunc(DATE, "MM")).write.parquet(f"{work}/in")
     stream = jobs.file_stream(spark, f"{work}/in", push.schema, files_per_batch=3)
-    return jobs.upsert_snapshots(spark, stream, f"{work}/panel", f"{work}/checkpoint",
-                                 inputs.SOURCE_ORDER)
+    return jobs.upsert_months(spark, stream, f"{work}/panel", f"{work}/checkpoint", inputs.SOURCE_ORDER)
 
 
 @query("L3,A7", """SELECT id, CAST("timestamp" AS VARCHAR) AS "timestamp", vehicle_category, actual,
@@ -60,14 +61,28 @@ def stream_scored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "timestamp", "vehicle_category", "actual", "predicted", "error"))
 
 
+@query("L3", """SELECT id, CAST(ts AS VARCHAR) AS "timestamp", vehicle_category, actual, round(p, 6) AS predicted,
+round(abs(actual - p), 6) AS error, 1 AS scored_later FROM (SELECT event_id AS id, ts, event_type AS vehicle_category,
+value AS actual, 40 + 0.5 * hour(ts) + length(event_type) AS p FROM events)""")
+def stream_scored_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored pipeline scores the feed as it comes; each row carries the time of that."""
+    work = new_folder(spark, "stream-model")
+    inputs_of = SQLTransformer(statement="SELECT *, hour(timestamp) AS hour_of_day, length(vehicle_category) AS width FROM __THIS__")
+    rule = SQLTransformer(statement="SELECT *, CAST(40 + 0.5 * hour_of_day + width AS DOUBLE) AS prediction FROM __THIS__")
+    PipelineModel([inputs_of, rule]).save(f"{work}/model")
+    scored = jobs.score_with_model(_events(spark, sf_dir), PipelineModel.load(f"{work}/model"))
+    jobs.run_to_end(scored, f"{work}/checkpoint", sink=f"{work}/out")
+    return rounded(spark.read.parquet(f"{work}/out").select(
+        "id", "timestamp", "vehicle_category", "actual", "predicted", "error",
+        (F.col("scored_at") >= F.col("timestamp")).cast("int").alias("scored_later")))
+
+
 @query("L4,K17", """SELECT CAST(time_bucket(INTERVAL 5 MINUTE, "timestamp") AS VARCHAR) AS window_start, vehicle_category,
 count(*) AS events, round(avg(error), 6) AS mae, round(avg(actual), 6) AS mean_actual FROM live_feed GROUP BY 1, 2""")
 def stream_live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = new_folder(spark, "stream-windows")
     scored = jobs.score_arrivals(_events(spark, sf_dir), _stored_means(spark, sf_dir), "vehicle_category")
-    table = jobs.write_updates(jobs.live_windows(scored), f"{work}/out", f"{work}/checkpoint",
-                               ["window_start", "vehicle_category"], ["events", "mae", "mean_actual"])
-    return rounded(table)
+    return rounded(jobs.live_windows(scored, f"{work}/out", f"{work}/checkpoint"))
 
 
 @query("L5", """SELECT event_id AS id, CAST(ts AS VARCHAR) AS "timestamp", event_type AS vehicle_category, value AS actual FROM events""")
@@ -78,6 +93,5 @@ def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.write.parquet(f"{work}/in")
     events.filter(F.col("id") % 3 == 0).write.mode("append").parquet(f"{work}/in")
     stream = jobs.file_stream(spark, f"{work}/in", events.schema, files_per_batch=1)
-    once = jobs.without_repeats(stream, "id", "31 days")
-    jobs.run_to_end(once, f"{work}/checkpoint", sink=f"{work}/out")
-    return spark.read.parquet(f"{work}/out").select("id", "timestamp", "vehicle_category", "actual")
+    once = jobs.without_repeats(stream, "id", f"{work}/out", f"{work}/checkpoint")
+    return once.select("id", "timestamp", "vehicle_category", "actual")

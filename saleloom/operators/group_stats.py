@@ -5,32 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleloom.session import cut_lineage
 
-SALTS = 16
-BROADCAST_ROWS = 100_000  # narrow rows: a few MB at most
-
-
-def attach(df: DataFrame, table: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of a one-row-per-key table onto rows of any skew.
 
-    The table is computed and counted first. Up to ``BROADCAST_ROWS`` rows it is
-    broadcast and ``df`` is not shuffled at all. Beyond that the table is repeated
-    ``salts`` times and the rows are spread over the copies by a hash of the whole row,
-    so a key that holds a third of all rows is shared by many tasks.
+    Adaptive execution broadcasts the table where it turns out small and splits the
+    partitions of a busy key where it does not.
     """
-    table = cut_lineage(table)
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(table), keys, "left")
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return spread.join(salted, keys + ["_salt"], "left").drop("_salt")
+    return df.join(table, keys, "left")
 
 
-def attach_aggregates(df: DataFrame, keys: list[str], aggregates: list[Column],
-                      salts: int = SALTS) -> DataFrame:
+def attach_aggregates(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """Group figures (map-side combined) joined back onto the rows."""
-    return attach(df, df.groupBy(*keys).agg(*aggregates), keys, salts)
+    return attach(df, df.groupBy(*keys).agg(*aggregates), keys)
 
 
 def lookup_or_default(df: DataFrame, table: DataFrame, keys: list[str], value: str,

@@ -37,13 +37,14 @@ def keep_last(df: DataFrame, order: list[Column], keys: list[str] = PANEL_KEY,
 
 
 def upsert_keep_last(master: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``master``; inside a source the last row wins."""
+    """Rows of ``new`` replace rows of ``master``, which has one row per key.
+
+    Only the pushed rows are aggregated, their last row wins; the master is neither
+    sorted nor summed, it loses the keys of the push.
+    """
     columns = PANEL_KEY + [QTY]
-    old = master.select(*columns, F.lit(0).alias("_source"),
-                        *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in order])
-    fresh = new.select(*columns, F.lit(1).alias("_source"), *order)
-    return keep_last(old.unionByName(fresh),
-                     [F.col("_source"), *[F.col(c) for c in order], F.col(QTY)])
+    fresh = keep_last(new, [*[F.col(c) for c in order], F.col(QTY)])
+    return master.select(columns).join(fresh, PANEL_KEY, "left_anti").unionByName(fresh.select(columns))
 
 
 def distinct_series(df: DataFrame, series: list[str] = SERIES) -> DataFrame:

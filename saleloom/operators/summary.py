@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saleloom.functions import scores
 from saleloom.operators.group_stats import attach
 from saleloom.operators.position import group_quantiles
+from saleloom.operators.windows import mean_of_sums, series_sums
 from saleloom.schema import CATEGORY, DATE, PRED, QTY, SERIES, STATE
 
 
@@ -93,8 +94,9 @@ def prediction_range(df: DataFrame) -> DataFrame:
 
 def mean_predictor(df: DataFrame, history: DataFrame) -> DataFrame:
     """Mean of the series in ``history``, else of the category."""
-    by_series = history.groupBy(*SERIES).agg(F.avg(QTY).alias("_series"))
-    by_category = history.groupBy(CATEGORY).agg(F.avg(QTY).alias("_category"))
+    sums = series_sums(history)
+    by_series = mean_of_sums(sums, SERIES, "_series")
+    by_category = mean_of_sums(sums, [CATEGORY], "_category")
     out = attach(attach(df, by_series, SERIES), by_category, [CATEGORY])
     return out.withColumn(PRED, F.coalesce("_series", "_category")).drop("_series", "_category")
 

@@ -8,6 +8,7 @@ row earlier and are the only ones the models may use.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ from saleloom.operators.densify import mark_holidays, place_by_series
 from saleloom.schema import CATEGORY, DATE, QTY, SERIES, STATE
 
 CHUNK = 256  # rows per EWMA block: 0.5 ** -256 is still far from overflow
+FADED = 1e-20  # a weight that no double in the same sum can feel
+MOST_BLOCKS = 1 << 20  # a window of so many blocks reaches over any series of days
 
 
 def series_window(series: list[str] = SERIES) -> WindowSpec:
@@ -81,10 +84,13 @@ def ewma(df: DataFrame, spans: list[int], series: list[str] = SERIES,
 
     A series is cut into blocks of ``CHUNK`` rows. Inside a block the weighted sum
     is one running sum of x * d^-r, scaled by d^r (d = 1 - a, r = row in block). The
-    end value of each earlier block, faded by the rows since, is added on top. The
-    weights need no sum: they are (1 - d^rows) / a.
+    end values of the blocks before, faded by the rows since, are added on top, as
+    far back as their weight is not below ``FADED``: a few blocks, whatever the
+    length of the series. The weights need no sum: they are (1 - d^rows) / a. Every
+    row counts, so a null quantity is filled before (it would weigh in as 0). With
+    span 1 the mean is the value itself.
     """
-    decay = {n: 1 - 2 / (n + 1) for n in spans}
+    decay = {n: 1 - 2 / (n + 1) for n in spans if n > 1}
     w = series_window(series)
     row = F.row_number().over(w) - 1
     base = df.withColumn("_row", row).select(
@@ -95,12 +101,15 @@ def ewma(df: DataFrame, spans: list[int], series: list[str] = SERIES,
     local = base.select("*", *[
         (F.sum(F.col(QTY) * F.pow(F.lit(d), -F.col("_r"))).over(inside)
          * F.pow(F.lit(d), F.col("_r"))).alias(f"_local_{n}") for n, d in decay.items()])
-    # nulls are skipped by collect_list, so the array holds one entry per full block
-    full = F.when(F.col("_r") == CHUNK - 1, F.struct(*[f"_local_{n}" for n in spans]))
-    earlier = F.collect_list(full).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = {n: min(math.ceil(math.log(FADED) / (CHUNK * math.log(d))), MOST_BLOCKS) for n, d in decay.items()}
+    # nulls are skipped by collect_list, so an array holds one entry per full block
+    full = F.when(F.col("_r") == CHUNK - 1, F.struct(F.lit(0).alias("_"), *[f"_local_{n}" for n in decay]))
+    earlier = F.collect_list(full).over(w.rowsBetween(-CHUNK * max([1, *blocks.values()]), -1))
     carried = local.withColumn("_ends", earlier)
 
     def value(n: int) -> Column:
+        if n == 1:
+            return F.col(QTY).cast("double").alias(name.format(n=n))
         d = decay[n]
         start = F.aggregate("_ends", F.lit(0.0),
                             lambda acc, end: acc * F.lit(d ** CHUNK) + end[f"_local_{n}"])
@@ -220,12 +229,21 @@ def add_group_means(df: DataFrame, until: str | None = None) -> DataFrame:
     aggregates joined back, over the rows before ``until`` where it is given.
     """
     known = df if until is None else df.filter(F.col(DATE) < F.lit(until).cast("date"))
-    by_state = known.groupBy(STATE).agg(F.avg(QTY).alias("state_overall_mean"))
-    by_category = known.groupBy(CATEGORY).agg(F.avg(QTY).alias("category_overall_mean"))
+    by_state = mean_of_sums(series_sums(known), [STATE], "state_overall_mean")
+    by_category = mean_of_sums(series_sums(known), [CATEGORY], "category_overall_mean")
     df = df.withColumn("state_daily_mean", F.avg(QTY).over(Window.partitionBy(STATE, DATE)))
     return group_stats.attach(group_stats.attach(df, by_state, [STATE]), by_category, [CATEGORY])
 
 
+def series_sums(df: DataFrame, series: list[str] = SERIES) -> DataFrame:
+    """Sum and count of the known quantities of each series: coarser means need no more."""
+    return df.groupBy(*series).agg(F.sum(QTY).alias("_sum"), F.count(QTY).alias("_count"))
+
+
+def mean_of_sums(sums: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return sums.groupBy(*keys).agg((F.sum("_sum") / F.nullif(F.sum("_count"), F.lit(0).cast("long"))).alias(name))
+
+
 def add_ratios(df: DataFrame, mode: str = "inclusive", offset: float = 1.0) -> DataFrame:
     """Product of the overall means and the ratios of sales to the group means.
 

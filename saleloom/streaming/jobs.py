@@ -2,33 +2,47 @@
 
 Every job takes its checkpoint folder from the caller and writes each micro-batch to
 its own place, so a batch that runs again after a failure replaces its own output.
-Triggers default to ``availableNow``: read what has arrived, then stop.
+The trigger is a parameter; the default, ``availableNow``, reads what has arrived and
+stops. Results do not depend on the order in which files arrive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from saleloom.operators import merge
 from saleloom.operators.group_stats import attach
-from saleloom.schema import PANEL_KEY, QTY, RAW_SHEET
+from saleloom.schema import DATE, PANEL, PANEL_KEY, QTY, RAW_SHEET
 from saleloom.sources import sheets
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append",
-               batch: Callable[[DataFrame, int], None] | None = None, sink: str | None = None) -> None:
-    """Process everything that has arrived: into ``batch`` per micro-batch or a parquet sink."""
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def start(stream: DataFrame, checkpoint: str, mode: str = "append",
+          batch: Callable[[DataFrame, int], None] | None = None, sink: str | None = None,
+          trigger: dict | None = None) -> StreamingQuery:
+    """Start a job into ``batch`` per micro-batch or a parquet sink.
+
+    ``trigger`` is what ``writeStream.trigger`` takes, such as ``{"processingTime": "2 seconds"}``.
+    """
     writer = (stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
-              .trigger(availableNow=True))
+              .trigger(**(trigger or AVAILABLE_NOW)))
     if batch is not None:
-        writer = writer.foreachBatch(batch)
-    else:
-        writer = writer.format("parquet").option("path", sink)
-    writer.start().awaitTermination()
+        return writer.foreachBatch(batch).start()
+    return writer.format("parquet").option("path", sink).start()
+
+
+def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append",
+               batch: Callable[[DataFrame, int], None] | None = None, sink: str | None = None) -> None:
+    """Process everything that has arrived, then stop."""
+    start(stream, checkpoint, mode, batch, sink).awaitTermination()
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "parquet",
@@ -55,64 +69,142 @@ def ingest_sheets(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return spark.read.parquet(sink).drop("batch")
 
 
-def upsert_snapshots(spark: SparkSession, pushes: DataFrame, folder: str, checkpoint: str,
-                     order: list[str]) -> DataFrame:
-    """Merge each batch of pushed rows into the panel, last row wins.
+_DATED = T.StructType([*PANEL.fields, T.StructField("month", T.StringType())])
 
-    Snapshot N is made from snapshot N-1 and batch N only. The caller has written the
-    starting panel as ``version=-1``. Returns the newest snapshot.
-    """
-    def write(rows: DataFrame, batch_id: int) -> None:
-        master = spark.read.parquet(f"{folder}/version={batch_id - 1}")
-        merged = merge.upsert_keep_last(master, rows, order)
-        merged.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
 
-    run_to_end(pushes, checkpoint, batch=write)
-    return newest_snapshot(spark, folder)
+def _month() -> Column:
+    return F.date_format(DATE, "yyyy-MM").alias("month")
 
 
-def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot with the highest version; only partition values are compared."""
-    versions = spark.read.parquet(folder)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).select(*PANEL_KEY, QTY)
+def write_panel(panel: DataFrame, folder: str, version: int = -1) -> None:
+    """Start a panel that ``upsert_months`` keeps: one folder per month, and which
+    version of each month holds."""
+    months = panel.select(*PANEL_KEY, QTY, _month())
+    months.write.mode("overwrite").partitionBy("month").parquet(f"{folder}/version={version}")
+    held = panel.sparkSession.read.schema(_DATED).parquet(f"{folder}/version={version}").select("month").distinct()
+    _write_holding(held.withColumn("version", F.lit(version)), folder, version)
 
 
-def score_arrivals(events: DataFrame, means: DataFrame, key: str) -> DataFrame:
-    """Stream-static join with the stored predictions, error per row.
+def _write_holding(holding: DataFrame, folder: str, version: int) -> None:
+    holding.select("month", "version").coalesce(1).write.mode("overwrite").parquet(f"{folder}-months/as_of={version}")
+
+
+def _holding(spark: SparkSession, folder: str, version: int) -> dict[str, int]:
+    """Month -> version; one small row per calendar month."""
+    rows = spark.read.schema("month string, version int").parquet(f"{folder}-months/as_of={version}").collect()
+    return {r["month"]: r["version"] for r in rows}
+
+
+def _months(spark: SparkSession, folder: str, held: dict[str, int]) -> DataFrame:
+    paths = [f"{folder}/version={v}/month={m}" for m, v in sorted(held.items())]
+    if not paths:
+        return spark.createDataFrame([], PANEL)
+    return spark.read.schema(PANEL).parquet(*paths)
 
-    ``means`` is a stored table with one row per key. Adaptive execution does not reach
-    a streaming join, so rows of a busy key are spread over salted copies of the table.
+
+def upsert_months(spark: SparkSession, pushes: DataFrame, folder: str, checkpoint: str,
+                  order: list[str], trigger: dict | None = None) -> DataFrame:
+    """Merge each batch of pushed rows into the panel, last row wins.
+
+    Batch N reads and rewrites only the months it touches; the others keep their files.
+    What it starts from is the list of month versions that batch N-1 left, so a batch
+    that runs again gives the same. Returns the panel after the last batch.
     """
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows = rows.persist()
+        try:
+            held = _holding(spark, folder, batch_id - 1)
+            touched = {r["month"] for r in rows.select(_month()).distinct().collect()}
+            master = _months(spark, folder, {m: v for m, v in held.items() if m in touched})
+            merged = merge.upsert_keep_last(master, rows, order)
+            (merged.select("*", _month()).write.mode("overwrite").partitionBy("month")
+             .parquet(f"{folder}/version={batch_id}"))
+            held |= dict.fromkeys(touched, batch_id)
+            _write_holding(spark.createDataFrame(sorted(held.items()), "month string, version int"), folder, batch_id)
+        finally:
+            rows.unpersist()
+
+    start(pushes, checkpoint, batch=write, trigger=trigger).awaitTermination()
+    return panel_as_of(spark, folder)
+
+
+def panel_as_of(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The panel as batch ``version`` left it (-1: as it began), or as the last batch did."""
+    if version is None:
+        version = spark.read.parquet(f"{folder}-months").agg(F.max("as_of")).first()[0]
+    return _months(spark, folder, _holding(spark, folder, version)).select(*PANEL_KEY, QTY)
+
+
+def score_arrivals(events: DataFrame, means: DataFrame, key: str) -> DataFrame:
+    """Stream-static join with the stored predictions (one row per key), error per row."""
     return (attach(events, means, [key])
             .withColumn("error", F.abs(F.col("actual") - F.col("predicted"))))
 
 
-def live_windows(scored: DataFrame, length: str = "5 minutes", late: str = "10 minutes",
-                 key: str = "vehicle_category") -> DataFrame:
-    """Count and error per tumbling window and category, late rows up to the watermark."""
-    return (scored.withWatermark("timestamp", late)
-            .groupBy(F.window("timestamp", length), key)
-            .agg(F.count(F.lit(1)).alias("events"), F.avg("error").alias("mae"),
-                 F.avg("actual").alias("mean_actual"))
-            .select(F.col("window.start").alias("window_start"), key, "events", "mae", "mean_actual"))
+def score_with_model(events: DataFrame, model: PipelineModel, clock: Column | None = None) -> DataFrame:
+    """Rows with the model's prediction, its error and the time of scoring.
+
+    The pipeline makes its own inputs from the event columns, so that batch and stream
+    score alike; ``clock`` is the time of the micro-batch by default.
+    """
+    scored = model.transform(events)
+    made = [c for c in scored.columns if c not in events.columns and c != "prediction"]
+    return (scored.drop(*made).withColumnRenamed("prediction", "predicted")
+            .withColumn("error", F.abs(F.col("actual") - F.col("predicted")))
+            .withColumn("scored_at", F.current_timestamp() if clock is None else clock))
 
 
-def write_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str],
-                  values: list[str]) -> DataFrame:
-    """Run in update mode, keep each batch's changed rows, read back the newest per key."""
+def live_windows(scored: DataFrame, folder: str, checkpoint: str, length: str = "5 minutes",
+                 key: str = "vehicle_category", trigger: dict | None = None) -> DataFrame:
+    """Count and errors per tumbling window and category, exact however late a row comes.
+
+    Each micro-batch leaves its counts and sums per window and key; reading adds them
+    up. There is no state and no row is too late.
+    """
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        (rows.groupBy(F.window("timestamp", length).alias("w"), key)
+         .agg(F.count(F.lit(1)).alias("events"), F.sum("error").alias("error"), F.count("error").alias("errors"),
+              F.sum("actual").alias("actual"), F.count("actual").alias("actuals"))
+         .select(F.col("w.start").alias("window_start"), key, "events", "error", "errors", "actual", "actuals")
+         .write.mode("overwrite").parquet(f"{folder}/batch={batch_id}"))
+
+    start(scored, checkpoint, batch=write, trigger=trigger).awaitTermination()
+    return windows_so_far(scored.sparkSession, folder, key)
+
 
-    run_to_end(stream, checkpoint, mode="update", batch=write)
-    updates = stream.sparkSession.read.parquet(folder)
-    newest = F.max_by(F.struct(*values), "batch").alias("v")
-    return updates.groupBy(*keys).agg(newest).select(*keys, "v.*")
+def windows_so_far(spark: SparkSession, folder: str, key: str = "vehicle_category") -> DataFrame:
+    """The live table from the partial sums stored so far."""
+    zero = F.lit(0).cast("long")
+    return (spark.read.parquet(folder).groupBy("window_start", key)
+            .agg(F.sum("events").alias("events"),
+                 (F.sum("error") / F.nullif(F.sum("errors"), zero)).alias("mae"),
+                 (F.sum("actual") / F.nullif(F.sum("actuals"), zero)).alias("mean_actual")))
 
 
-def without_repeats(events: DataFrame, key: str, horizon: str, time: str = "timestamp") -> DataFrame:
-    """First arrival of each event; a repeat inside the horizon is dropped."""
-    return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
+def without_repeats(events: DataFrame, key: str, folder: str, checkpoint: str, time: str = "timestamp",
+                    trigger: dict | None = None) -> DataFrame:
+    """First arrival of each event, whatever its age; a repeat carries the event's own time.
+
+    Stored rows lie by event date. A batch reads the keys of the dates it touches, drops
+    what is there and adds the rest in its own place.
+    """
+    spark = events.sparkSession
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        dated = rows.withColumn("event_date", F.to_date(time)).dropDuplicates([key]).persist()
+        try:
+            fresh = dated
+            if batch_id > 0:
+                dates = [r[0] for r in dated.select("event_date").distinct().collect()]
+                known = (spark.read.parquet(folder).filter((F.col("batch") < batch_id))
+                         .filter(F.col("event_date").isin(dates) | F.col("event_date").isNull()).select(key))
+                fresh = dated.join(known, key, "left_anti")
+            fresh.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/batch={batch_id}")
+        finally:
+            dated.unpersist()
+
+    start(events, checkpoint, batch=write, trigger=trigger).awaitTermination()
+    return spark.read.parquet(folder).drop("batch", "event_date")
 
 
 def as_event_time(column: str) -> Column:

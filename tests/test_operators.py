@@ -83,6 +83,9 @@ def test_upsert_keeps_last_of_new_source_and_unique_keys(spark):
     assert [r[QTY] for r in out] == [1, 7, 9]
     again = merge.upsert_keep_last(merge.upsert_keep_last(master, new, ["n"]), new, ["n"])
     assert again.count() == 3
+    plan = merge.upsert_keep_last(master, new, ["n"])._jdf.queryExecution().optimizedPlan()
+    joined = plan.children().apply(0)  # the master's side of the union loses keys and nothing else
+    assert "Aggregate" not in joined.children().apply(0).children().apply(0).toString()
     summed = merge.merge_sum(master, new).orderBy(DATE).collect()
     assert [r[QTY] for r in summed] == [1, 14, 9]
 

@@ -148,17 +148,62 @@ def test_stream_resumes_and_reads_each_file_once(spark):
             .coalesce(1).write.mode("append").parquet(f"{work}/in")
     push([("2020-01-01", "A", "Bus", 1, 1)])
     start = spark.createDataFrame([], schema).select(*PANEL_KEY, QTY)
-    start.write.parquet(f"{work}/panel/version=-1")
+    jobs.write_panel(start, f"{work}/panel")
     stream_schema = spark.read.parquet(f"{work}/in").schema
     def run():
         stream = jobs.file_stream(spark, f"{work}/in", stream_schema)
-        return jobs.upsert_snapshots(spark, stream, f"{work}/panel", f"{work}/checkpoint", ["n"]).collect()
+        return jobs.upsert_months(spark, stream, f"{work}/panel", f"{work}/checkpoint", ["n"]).collect()
     assert [r[QTY] for r in run()] == [1]
     assert [r[QTY] for r in run()] == [1]
     push([("2020-01-01", "A", "Bus", 5, 2), ("2020-01-02", "A", "Bus", 8, 1)])
     assert sorted(r[QTY] for r in run()) == [5, 8]
 
 
+def test_upsert_leaves_other_months_alone(spark):
+    work = new_folder(spark, "test-months")
+    rows = [("2020-01-05", "A", "Bus", 1), ("2020-02-05", "A", "Bus", 2), ("2020-03-05", "A", "Bus", 3)]
+    start = spark.createDataFrame(rows, "Date string, State string, Vehicle_Category string, EV_Sales_Quantity long").withColumn(DATE, F.to_date(DATE))
+    jobs.write_panel(start, f"{work}/panel")
+    before = set(jobs.panel_as_of(spark, f"{work}/panel").inputFiles())
+    start.filter("EV_Sales_Quantity = 2").withColumn(QTY, F.lit(7).cast("long")).write.parquet(f"{work}/in")
+    stream = jobs.file_stream(spark, f"{work}/in", start.schema)
+    after = jobs.upsert_months(spark, stream, f"{work}/panel", f"{work}/checkpoint", [QTY])
+    assert sorted(r[QTY] for r in after.collect()) == [1, 3, 7]
+    assert len(before & set(after.inputFiles())) == 2
+    assert sorted(r[QTY] for r in jobs.panel_as_of(spark, f"{work}/panel", -1).collect()) == [1, 2, 3]
+
+
+def shuffled_feed(spark, sf_dir, work, repeats):
+    """The feed in six files whose rows are in no order of time, a third of it twice."""
+    feed = inputs.live_feed(spark, sf_dir)
+    if repeats:
+        feed = feed.unionByName(feed.filter("id % 3 = 0"))
+    feed.repartition(6, F.xxhash64("id", F.rand(3))).write.parquet(f"{work}/in")
+    return jobs.file_stream(spark, f"{work}/in", spark.read.parquet(f"{work}/in").schema, files_per_batch=1)
+
+
+def test_live_windows_take_late_rows(spark, sf_dir):
+    work = new_folder(spark, "test-windows")
+    stream = shuffled_feed(spark, sf_dir, work, False)
+    got = jobs.live_windows(stream, f"{work}/out", f"{work}/checkpoint").toPandas()
+    feed = inputs.live_feed(spark, sf_dir)
+    want = (feed.groupBy(F.window("timestamp", "5 minutes").alias("w"), "vehicle_category")
+            .agg(F.count("*").alias("events"), F.avg("error").alias("mae"), F.avg("actual").alias("mean_actual"))
+            .select(F.col("w.start").alias("window_start"), "vehicle_category", "events", "mae", "mean_actual").toPandas())
+    keys = ["window_start", "vehicle_category"]
+    pd.testing.assert_frame_equal(got.sort_values(keys).reset_index(drop=True)[want.columns],
+                                  want.sort_values(keys).reset_index(drop=True))
+
+
+def test_repeats_go_whatever_their_age(spark, sf_dir):
+    work = new_folder(spark, "test-repeats")
+    stream = shuffled_feed(spark, sf_dir, work, True)
+    got = jobs.without_repeats(stream, "id", f"{work}/out", f"{work}/checkpoint")
+    want = inputs.live_feed(spark, sf_dir)
+    assert got.count() == want.count()
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
     from saleloom import session
 

@@ -37,6 +37,15 @@ def test_ewma_equals_pandas(spark, frame):
         np.testing.assert_allclose(out[f"ema_{n}"], want, rtol=1e-10)
 
 
+def test_ewma_of_long_series_and_short_spans(spark):
+    rng = np.random.default_rng(8)
+    long = pd.DataFrame({DATE: pd.date_range("1990-01-01", periods=5000).date, STATE: "A", CATEGORY: "Bus",
+                         QTY: rng.integers(0, 50, 5000)})
+    out = by_key(windows.ewma(spark.createDataFrame(long), [1, 2, 3, 90, 2000]).toPandas())
+    for n in (1, 2, 3, 90, 2000):
+        np.testing.assert_allclose(out[f"ema_{n}"], long[QTY].ewm(span=n).mean(), rtol=1e-9)
+
+
 def test_shifted_ewma_equals_pandas(spark, frame):
     out = by_key(windows.shifted_ewma(spark.createDataFrame(frame), [3]).toPandas())
     want = grouped(frame).transform(lambda x: x.shift(1).ewm(span=3).mean())
