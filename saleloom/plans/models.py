@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleloom.functions import calendar
-from saleloom.operators import encode, summary, windows
+from saleloom.operators import allocate, encode, summary, windows
+from saleloom.operators.densify import month_spine
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, STATE
+from saleloom.session import new_folder, stored
 
 MIN_ROWS = 50
-THREADS = 4
+THREADS = 8
+ROWS_PER_TASK = 20_000  # a tree level is one job; rows of one category rarely need many tasks
 
 # ---- fixed values: feature lists ---------------------------------------------------
 HURDLE_FEATURES = [
@@ -44,14 +47,18 @@ BENCHMARK_FEATURES = ["month", "year", "lag_1", "lag_3", "rolling_mean_3"]
 
 # ---- fixed values: model settings ---------------------------------------------------
 HURDLE_CLASSIFIER = {"maxIter": 50, "seed": 42}
-MONTHLY_SETTINGS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
+MONTHLY_SETTINGS = {"maxIter": 2000, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8,
                     "seed": 42}
-THREE_WHEELER_SETTINGS = {"lossType": "squared", "maxIter": 200, "stepSize": 0.03, "maxDepth": 5,
+THREE_WHEELER_SETTINGS = {"lossType": "squared", "maxIter": 1000, "stepSize": 0.03, "maxDepth": 5,
                           "subsamplingRate": 0.8, "seed": 42}
-BUS_SETTINGS = {"lossType": "absolute", "maxIter": 200, "stepSize": 0.03, "maxDepth": 5,
+BUS_SETTINGS = {"lossType": "absolute", "maxIter": 1000, "stepSize": 0.03, "maxDepth": 5,
                 "minInstancesPerNode": 15, "seed": 42}
 INCREMENTAL_SETTINGS = {"stepSize": 0.01, "maxIter": 100, "seed": 42}
 BENCHMARK_SETTINGS = {"maxIter": 50, "stepSize": 0.05, "maxDepth": 3, "seed": 42}
+# tried by ``train_monthly``: rate, depth, leaf size and share of rows
+GRID = [{"stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 5, "subsamplingRate": 0.8},
+        {"stepSize": 0.1, "maxDepth": 3, "minInstancesPerNode": 10, "subsamplingRate": 0.8},
+        {"stepSize": 0.1, "maxDepth": 4, "minInstancesPerNode": 20, "subsamplingRate": 1.0}]
 
 
 # ---- features -----------------------------------------------------------------------
@@ -97,6 +104,23 @@ def categories_with_enough(train: DataFrame, minimum: int = MIN_ROWS) -> list[st
 # ---- fitting ------------------------------------------------------------------------
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows kept in memory in few partitions: as many as their number asks for."""
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))).persist()
+
+
+def store_by_category(df: DataFrame, name: str = "features") -> DataFrame:
+    """Features written once, a folder per category, so that each model reads its own rows."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(CATEGORY).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def trees_of(model: PipelineModel) -> int:
+    """Trees that boosting kept."""
+    return model.stages[-1].getNumTrees
+
+
 def fit_regressor(train: DataFrame, features: list[str], label: str = QTY, scale: bool = False,
                   validation: str | None = None, **settings) -> PipelineModel:
     """Assembler, optional robust scaler, boosted trees.
@@ -132,19 +156,24 @@ def fit_each(names: Iterable[str], fit: Callable[[str], object], threads: int =
         return dict(zip(names, pool.map(fit, names)))
 
 
-def grid_search(train: DataFrame, valid: DataFrame, features: list[str], grid: list[dict],
-                label: str = QTY, scale: bool = False, threads: int = THREADS,
-                **settings) -> tuple[dict, list[tuple[dict, float]]]:
-    """Settings with the smallest validation MAE, and the error of every setting."""
-    def error(setting: dict) -> float:
-        model = fit_regressor(train, features, label, scale, **{**settings, **setting})
-        scored = model.transform(valid)
-        return scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+def grid_search(rows: DataFrame, validation: str, features: list[str], grid: list[dict] = GRID,
+                label: str = QTY, scale: bool = False,
+                **settings) -> tuple[dict, int | None, list[tuple[dict, float | None]]]:
+    """Settings with the smallest validation MAE, their number of trees, and all errors.
 
-    with ThreadPoolExecutor(threads) as pool:
-        errors = list(pool.map(error, grid))
-    trials = list(zip(grid, errors))
-    return min(trials, key=lambda t: t[1])[0], trials
+    ``validation`` names a boolean column; its rows stop the boosting of every trial.
+    Without such rows nothing is tried: the first settings and no error are returned.
+    """
+    if rows.filter(validation).isEmpty():
+        return grid[0], None, [(s, None) for s in grid]
+    trials = []
+    for setting in grid:
+        model = fit_regressor(rows, features, label, scale, validation, **{**settings, **setting})
+        error = (model.transform(rows.filter(validation))
+                 .agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0])
+        trials.append((setting, trees_of(model), error))
+    best = min(trials, key=lambda t: t[2])
+    return best[0], best[1], [(s, e) for s, _, e in trials]
 
 
 @dataclass
@@ -186,17 +215,21 @@ def _distinct(keep: list[str], features: list[str]) -> list[str]:
 
 
 def train_per_category(train: DataFrame, features: list[str], settings: dict | Callable[[str], dict],
-                       scale: bool = False, minimum: int = MIN_ROWS) -> ModelSet:
-    """One regressor per category with enough rows."""
-    train = train.persist()
-    try:
-        def fit(category: str) -> PipelineModel:
-            chosen = settings(category) if callable(settings) else settings
-            return fit_regressor(train.filter(F.col(CATEGORY) == category), features, scale=scale,
-                                 **chosen)
-        return ModelSet(features, fit_each(categories_with_enough(train, minimum), fit))
-    finally:
-        train.unpersist()
+                       scale: bool = False, minimum: int = MIN_ROWS, validation: str | None = None) -> ModelSet:
+    """One regressor per category with enough rows.
+
+    ``train`` is best stored by category. ``validation`` names a boolean column whose rows
+    stop the boosting early.
+    """
+    def fit(category: str) -> PipelineModel:
+        chosen = settings(category) if callable(settings) else settings
+        rows = placed(train.filter(F.col(CATEGORY) == category))
+        try:
+            return fit_regressor(rows, features, scale=scale, validation=validation, **chosen)
+        finally:
+            rows.unpersist()
+
+    return ModelSet(features, fit_each(categories_with_enough(train, minimum), fit))
 
 
 # ---- protocols -----------------------------------------------------------------------
@@ -209,6 +242,17 @@ class Hurdle:
     classifier: PipelineModel
     regressor: PipelineModel | None
 
+    def save(self, folder: str) -> None:
+        self.classifier.write().overwrite().save(f"{folder}/classifier")
+        if self.regressor is not None:
+            self.regressor.write().overwrite().save(f"{folder}/regressor")
+
+    @staticmethod
+    def load(folder: str, sells: bool = True) -> Hurdle:
+        """``sells`` is false for a hurdle that was saved without a regressor."""
+        return Hurdle(PipelineModel.load(f"{folder}/classifier"),
+                      PipelineModel.load(f"{folder}/regressor") if sells else None)
+
     def score(self, df: DataFrame) -> DataFrame:
         """``Predicted_Sales`` is 0 where the classifier says no sale."""
         flagged = self.classifier.transform(df)
@@ -220,46 +264,60 @@ class Hurdle:
 
 
 def fit_hurdle(train: DataFrame, features: list[str], validation: str | None = None,
-               classifier: dict = HURDLE_CLASSIFIER, regressor: dict = BUS_SETTINGS) -> Hurdle:
+               classifier: dict = HURDLE_CLASSIFIER, regressor: dict = BUS_SETTINGS,
+               grid: list[dict] | None = None) -> Hurdle:
     """Classifier on all rows, regressor on log1p of the rows that sold.
 
-    A day type that always or never sells needs no classifier split; Spark handles it
-    as a single-leaf tree.
+    With ``validation`` its rows stop the boosting, and every setting of ``grid`` for the
+    regressor is judged by the error of the whole hurdle on all of them, rows without
+    sales included. A day type that always or never sells needs no classifier split;
+    Spark handles it as a single-leaf tree.
     """
-    labelled = (train.withColumn("sold", (F.col(QTY) > 0).cast("double"))
-                .withColumn("log_quantity", F.log1p(QTY))).persist()
+    labelled = placed(train.withColumn("sold", (F.col(QTY) > 0).cast("double"))
+                      .withColumn("log_quantity", F.log1p(QTY)))
     try:
         first = fit_classifier(labelled, features, "sold", validation, **classifier)
         positive = labelled.filter("sold = 1")
-        second = None if positive.isEmpty() else fit_regressor(
-            positive, features, "log_quantity", validation=validation, **regressor)
-        return Hurdle(first, second)
+        judged = validation and not labelled.filter(validation).isEmpty()
+        if positive.isEmpty():
+            return Hurdle(first, None)
+        stop = validation if validation and not positive.filter(validation).isEmpty() else None
+        fitted = [Hurdle(first, fit_regressor(positive, features, "log_quantity", validation=stop, **{**regressor, **g}))
+                  for g in (grid if grid and judged else [{}])]
+        if len(fitted) == 1:
+            return fitted[0]
+
+        def error(hurdle: Hurdle) -> float:
+            return hurdle.score(labelled.filter(validation)).agg(F.avg(F.abs(F.col(QTY) - F.col(PRED)))).first()[0]
+
+        return min(fitted, key=error)
     finally:
         labelled.unpersist()
 
 
-def train_monthly(monthly_features: DataFrame, valid_from: str, grid: list[dict],
+def train_monthly(monthly_features: DataFrame, valid_from: str, grid: list[dict] = GRID,
                   features: list[str] = HYBRID_FEATURES, settings: dict = MONTHLY_SETTINGS,
                   minimum: int = MIN_ROWS) -> tuple[ModelSet, list[tuple]]:
-    """Per category: grid on rows before ``valid_from``, refit on all rows.
+    """Per category: grid with early stopping on the rows from ``valid_from`` on, then a refit
+    of all rows with the settings and the number of trees of the best trial.
 
-    Returns the refitted models and (category, setting, validation MAE) of all trials.
+    Returns the refitted models and (category, setting, validation MAE) of all trials; a
+    category without validation rows is fitted with the first settings and null errors.
     """
-    rows = monthly_features.persist()
-    cut = F.lit(valid_from).cast("date")
-    try:
-        def fit(category: str):
-            mine = rows.filter(F.col(CATEGORY) == category)
-            best, trials = grid_search(mine.filter(F.col(DATE) < cut), mine.filter(F.col(DATE) >= cut),
-                                       features, grid, scale=True, threads=1, **settings)
-            model = fit_regressor(mine, features, scale=True, **{**settings, **best})
-            return model, [(category, str(s), e) for s, e in trials]
-
-        fitted = fit_each(categories_with_enough(rows, minimum), fit)
-        models = ModelSet(features, {c: m for c, (m, _) in fitted.items()})
-        return models, [t for _, trials in fitted.values() for t in trials]
-    finally:
-        rows.unpersist()
+    rows = monthly_features.withColumn("_valid", F.col(DATE) >= F.lit(valid_from).cast("date"))
+
+    def fit(category: str):
+        mine = placed(rows.filter(F.col(CATEGORY) == category))
+        try:
+            best, trees, trials = grid_search(mine, "_valid", features, grid, scale=True, **settings)
+            chosen = {**settings, **best, "maxIter": trees or min(100, settings["maxIter"])}
+            return fit_regressor(mine, features, scale=True, **chosen), [(category, str(s), e) for s, e in trials]
+        finally:
+            mine.unpersist()
+
+    fitted = fit_each(categories_with_enough(rows, minimum), fit)
+    models = ModelSet(features, {c: m for c, (m, _) in fitted.items()})
+    return models, [t for _, trials in fitted.values() for t in trials]
 
 
 def specialised_settings(category: str) -> dict:
@@ -274,33 +332,64 @@ def incremental_update(old: PipelineModel, new_rows: DataFrame, features: list[s
 
     80 % of the new rows train (hash of the key), the rest validates and stops the
     boosting. Returns the new model, scored validation rows (columns original, updated,
-    ensemble) and one history row.
+    ensemble) and one history row, whose ``n_estimators`` are the trees kept.
     """
-    parted = summary.hashed_split(new_rows, PANEL_KEY).withColumn(
-        "is_valid", F.col("part") == "test").persist()
+    parted = stored(summary.hashed_split(new_rows, PANEL_KEY).withColumn("is_valid", F.col("part") == "test"), "parted")
+    rows = placed(parted)
     try:
-        new = fit_regressor(parted, features, validation="is_valid", **settings)
-        scored = old.transform(parted).withColumnRenamed("prediction", "original")
-        scored = new.transform(scored.drop("raw_features", "features")) \
-            .withColumnRenamed("prediction", "updated")
-        scored = scored.select(*PANEL_KEY, QTY, "part", "original", "updated",
-                               ((F.col("original") + F.col("updated")) / 2).alias("ensemble"))
-        train, valid = F.col("part") == "train", F.col("part") == "test"
-
-        def gap(column: str, rows) -> list:
-            y, p = F.when(rows, F.col(QTY).cast("double")), F.when(rows, F.col(column))
-            return [F.avg(F.abs(y - p)),
-                    1 - F.sum((y - p) * (y - p)) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))]
-
-        figures = {"train": ("updated", train), "val": ("updated", valid), "ensemble": ("ensemble", valid)}
-        columns = [c.alias(f"{name}_{m}") for name, (col, rows) in figures.items()
-                   for c, m in zip(gap(col, rows), ("mae", "r2"))]
-        history = scored.agg(F.lit(stamp).alias("timestamp"), F.count(F.lit(1)).alias("new_records"),
-                             *columns, F.lit(float(settings["stepSize"])).alias("learning_rate"),
-                             F.lit(settings["maxIter"]).alias("n_estimators"))
-        return new, scored.filter(valid), history
+        new = fit_regressor(rows, features, validation="is_valid", **settings)
     finally:
-        parted.unpersist()
+        rows.unpersist()
+    scored = old.transform(parted).withColumnRenamed("prediction", "original")
+    scored = new.transform(scored.drop("raw_features", "features")) \
+        .withColumnRenamed("prediction", "updated")
+    scored = scored.select(*PANEL_KEY, QTY, "part", "original", "updated",
+                           ((F.col("original") + F.col("updated")) / 2).alias("ensemble"))
+    train, valid = F.col("part") == "train", F.col("part") == "test"
+
+    def gap(column: str, rows) -> list:
+        y, p = F.when(rows, F.col(QTY).cast("double")), F.when(rows, F.col(column))
+        return [F.avg(F.abs(y - p)),
+                1 - F.sum((y - p) * (y - p)) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))]
+
+    figures = {"train": ("updated", train), "val": ("updated", valid), "ensemble": ("ensemble", valid)}
+    columns = [c.alias(f"{name}_{m}") for name, (col, rows) in figures.items()
+               for c, m in zip(gap(col, rows), ("mae", "r2"))]
+    history = scored.agg(F.lit(stamp).alias("timestamp"), F.count(F.lit(1)).alias("new_records"),
+                         *columns, F.lit(float(settings["stepSize"])).alias("learning_rate"),
+                         F.lit(trees_of(new)).alias("n_estimators"))
+    return new, scored.filter(valid), history
+
+
+# ---- monthly protocols of single categories ---------------------------------------------------
+
+
+def direct_forecast(rows: DataFrame, models: ModelSet, first: str, months: int) -> DataFrame:
+    """Months ahead at once: every lag is the last quantity, other history features stay at
+    their last values. ``rows`` holds SPECIALISED_FEATURES."""
+    frozen = [c for c in SPECIALISED_FEATURES if c.startswith("roll") or c in ("momentum", "state_avg", "state_encoded")]
+    last = rows.groupBy(STATE, CATEGORY).agg(F.max_by(F.struct(QTY, *frozen), DATE).alias("r"))
+    last = last.select(STATE, CATEGORY, F.col(f"r.{QTY}").alias("_last"), *[F.col(f"r.{c}").alias(c) for c in frozen])
+    future = month_spine(last, first, months).select(
+        "*", F.month(DATE).alias("month"), F.year(DATE).alias("year"), F.quarter(DATE).alias("quarter"),
+        *[F.col("_last").alias(f"lag_month_{k}") for k in windows.MONTHLY_LAGS])
+    return models.score(future, PANEL_KEY)
+
+
+def back_score_days(days: DataFrame, rows: DataFrame, models: ModelSet) -> DataFrame:
+    """History scored by monthly models: each day gets a thirtieth of its month's prediction."""
+    by_month = models.score(rows, PANEL_KEY).withColumnRenamed(PRED, "Monthly_Pred")
+    return allocate.thirtieth_onto_days(days, by_month).select(*PANEL_KEY, QTY, PRED)
+
+
+def boosting_benchmark(national: DataFrame, test_rows: int = 12,
+                       settings: dict = BENCHMARK_SETTINGS) -> tuple[ModelSet, DataFrame]:
+    """A model per category on five features of the national months; the newest rows are the
+    test. Returns the models and the scored test rows."""
+    rows = last_rows_split(benchmark_features(national, [CATEGORY]), test_rows, [CATEGORY])
+    rows = store_by_category(rows, "benchmark")
+    fitted = train_per_category(rows.filter("NOT is_test"), BENCHMARK_FEATURES, settings, minimum=test_rows)
+    return fitted, fitted.score(rows.filter("is_test"), [CATEGORY, DATE, QTY])
 
 
 def compare_predictions(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:

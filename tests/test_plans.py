@@ -9,7 +9,6 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from saleloom.catalog import QUERIES, inputs
-from saleloom.catalog.models import QUICK
 from saleloom.operators import clean, encode, merge, windows
 from saleloom.plans import baselines, models, ondemand, recursive
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, SERIES, STATE
@@ -17,6 +16,9 @@ from saleloom.session import cut_lineage, new_folder
 from saleloom.streaming import jobs
 
 
+QUICK = {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3, "seed": 42}  # trees whose quality no test looks at
+
+
 @pytest.fixture(scope="module")
 def months(spark, dense):
     full = clean.between_dates(windows.monthly_totals(dense), before=inputs.LAST_FULL_DAY_BEFORE)
@@ -132,9 +134,32 @@ def test_on_demand_sources_and_smoke_cases(spark, dense):
 
 
 def test_incremental_update_averages(spark, sf_dir):
-    rows = {r["model"]: r for r in QUERIES["incremental_update"](spark, sf_dir).collect()}
-    assert set(rows) == {"original", "updated", "ensemble"}
-    assert rows["ensemble"]["mae"] <= max(rows["original"]["mae"], rows["updated"]["mae"]) + 1e-9
+    rows = models.hurdle_features(inputs.dense(spark, sf_dir).filter("Vehicle_Category = 'Bus'"))
+    names = [f for f in models.HURDLE_FEATURES if f != "State_code"]
+    old = models.fit_regressor(clean.between_dates(rows, "1999-01-01", "1999-03-01"), names, **QUICK)
+    new, scored, history = models.incremental_update(old, clean.between_dates(rows, start="2001-06-01"), names, "now",
+                                                     {**QUICK, "maxIter": 30})
+    assert scored.filter("abs(ensemble - (original + updated) / 2) > 1e-9").isEmpty()
+    row = history.first()
+    assert row["n_estimators"] == models.trees_of(new) and 0 < scored.count() < row["new_records"]
+    assert row["ensemble_mae"] <= max(row["val_mae"], scored.agg(F.avg(F.abs(F.col(QTY) - F.col("original")))).first()[0]) + 1e-9
+
+
+def test_hurdle_survives_saving(spark, dense):
+    rows = models.hurdle_features(dense.filter("Vehicle_Category = 'Bus' AND State = 'NATION_1'"))
+    names = [f for f in models.HURDLE_FEATURES if f != "State_code"]
+    train = clean.between_dates(rows, before="1997-01-01").withColumn("v", F.col(DATE) >= F.lit("1996-10-01").cast("date"))
+    fitted = models.fit_hurdle(train, names, "v", {"maxIter": 2, "seed": 1}, {**QUICK, "maxIter": 3}, [{"maxDepth": 2}, {"maxDepth": 4}])
+    folder = new_folder(spark, "test-hurdle")
+    fitted.save(folder)
+    a = fitted.score(rows).select(DATE, PRED).collect()
+    assert a == models.Hurdle.load(folder).score(rows).select(DATE, PRED).collect()
+
+
+def test_grid_without_validation_rows_is_not_tried(spark, months):
+    rows = windows.hybrid_monthly_features(months).withColumn("v", F.lit(False))
+    best, trees, trials = models.grid_search(rows, "v", ["Lag_1"], [{"maxDepth": 2}, {"maxDepth": 3}])
+    assert best == {"maxDepth": 2} and trees is None and [e for _, e in trials] == [None, None]
 
 
 # ---- streaming ------------------------------------------------------------------------------
