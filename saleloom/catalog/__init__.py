@@ -3,6 +3,7 @@
 from saleloom.catalog import (  # noqa: F401  (importing registers the queries)
     evaluation,
     features,
+    fixed,
     forecasts,
     ingest,
     models,

@@ -221,50 +221,15 @@ def recursive_daily_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast_checks(recursive.forecast_days(dense, fitted.models, DAILY, NEXT_DAY, 90))
 
 
-# fixed values: numbers of the one model for all series
-NET_NUMBERS = ["month", "year", "quarter", "day_of_week", "lag_1", "lag_3", "lag_7"]
-
-
 @query("J11,E5,H3,H5,H8,H9,F3", _forecast_sql(30, NEXT_DAY))
 def iterative_forecast_all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One linear model for all series on scaled inputs; the last 60 rows are kept.
+    """One linear model for all series on scaled inputs; the last 60 rows are kept."""
+    def fit(train: DataFrame, names: list[str]) -> PipelineModel:
+        linear = LinearRegression(featuresCol="x", labelCol=QTY, regParam=0.01)
+        return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), linear]).fit(train)
 
-    Scaling parameters are stored figures, so the driver holds one row per feature.
-    """
     dense = cut_lineage(inputs.dense(spark, sf_dir))
-    d = F.col(DATE)
-    rows = dense.select(*PANEL_KEY, QTY, F.month(d).alias("month"), F.year(d).alias("year"),
-                        F.quarter(d).alias("quarter"), F.weekday(d).alias("day_of_week"),
-                        *windows.lags([1, 3, 7])).dropna()
-    one_hot = (encode.one_hot(CATEGORY, encode.known_values(dense, CATEGORY), "cat")
-               + encode.one_hot(STATE, encode.known_values(dense, STATE), "state"))
-    params = {r["feature"]: (r["mean"], r["std"])
-              for r in encode.zscore_parameters(rows, [*NET_NUMBERS, QTY]).collect()}
-
-    def scaled(name: str, value) -> F.Column:
-        mean, std = params[name]
-        return (value - F.lit(mean)) / F.lit(std)
-
-    flags = dense.limit(0).select(*one_hot).columns
-    train = rows.select(*[scaled(c, F.col(c)).alias(c) for c in [*NET_NUMBERS, QTY]], *one_hot)
-    assembler = VectorAssembler(inputCols=[*NET_NUMBERS, *flags], outputCol="x")
-    linear = LinearRegression(featuresCol="x", labelCol=QTY, regParam=0.01)
-    model = Pipeline(stages=[assembler, linear]).fit(train)
-
-    state = cut_lineage(merge.recent_values(dense, 60).select("*", *one_hot))
-
-    def features(day) -> dict:
-        h = F.col("history")
-        values = {"month": F.lit(day.month), "year": F.lit(day.year),
-                  "quarter": F.lit((day.month + 2) // 3), "day_of_week": F.lit(day.weekday()),
-                  **{f"lag_{k}": recursive.back(h, k) for k in (1, 3, 7)}}
-        return {c: scaled(c, v) for c, v in values.items()}
-
-    mean, std = params[QTY]
-    return _forecast_checks(recursive.roll_forward(
-        state, {recursive.ALL: model}, recursive.days_after(NEXT_DAY, 30), features,
-        lambda v: {"history": windows.tail(F.array_append("history", v), 60)},
-        lambda p, _: F.greatest(p * F.lit(std) + F.lit(mean), F.lit(0.0)).cast("long").cast("double")))
+    return _forecast_checks(recursive.forecast_all_series(dense, fit, NEXT_DAY, 30))
 
 
 @query("J12,D8,E9,G13,J13,J14", f"""SELECT "Vehicle_Category", CAST(count(DISTINCT "State") * 30 AS BIGINT) AS rows, count(DISTINCT "State") AS states,

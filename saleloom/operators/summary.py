@@ -44,6 +44,9 @@ def weekday_profile(df: DataFrame, keys: list[str] = SERIES, positive_only: bool
             .agg(F.avg(QTY).alias("mean_quantity")))
 
 
+LOWEST_LEVEL = 5.0  # fixed value: daily level of a known series that hardly sells
+
+
 def run_rate(panel: DataFrame, n: int = 30) -> DataFrame:
     """Daily level per series: mean of the last n selling days, else of the last n
     days; below 1 counts as 5."""
@@ -57,7 +60,7 @@ def run_rate(panel: DataFrame, n: int = 30) -> DataFrame:
     level = F.coalesce(F.avg(F.when(F.col("_sold") & (F.col("_rank") <= n), F.col(QTY))),
                        F.avg(F.when(F.col("_any") <= n, F.col(QTY))))
     return (ranked.groupBy(*SERIES).agg(level.alias("_level"))
-            .select(*SERIES, F.when(F.col("_level") < 1, 5.0).otherwise(F.col("_level"))
+            .select(*SERIES, F.when(F.col("_level") < 1, LOWEST_LEVEL).otherwise(F.col("_level"))
                     .alias("daily_level")))
 
 

@@ -22,9 +22,9 @@ from saleloom.schema import CATEGORY, DATE, PRED, QTY, SERIES
 from saleloom.session import cut_lineage
 
 HISTORY = 90
-WIDTHS = [7, 14, 30, 60, 90]
-LAGS = [1, 2, 3, 7, 14, 30, 60, 90]
+WIDTHS, LAGS = windows.DAILY_WINDOWS, windows.DAILY_LAGS
 FIGURES = {"mean": WIDTHS, "std": [7, 30], "min": [7], "max": [7], "median": [7]}
+# fixed values: categories without a day loop
 RUN_RATE_CATEGORIES = ["3-Wheelers", "Bus"]
 
 
@@ -47,13 +47,14 @@ def training_rows(panel: DataFrame) -> DataFrame:
 
 def start_history(panel: DataFrame) -> DataFrame:
     """90 values per series: the last selling days when there are 90 of them, else the
-    last days, else the days there are behind their positive mean (or 10)."""
+    last days, else the days there are behind their positive mean, or behind the level of
+    a known series that never sold (5)."""
     sold = panel.filter(F.col(QTY) > 0)
     selling = merge.recent_values(sold, HISTORY).withColumnRenamed("history", "_sold")
     means = sold.groupBy(*SERIES).agg(F.avg(QTY).alias("_mean"))
     rows = (merge.recent_values(panel, HISTORY).join(selling, SERIES, "left")
             .join(means, SERIES, "left"))
-    padded = merge.pad_front(F.col("history"), HISTORY, F.coalesce(F.col("_mean"), F.lit(10.0)))
+    padded = merge.pad_front(F.col("history"), HISTORY, F.coalesce(F.col("_mean"), F.lit(summary.LOWEST_LEVEL)))
     return rows.select(*SERIES, F.when(F.size("_sold") == HISTORY, F.col("_sold"))
                        .otherwise(padded).alias("history"))
 
@@ -87,9 +88,10 @@ def ml_forecast(panel: DataFrame, asked: DataFrame, models: dict[str, PipelineMo
         return known | calendar_values(day)
 
     def adjust(p: Column, day: date) -> Column:
-        whole = F.greatest(p, F.lit(0.0)).cast("long")
+        # rounded before the cut so that 3.9999999999 counts as 4
+        whole = F.round(F.greatest(p, F.lit(0.0)), 9).cast("long")
         factor = F.coalesce(F.try_element_at("factors", F.lit(day.weekday())), F.lit(1.0))
-        return (whole * factor).cast("long").cast("double")
+        return F.round(whole * factor, 9).cast("long").cast("double")
 
     def advance(value: Column) -> dict[str, Column]:
         return {"history": windows.tail(F.array_append("history", value), HISTORY)}

@@ -192,8 +192,9 @@ def daily_columns(spec: windows.DailySpec) -> list[str]:
     names += [f"lag_{k}" for k in spec.lag_steps]
     names += [f"rolling_{s}_{n}" for n in spec.windows for s in stats]
     names += [f"ema_{n}" for n in spec.windows]
+    names += [f"{s}_{k}" for k in windows.SEASONAL_WINDOWS if k in spec.windows for s in ("seasonal", "trend", "volatility")]
     if spec.group_means:
-        names += ["state_overall_mean", "category_overall_mean", "state_category_interaction"]
+        names += ["state_overall_mean", "category_overall_mean", "state_category_interaction", "sales_ratio_to_category_mean"]
     return names
 
 
@@ -209,6 +210,12 @@ def daily_history(spec: windows.DailySpec) -> dict[str, Column]:
         if spec.medians:
             out[f"rolling_median_{n}"] = middle(F.sort_array(last))
         out[f"ema_{n}"] = F.col(f"sum_{n}") / F.col(f"weight_{n}")
+    for k in (k for k in windows.SEASONAL_WINDOWS if k in spec.windows):
+        out[f"seasonal_{k}"], out[f"volatility_{k}"] = out[f"rolling_mean_{k}"], out[f"rolling_std_{k}"]
+        before = windows.tail(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), k)
+        out[f"trend_{k}"] = F.when(F.size(before) > 0, out[f"rolling_mean_{k}"] - array_mean(before)).otherwise(0.0)
+    if spec.group_means:
+        out["sales_ratio_to_category_mean"] = back(h, 1) / (F.col("category_overall_mean") + 1)
     out["sales_frequency_30d"] = F.size(F.filter(windows.tail(h, 30), lambda x: x > 0))
     return out
 
@@ -237,3 +244,47 @@ def forecast_days(panel: DataFrame, models: dict[str | None, PipelineModel], spe
     known = daily_history(spec)
     return roll_forward(state, models, days_after(first, days), lambda d: known | calendar_values(d),
                         lambda v: push_value(v, length, list(spec.windows)), adjust)
+
+
+# ---- all series under one model --------------------------------------------------------
+
+
+# fixed values: numbers of the one model for all series
+NET_NUMBERS = ["month", "year", "quarter", "day_of_week", "lag_1", "lag_3", "lag_7"]
+
+
+def forecast_all_series(panel: DataFrame, fit: Callable[[DataFrame, list[str]], PipelineModel], first: str, days: int,
+                        kept: int = 60) -> DataFrame:
+    """Day by day for all series with one model on scaled numbers and one-hot names.
+
+    ``fit`` gets the scaled training rows and the names of the inputs. Scaling parameters
+    are stored figures, so the driver holds one row per number; a series keeps its last
+    ``kept`` rows. Predictions go back to units and are cut to whole quantities.
+    """
+    d = F.col(DATE)
+    rows = panel.select(*PANEL_KEY, QTY, F.month(d).alias("month"), F.year(d).alias("year"), F.quarter(d).alias("quarter"),
+                        F.weekday(d).alias("day_of_week"), *windows.lags([1, 3, 7])).dropna()
+    flags = (encode.one_hot(CATEGORY, encode.known_values(panel, CATEGORY), "cat")
+             + encode.one_hot(STATE, encode.known_values(panel, STATE), "state"))
+    params = {r["feature"]: (r["mean"], r["std"]) for r in encode.zscore_parameters(rows, [*NET_NUMBERS, QTY]).collect()}
+
+    def scaled(name: str, value: Column) -> Column:
+        mean, std = params[name]
+        return (value - F.lit(mean)) / F.lit(std)
+
+    train = rows.select(*[scaled(c, F.col(c)).alias(c) for c in [*NET_NUMBERS, QTY]], *flags)
+    model = fit(train, [c for c in train.columns if c != QTY])
+    state = cut_lineage(merge.recent_values(panel, kept).select("*", *flags))
+    h = F.col("history")
+    lagged = {f"lag_{k}": back(h, k) for k in (1, 3, 7)}
+
+    def features(day: date) -> dict[str, Column]:
+        numbers = {"month": F.lit(day.month), "year": F.lit(day.year), "quarter": F.lit((day.month + 2) // 3),
+                   "day_of_week": F.lit(day.weekday())}
+        return {c: scaled(c, v) for c, v in (numbers | lagged).items()}
+
+    mean, std = params[QTY]
+    return roll_forward(
+        state, {ALL: model}, days_after(first, days), features,
+        lambda v: {"history": windows.tail(F.array_append("history", v), kept)},
+        lambda p, _: F.greatest(p * F.lit(std) + F.lit(mean), F.lit(0.0)).cast("long").cast("double"))
