@@ -31,7 +31,7 @@ from saleloom.session import stored
 
 WINDOW = 13
 GRAM = 5
-SHARE = 5_000  # segments of one anchor that one task takes
+SHARE = 20_000  # segments of one anchor that one task takes, some 2 MB
 SHARD = 5_000  # segments at which an automaton of several anchors is closed
 
 _RANDOM = np.random.default_rng(20240607)
@@ -144,10 +144,6 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             .groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
 
 
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()),
-                       ("text", pa.string())])
-
-
 def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """anchor, doc_id, key, first (word) and text of the words around every shared anchor.
 
@@ -156,25 +152,33 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     shared = _shared_anchors(docs, window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(part: pa.RecordBatch) -> Iterator[dict]:
-            for doc, key, text, known in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(),
-                                             part.column("text"), part.column("anchors"), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                h, first, last = anchors(raw, window, gram)
-                hit = np.flatnonzero(np.isin(h, known.values.to_numpy()))
-                if len(hit):
-                    words = raw.split()
-                    for i in hit.tolist():
-                        a = int(first[i])
-                        yield {"anchor": int(h[i]), "doc_id": doc, "key": key, "first": a,
-                               "text": b" ".join(words[a:int(last[i]) + window]).decode("utf-8", "surrogatepass")}
-
         for batch in batches:
-            for part in (batch.slice(at, 200) for at in range(0, batch.num_rows, 200)):
-                yield from batches_of(rows(part), _SEGMENTS, 20_000)
+            for part in (batch.slice(at, 100) for at in range(0, batch.num_rows, 100)):
+                texts, ids, keys, hashes, firsts = [], [], [], [], []
+                for doc, key, text, known in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(),
+                                                 part.column("text"), part.column("anchors"), strict=True):
+                    raw = text.as_py().encode("utf-8", "surrogatepass")
+                    h, first, last = anchors(raw, window, gram)
+                    hit = np.flatnonzero(np.isin(h, known.values.to_numpy()))
+                    if not len(hit):
+                        continue
+                    words = raw.split()
+                    joined = b" ".join(words)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                    begins = np.r_[0, ends[:-1] + 1]
+                    first = first[hit]
+                    texts += map(joined.__getitem__, map(slice, begins[first].tolist(), ends[last[hit] + window - 1].tolist()))
+                    ids.append(np.full(len(hit), doc))
+                    keys.append(np.full(len(hit), key))
+                    hashes.append(h[hit])
+                    firsts.append(first)
+                if texts:
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array(np.concatenate(c)) for c in (hashes, ids, keys, firsts)), pa.array(texts, pa.binary())],
+                        names=["anchor", "doc_id", "key", "first", "text"])
 
     return (docs.select("doc_id", "key", "text").join(shared, "doc_id")
-            .mapInArrow(run, "anchor long, doc_id long, key long, first long, text string"))
+            .mapInArrow(run, "anchor long, doc_id long, key long, first long, text binary"))
 
 
 class PhraseAutomaton:
@@ -182,24 +186,26 @@ class PhraseAutomaton:
 
     def __init__(self, window: int):
         self.window = window
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.holders: dict[tuple[int, ...], list[int]] = {}
 
-    def numbers(self, text: str) -> tuple[int, ...]:
+    def numbers(self, text: bytes) -> tuple[int, ...]:
         number = self.number
-        return tuple([number.setdefault(w, len(number)) for w in text.split(" ")])
+        return tuple([number.setdefault(w, len(number)) for w in text.split(b" ")])
 
-    def note(self, words: tuple[int, ...], doc: int) -> None:
+    def note(self, words: tuple[int, ...], low: int, high: int) -> None:
+        """A text that documents from ``low`` to ``high`` hold."""
         holders, window = self.holders, self.window
         for i in range(len(words) - window + 1):
             phrase = words[i:i + window]
             seen = holders.get(phrase)
             if seen is None:
-                holders[phrase] = [doc, doc]
-            elif doc < seen[0]:
-                seen[0] = doc
-            elif doc > seen[1]:
-                seen[1] = doc
+                holders[phrase] = [low, high]
+            else:
+                if low < seen[0]:
+                    seen[0] = low
+                if high > seen[1]:
+                    seen[1] = high
 
     def compile(self) -> ahocorasick.Automaton | None:
         """Only what two documents hold."""
@@ -212,10 +218,10 @@ class PhraseAutomaton:
         found.make_automaton()
         return found
 
-    def located(self, automaton: ahocorasick.Automaton, words: tuple[int, ...], doc: int) -> list[tuple[int, int]]:
-        """Stretches of words, end exclusive, of windows that a smaller doc_id holds."""
+    def stretches(self, occurrences: list[tuple[int, int]], doc: int) -> list[tuple[int, int]]:
+        """Stretches of words, end exclusive, of located windows that a smaller doc_id holds."""
         out: list[tuple[int, int]] = []
-        for end, low in automaton.iter(words):
+        for end, low in occurrences:
             if low < doc:
                 begin = end - self.window + 1
                 if out and begin <= out[-1][1]:
@@ -229,24 +235,41 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int
 _HITS_TYPE = "doc_id long, key long, start long, end long"
 
 
-def _stream(rows: list[tuple], window: int, given: list[tuple[str, int, int]] | None = None) -> Iterator[dict]:
-    """Confirm, compile and stream the segments of one shard; with ``given`` phrases nothing is confirmed here."""
+def _stream(rows: list[tuple], window: int, given: list[tuple[bytes, int, int]] | None = None) -> pa.RecordBatch:
+    """Confirm, compile and stream the segments of one shard; with ``given`` phrases nothing is confirmed here.
+
+    Equal segments are read once, for all documents that hold them.
+    """
     phrases = PhraseAutomaton(window)
-    read = [(phrases.numbers(text), doc, key, first) for doc, key, first, text in rows]
+    held: dict[bytes, list[tuple]] = {}
+    for row in rows:
+        held.setdefault(row[3], []).append(row)
+    read = [(phrases.numbers(text), same) for text, same in held.items()]
     if given is None:
-        for words, doc, _, _ in read:
-            phrases.note(words, doc)
+        for words, same in read:
+            docs = [r[0] for r in same]
+            phrases.note(words, min(docs), max(docs))
     else:
         for text, low, high in given:
             phrases.holders[phrases.numbers(text)] = [low, high]
     automaton = phrases.compile()
-    if automaton is not None:
-        for words, doc, key, first in read:
-            for a, b in phrases.located(automaton, words, doc):
-                yield {"doc_id": doc, "key": key, "start": first + a, "end": first + b}
-
-
-def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
+    out: tuple[list, ...] = ([], [], [], [])
+    for words, same in read if automaton is not None else ():
+        occurrences = list(automaton.iter(words))
+        if not occurrences:
+            continue
+        last = max(low for _, low in occurrences)
+        for_all = phrases.stretches(occurrences, last + 1)
+        for doc, key, first, _ in same:
+            for a, b in for_all if doc > last else phrases.stretches(occurrences, doc):
+                out[0].append(doc)
+                out[1].append(key)
+                out[2].append(first + a)
+                out[3].append(first + b)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_HITS)
+
+
+def _columns(batch: pa.RecordBatch | pa.Table, *names: str) -> list[list]:
     return [batch.column(n).to_pylist() for n in names]
 
 
@@ -258,19 +281,16 @@ def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
     few = found.join(large, "anchor", "left_anti")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def hits() -> Iterator[dict]:
-            rows: list[tuple] = []
-            last = None
-            for batch in batches:
-                for anchor, *row in zip(*_columns(batch, "anchor", "doc_id", "key", "first", "text"), strict=True):
-                    if anchor != last and len(rows) >= SHARD:
-                        yield from _stream(rows, window)
-                        rows = []
-                    last = anchor
-                    rows.append(tuple(row))
-            yield from _stream(rows, window)
-
-        yield from batches_of(hits(), _HITS, 20_000)
+        rows: list[tuple] = []
+        last = None
+        for batch in batches:
+            for anchor, *row in zip(*_columns(batch, "anchor", "doc_id", "key", "first", "text"), strict=True):
+                if anchor != last and len(rows) >= SHARD:
+                    yield _stream(rows, window)
+                    rows = []
+                last = anchor
+                rows.append(row)
+        yield _stream(rows, window)
 
     cold = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(whole, _HITS_TYPE)
 
@@ -279,15 +299,15 @@ def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id", "key", "first", "text")
 
     def hand_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("phrase", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
+        schema = pa.schema([("anchor", pa.int64()), ("phrase", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
 
         def rows() -> Iterator[dict]:
             for batch in batches:
-                seen: dict[tuple[int, str], list[int]] = {}
+                seen: dict[tuple[int, bytes], list[int]] = {}
                 for anchor, doc, text in zip(*_columns(batch, "anchor", "doc_id", "text"), strict=True):
-                    words = text.split(" ")
+                    words = text.split(b" ")
                     for i in range(len(words) - window + 1):
-                        at = seen.setdefault((anchor, " ".join(words[i:i + window])), [doc, doc])
+                        at = seen.setdefault((anchor, b" ".join(words[i:i + window])), [doc, doc])
                         at[0], at[1] = min(at[0], doc), max(at[1], doc)
                 for (anchor, phrase), (low, high) in seen.items():
                     yield {"anchor": anchor, "phrase": phrase, "low": low, "high": high}
@@ -295,22 +315,18 @@ def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
         yield from batches_of(rows(), schema, 20_000)
 
     confirmed = (dealt.select("anchor", "doc_id", "text")
-                 .mapInArrow(hand_in, "anchor long, phrase string, low long, high long")
+                 .mapInArrow(hand_in, "anchor long, phrase binary, low long, high long")
                  .groupBy("anchor", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high"))
     spread = (confirmed.join(large, "anchor")
               .select("anchor", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "phrase", "low", "high"))
 
-    def against(_key, phrases: Iterator[pa.RecordBatch], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [p for b in phrases for p in zip(*_columns(b, "phrase", "low", "high"), strict=True)]
-        held = [r for b in rows for r in zip(*_columns(b, "doc_id", "key", "first", "text"), strict=True)]
-        yield from batches_of(_stream(held, window, given), _HITS, 20_000)
-
-    def against_tables(key, phrases: pa.Table, rows: pa.Table) -> pa.Table:
-        out = list(against(key, iter(phrases.to_batches()), iter(rows.to_batches())))
-        return pa.Table.from_batches(out, schema=_HITS)
+    def against(phrases: pa.Table, rows: pa.Table) -> pa.Table:
+        given = list(zip(*_columns(phrases, "phrase", "low", "high"), strict=True))
+        held = list(zip(*_columns(rows, "doc_id", "key", "first", "text"), strict=True))
+        return pa.Table.from_batches([_stream(held, window, given)])
 
     hot = (spread.groupBy("anchor", "share").cogroup(dealt.groupBy("anchor", "share"))
-           .applyInArrow(against_tables, _HITS_TYPE))
+           .applyInArrow(against, _HITS_TYPE))
     return cold.unionByName(hot)
 
 
