@@ -200,7 +200,10 @@ def fit(found: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     """A model of the stored features, from labelled rows outside the held-out fold, at most ``sample`` of them."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("_doc"), F.col(label).cast("double").alias("y"))
     rows = (found.filter(~_held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_doc"))
-            .select("features", "y", F.xxhash64("doc_id").alias("h"), "key").orderBy("h", "key", "y").limit(sample)
+            .select("features", "y", "key", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")))
+    # only hashes below this can be among the smallest ``sample``, give or take; so no task sends many
+    most = min(int(1.25 * sample / max(1, rows.count()) * 2**63), 2**63 - 1)
+    rows = (rows.filter(F.col("h") <= most).orderBy("h", "key", "y").limit(sample)
             .select("features", "y").toPandas())
     x = np.array(rows["features"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     return AdditiveModel.fit(x, rows["y"].to_numpy(dtype=np.float64))
