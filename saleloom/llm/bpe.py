@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -31,10 +32,10 @@ from saleloom.llm.common import ship
 
 ROOT = 0
 #: Texts of these characters only need lower case and a cut at white space before the library's splitter.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ſ]*+")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ſ]*+")
 #: Entries that one worker keeps of pieces it has met; beyond it starts anew.
-KEPT_PIECES = 600_000
-KEPT_ARCS = 1_000_000
+KEPT_PIECES = 350_000
+KEPT_ARCS = 500_000
 
 
 class MergeAutomaton:

@@ -30,7 +30,7 @@ from saleloom.session import new_folder
 END_ID = 2
 BLOCK = 4096  # ids transposed together; the last block of a chunk is shorter
 CHUNK = 1 << 16  # a chunk ends with the document that reaches so many ids
-KEPT_PIECES = 500_000
+KEPT_PIECES = 1_200_000
 
 CHUNKS = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.LongType()),
@@ -61,6 +61,10 @@ class LibraryEncoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # the same model for words that are cut and in lower case already
+        bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][-1]]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
@@ -74,9 +78,9 @@ class LibraryEncoder:
     def _learn(self, new: set[str]) -> None:
         pieces = self.pieces
         bare = set(filter(str.isalpha, new))  # one word each
-        cut = {p: self.words.findall(p) for p in new - bare}
-        unknown = list(bare.union(*cut.values()) - pieces.keys())
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = {p: (p[:-1], p[-1]) if p[-1] in ".,;:!?" and p[:-1].isalpha() else self.words.findall(p) for p in new - bare}
+        unknown = [w for w in bare.union(*cut.values()) if w not in pieces]
+        ids = np.asarray(self.bare.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(unknown):
             raw, ends = ids.tobytes(), (ends * 4).tolist()
@@ -90,7 +94,7 @@ class LibraryEncoder:
         """Ids of each text as little-endian 32-bit integers; none for null and the empty text."""
         cut = [t.lower().split() if t and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None
                for t in texts]
-        new = set().union(*(c for c in cut if c)) - self.pieces.keys()
+        new = {p for p in set().union(*(c for c in cut if c)) if p not in self.pieces}
         if len(self.pieces) + len(new) > KEPT_PIECES:
             self.pieces.clear()
             new = set().union(*(c for c in cut if c))
@@ -162,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
         size = 0
         for batch in batches:
-            for part in (batch.slice(at, 100) for at in range(0, batch.num_rows, 100)):
+            for part in (batch.slice(at, 250) for at in range(0, batch.num_rows, 250)):
                 encoded = encoder.encode_all(part.column("text").to_pylist())
                 for name, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     held += (ids, end)
