@@ -196,31 +196,47 @@ def region_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the whole daily feature frame ---------------------------------------------------
 
 
-@query("F1,F4,F9,F11,F12,F13,F14,F18,C7,G1,G2,G3,G7,G8", f"""WITH base AS (
-SELECT *, {Q} AS q, row_number() OVER @W - 1 AS i, avg({Q}) OVER (PARTITION BY "State", "Date") AS sd,
-avg({Q}) OVER (PARTITION BY "State") AS sm, avg({Q}) OVER (PARTITION BY "Vehicle_Category") AS cm FROM panel_dense)
-SELECT "State", "Vehicle_Category", year("Date") AS year, month("Date") AS month, count(*) AS days,
-CAST(sum(coalesce(l90, 0)) AS BIGINT) AS lag_90, round(avg(m90), 4) AS rolling_mean_90, round(avg(coalesce(s30, 0)), 4) AS rolling_std_30,
-round(avg(md60), 4) AS rolling_median_60, round(avg(e30), 4) AS ema_30, CAST(sum(is_holiday) AS BIGINT) AS holidays,
-CAST(sum(CASE WHEN isodow("Date") >= 6 THEN 1 ELSE 0 END) AS BIGINT) AS weekend_days,
-round(avg(r1), 4) AS sales_ratio_to_state_mean, round(avg(r2), 4) AS sales_ratio_to_category_mean,
-round(avg(inter), 4) AS state_category_interaction FROM (
-SELECT *, lag(q, 90) OVER @W AS l90, avg(q) OVER @FRAME(89) AS m90, stddev_samp(q) OVER @FRAME(29) AS s30,
-median(q) OVER @FRAME(59) AS md60, CAST("Date" IN (SELECT "Date" FROM holidays) AS INTEGER) AS is_holiday,
-sum(q * pow({1 - 2 / 31!r}, 1200 - i)) OVER @W * pow({1 - 2 / 31!r}, i - 1200) / ((1 - pow({1 - 2 / 31!r}, i + 1)) / {2 / 31!r}) AS e30,
-q / (sd + 1) AS r1, q / (cm + 1) AS r2, sm * cm AS inter FROM base) GROUP BY 1, 2, 3, 4""")
+def _whole_frame_sql() -> str:
+    """Monthly means of every column of the inclusive daily set."""
+    spans = windows.DAILY_WINDOWS
+    d = '"Date"'
+    first = [f"lag(q, {k}) OVER @W AS lag_{k}" for k in windows.DAILY_LAGS]
+    first += [f"{_SQL_STATS[s]}(q) OVER @FRAME({n - 1}) AS rolling_{s}_{n}" for n in spans for s in _SQL_STATS]
+    first += [f"sum(q * pow({1 - 2 / (n + 1)!r}, 1200 - i)) OVER @W * pow({1 - 2 / (n + 1)!r}, i - 1200)"
+              f" / ((1 - pow({1 - 2 / (n + 1)!r}, i + 1)) / {2 / (n + 1)!r}) AS ema_{n}" for n in spans]
+    first += ["sum(CAST(q > 0 AS INTEGER)) OVER @FRAME(29) AS sales_frequency_30d"]
+    second = [f"rolling_mean_{k} AS seasonal_{k}, rolling_std_{k} AS volatility_{k}, "
+              f"coalesce(rolling_mean_{k} - lag(rolling_mean_{k}) OVER @W, 0) AS trend_{k}" for k in windows.SEASONAL_WINDOWS]
+    waves = {"month": (f"month({d})", 12), "day_of_week": (f"(isodow({d}) - 1)", 7), "day_of_year": (f"dayofyear({d})", 365)}
+    plain = {"is_holiday": f'CAST({d} IN (SELECT "Date" FROM holidays) AS INTEGER)', "state_daily_mean": "sd", "state_overall_mean": "sm",
+             "category_overall_mean": "cm", "state_category_interaction": "sm * cm", "sales_ratio_to_state_mean": "q / (sd + 1)",
+             "sales_ratio_to_category_mean": "q / (cm + 1)", "EV_Sales_Quantity": "q", "day": f"day({d})", "quarter": f"quarter({d})",
+             "day_of_week": f"isodow({d}) - 1", "week_of_year": f"week({d})", "day_of_year": f"dayofyear({d})",
+             "is_weekend": f"CAST(isodow({d}) >= 6 AS INTEGER)", "is_month_start": f"CAST(day({d}) = 1 AS INTEGER)",
+             "is_month_end": f"CAST({d} = last_day({d}) AS INTEGER)",
+             "is_quarter_start": f"CAST(day({d}) = 1 AND month({d}) IN (1, 4, 7, 10) AS INTEGER)",
+             "is_quarter_end": f"CAST({d} = last_day({d}) AND month({d}) IN (3, 6, 9, 12) AS INTEGER)",
+             **{f"{n}_{fn}": f"{fn}(2 * pi() * {v} / {p})" for n, (v, p) in waves.items() for fn in ("sin", "cos")}}
+    windowed = ([f"lag_{k}" for k in windows.DAILY_LAGS] + [f"rolling_{s}_{n}" for n in spans for s in _SQL_STATS]
+                + [f"ema_{n}" for n in spans] + ["sales_frequency_30d"]
+                + [f"{x}_{k}" for k in windows.SEASONAL_WINDOWS for x in ("seasonal", "volatility", "trend")])
+    shown = {**{c: f"coalesce({c}, 0)" for c in windowed}, **plain}
+    means = ", ".join(f'round(avg({x}) + {OFF_TIES}, 4) + 0 AS "{c}"' for c, x in shown.items())
+    return f"""SELECT "State", "Vehicle_Category", year({d}) AS year, month({d}) AS month, count(*) AS days, {means}
+FROM (SELECT *, {', '.join(second)} FROM (SELECT *, {', '.join(first)} FROM (SELECT *, {Q} AS q, row_number() OVER @W - 1 AS i,
+avg({Q}) OVER (PARTITION BY "State", "Date") AS sd, avg({Q}) OVER (PARTITION BY "State") AS sm,
+avg({Q}) OVER (PARTITION BY "Vehicle_Category") AS cm FROM panel_dense))) GROUP BY 1, 2, 3, 4"""
+
+
+@query("F1,F4,F9,F11,F12,F13,F14,F18,C7,G1,G2,G3,G7,G8", _whole_frame_sql())
 def daily_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The complete inclusive feature set, shown as monthly figures of its columns."""
+    """The complete inclusive feature set, shown as monthly means of all its columns."""
     df = windows.daily_features(inputs.dense(spark, sf_dir), holidays=inputs.holidays(spark))
     df = clean.zero_for_null_numbers(df)
-    mean = {c: F.avg(c) for c in ("rolling_mean_90", "rolling_std_30", "rolling_median_60", "ema_30",
-                                  "sales_ratio_to_state_mean", "sales_ratio_to_category_mean",
-                                  "state_category_interaction")}
-    out = df.groupBy(STATE, CATEGORY, "year", "month").agg(
-        F.count(F.lit(1)).alias("days"), F.sum("lag_90").alias("lag_90"),
-        F.sum("is_holiday").alias("holidays"), F.sum("is_weekend").alias("weekend_days"),
-        *[c.alias(n) for n, c in mean.items()])
-    return rounded(out, 4)
+    keys = [STATE, CATEGORY, "year", "month"]
+    figures = [c for c in df.columns if c not in (*keys, DATE)]
+    return rounded(df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("days"), *[(F.avg(c) + F.lit(OFF_TIES)).alias(c) for c in figures]), 4)
 
 
 def _leak_safe_sql() -> str:

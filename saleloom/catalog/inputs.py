@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from saleloom.functions.rules import MONTHS, category_by_rules
 from saleloom.operators import clean, densify, merge, windows
 from saleloom.operators.group_stats import attach_aggregates
-from saleloom.schema import CATEGORY, DATE, PRED, QTY, STATE
-from saleloom.session import cut_lineage
+from saleloom.schema import CATEGORY, DATE, PRED, QTY, STATE, TABLES
+from saleloom.session import cut_lineage, stored
 
 # ---- fixed values: vehicle class standing in for each part type -----------------
 CLASS_OF_TYPE = {"ECONOMY": "M-CYCLE/SCOOTER", "SMALL": " two wheeler(nt) ",
@@ -30,7 +30,7 @@ SOURCE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.sum_by_key(clean_sales(spark, sf_dir))
 
 
+def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean sales rows written once, for queries that take two parts of them."""
+    return stored(clean_sales(spark, sf_dir), "sales")
+
+
 def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel after a lineage cut, so the sales tables are scanned once."""
     return cut_lineage(panel(spark, sf_dir))
@@ -82,14 +87,22 @@ def full_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trailing_predictions(dense(spark, sf_dir))
+
+
+def trailing_predictions(panel: DataFrame) -> DataFrame:
     """The dense panel with the mean of the seven rows before as prediction."""
     mean = windows.rolling([7], ["mean"], "shifted")[0].alias("_mean")
-    return dense(spark, sf_dir).select(DATE, STATE, CATEGORY, QTY, mean).select(
+    return panel.select(DATE, STATE, CATEGORY, QTY, mean).select(
         DATE, STATE, CATEGORY, QTY, F.coalesce(F.col("_mean"), F.lit(0.0)).alias(PRED))
 
 
 def new_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.between_dates(clean_sales(spark, sf_dir), start=PUSH_FROM)
+    return pushed(clean_sales(spark, sf_dir))
+
+
+def pushed(sales: DataFrame) -> DataFrame:
+    return clean.between_dates(sales, start=PUSH_FROM)
 
 
 def holidays(spark: SparkSession) -> DataFrame:

@@ -17,7 +17,7 @@ from saleloom.operators import (
     windows,
 )
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, SERIES, STATE
-from saleloom.session import cut_lineage
+from saleloom.session import cut_lineage, stored
 
 DATE_TEXT = 'CAST("Date" AS VARCHAR) AS "Date"'
 KEY_SQL = f'{DATE_TEXT}, "State", "Vehicle_Category"'
@@ -143,7 +143,7 @@ FULL JOIN (SELECT "Vehicle_Category", avg(abs(y - p)) AS mae, 1 - sum((y - p) *
       FROM ({RUN_B}) GROUP BY 1) b USING ("Vehicle_Category")""")
 def compare_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing mean against series mean; each run lacks one category."""
-    predictions = inputs.predictions(spark, sf_dir)
+    predictions = stored(inputs.predictions(spark, sf_dir), "predictions")
     test = clean.between_dates(predictions, start=inputs.TEST_FROM)
     history = clean.between_dates(predictions, before=inputs.TEST_FROM)
     run_b = summary.mean_predictor(test.drop(PRED), history).filter(F.col(CATEGORY) != "Others")
@@ -157,9 +157,10 @@ round(abs("EV_Sales_Quantity" - "Predicted_Sales") * 100.0 / nullif("EV_Sales_Qu
 FROM predictions WHERE "Date" >= DATE '2001-01-01'""")
 def residual_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions kept apart are joined back to the actuals by key."""
-    rows = clean.between_dates(inputs.predictions(spark, sf_dir), start=inputs.TEST_FROM)
+    dense = cut_lineage(inputs.dense(spark, sf_dir))
+    rows = clean.between_dates(inputs.trailing_predictions(dense), start=inputs.TEST_FROM)
     kept_apart = rows.select(*PANEL_KEY, PRED)
-    actuals = clean.between_dates(inputs.dense(spark, sf_dir), start=inputs.TEST_FROM)
+    actuals = clean.between_dates(dense, start=inputs.TEST_FROM)
     return rounded(summary.residuals(actuals.join(kept_apart, PANEL_KEY)))
 
 
@@ -362,7 +363,8 @@ def totals_with_subtotals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT "Date", "State", "Vehicle_Category", "EV_Sales_Quantity" AS q FROM panel UNION ALL
 SELECT "Date", "State", "Vehicle_Category", "EV_Sales_Quantity" FROM new_push) GROUP BY 1, 2, 3""")
 def merge_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_sum(inputs.panel(spark, sf_dir), inputs.new_push(spark, sf_dir))
+    sales = inputs.stored_sales(spark, sf_dir)
+    return merge.merge_sum(merge.sum_by_key(sales), inputs.pushed(sales))
 
 
 UPSERT_SQL = """SELECT "Date", "State", "Vehicle_Category", "EV_Sales_Quantity" FROM (
@@ -376,8 +378,9 @@ FROM new_push)) WHERE rn = 1"""
 
 @query("E3", f'SELECT {KEY_SQL}, "EV_Sales_Quantity" FROM ({UPSERT_SQL})')
 def upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    master = clean.between_dates(inputs.panel(spark, sf_dir), before="2001-04-01")
-    return merge.upsert_keep_last(master, inputs.new_push(spark, sf_dir), inputs.SOURCE_ORDER)
+    sales = inputs.stored_sales(spark, sf_dir)
+    master = merge.sum_by_key(clean.between_dates(sales, before="2001-04-01"))
+    return merge.upsert_keep_last(master, inputs.pushed(sales), inputs.SOURCE_ORDER)
 
 
 @query("E4", """SELECT DISTINCT "State", "Vehicle_Category" FROM panel""")

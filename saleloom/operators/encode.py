@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from saleloom.operators.position import group_quantiles, with_position
 from saleloom.schema import QTY, STATE
 
 UNSEEN = -1
-MAX_ONE_HOT = 1000
 
 
 def code_table(df: DataFrame, column: str, code: str | None = None) -> DataFrame:
@@ -28,18 +28,26 @@ def apply_codes(df: DataFrame, table: DataFrame, column: str, code: str | None =
                              F.lit(UNSEEN).cast("long"))
 
 
-def known_values(df: DataFrame, column: str, limit: int = MAX_ONE_HOT) -> list[str]:
-    """Sorted distinct values for one-hot columns; too many is an error, not a cut."""
-    rows = df.select(column).dropna().distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has over {limit} values; use codes or target means")
-    return sorted(r[0] for r in rows)
+def known_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values, for one column each; ``one_hot_vector`` serves columns with many values."""
+    return sorted(r[0] for r in df.select(column).dropna().distinct().collect())
 
 
 def one_hot(column: str, values: list[str], prefix: str) -> list[Column]:
     return [F.when(F.col(column) == v, 1).otherwise(0).alias(f"{prefix}_{v}") for v in values]
 
 
+def one_hot_vector(df: DataFrame, table: DataFrame, column: str, name: str, size: int) -> DataFrame:
+    """One sparse vector per row from a stored table of ``size`` codes, however many those are.
+
+    Values that the table does not hold have no 1 in their vector.
+    """
+    coded = apply_codes(df, table.withColumnRenamed(f"{column}_code", "_code"), column, "_code").withColumn(
+        "_code", F.when(F.col("_code") == UNSEEN, size).otherwise(F.col("_code")).cast("double"))
+    largest = df.sparkSession.range(1).select(F.lit(float(size)).alias("_code"))  # tells the encoder the size
+    return OneHotEncoder(inputCol="_code", outputCol=name).fit(largest).transform(coded).drop("_code")
+
+
 def target_means(train: DataFrame, keys: list[str], name: str = "state_encoded") -> DataFrame:
     return train.groupBy(*keys).agg(F.avg(QTY).alias(name))
 
@@ -81,43 +89,49 @@ def minmax_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")))
 
 
-def _parameter(params: DataFrame, feature: str, name: str) -> Column:
-    """A figure of a one-row-per-feature table as a scalar subquery."""
-    return params.filter(F.col("feature") == feature).select(name).scalar()
+def _with_parameters(df: DataFrame, params: DataFrame) -> DataFrame:
+    """``df`` with all parameters as one map, from a single scalar subquery."""
+    fields = [c for c in params.columns if c not in ("pos", "feature")]
+    table = params.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(*fields)))).alias("p"))
+    return df.withColumn("_parameters", table.scalar())
+
+
+def _parameter(feature: str, name: str) -> Column:
+    return F.try_element_at("_parameters", F.lit(feature)).getField(name)
 
 
 def apply_zscore(df: DataFrame, params: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: (F.col(c) - _parameter(params, c, "mean")) / _parameter(params, c, "std")
-                           for c in columns})
+    return _with_parameters(df, params).withColumns({
+        c: (F.col(c) - _parameter(c, "mean")) / _parameter(c, "std") for c in columns}).drop("_parameters")
 
 
 def undo_zscore(df: DataFrame, params: DataFrame, column: str, feature: str) -> DataFrame:
     """Scaled predictions back to units."""
-    return df.withColumn(column, F.col(column) * _parameter(params, feature, "std")
-                         + _parameter(params, feature, "mean"))
+    return _with_parameters(df, params).withColumn(
+        column, F.col(column) * _parameter(feature, "std") + _parameter(feature, "mean")).drop("_parameters")
 
 
 def apply_robust(df: DataFrame, params: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: (F.col(c) - _parameter(params, c, "center"))
-                           / _parameter(params, c, "scale") for c in columns})
+    return _with_parameters(df, params).withColumns({
+        c: (F.col(c) - _parameter(c, "center")) / _parameter(c, "scale") for c in columns}).drop("_parameters")
 
 
 def apply_minmax(df: DataFrame, params: DataFrame, columns: list[str],
                  low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Scale to [low, high]; a constant column becomes ``low``."""
     def scaled(c: str) -> Column:
-        a, b = _parameter(params, c, "low"), _parameter(params, c, "high")
+        a, b = _parameter(c, "low"), _parameter(c, "high")
         share = F.coalesce((F.col(c) - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0))
         return share * F.lit(high - low) + F.lit(low)
-    return df.withColumns({c: scaled(c) for c in columns})
+    return _with_parameters(df, params).withColumns({c: scaled(c) for c in columns}).drop("_parameters")
 
 
 def undo_minmax(df: DataFrame, params: DataFrame, columns: list[str],
                 low: float = 0.0, high: float = 1.0) -> DataFrame:
     def restored(c: str) -> Column:
-        a, b = _parameter(params, c, "low"), _parameter(params, c, "high")
+        a, b = _parameter(c, "low"), _parameter(c, "high")
         return (F.col(c) - F.lit(low)) / F.lit(high - low) * (b - a) + a
-    return df.withColumns({c: restored(c) for c in columns})
+    return _with_parameters(df, params).withColumns({c: restored(c) for c in columns}).drop("_parameters")
 
 
 def align_features(df: DataFrame, expected: list[str], keep: list[str]) -> DataFrame:

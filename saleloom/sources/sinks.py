@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleloom.schema import CATEGORY, DATE, STATE
+from saleloom.schema import CATEGORY, STATE
 
 
 def write_panel_version(panel: DataFrame, folder: str, version: int) -> str:
@@ -32,9 +32,6 @@ def append_scored(scored: DataFrame, folder: str, stamp: str) -> None:
 
 
 def write_forecast(forecast: DataFrame, folder: str) -> None:
-    """One sub-folder per series, so that a reader of one series opens one folder.
-
-    Rows are placed by series and month: no series has to pass through one task.
-    """
-    (forecast.repartition(STATE, CATEGORY, F.trunc(DATE, "MM"))
+    """One sub-folder and one file per series: a forecast has a few hundred rows of each."""
+    (forecast.repartition(STATE, CATEGORY)
      .write.partitionBy(STATE, CATEGORY).parquet(folder))
