@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleloom.functions import calendar
-from saleloom.operators import allocate, merge, summary, windows
+from saleloom.operators import allocate, encode, merge, summary, windows
 from saleloom.plans import baselines
 from saleloom.plans.recursive import (
     back,
     calendar_values,
     days_after,
+    push_value,
     roll_forward,
+    series_state,
     tail_figures,
 )
-from saleloom.schema import CATEGORY, DATE, PRED, QTY, SERIES
+from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, SERIES, STATE
 from saleloom.session import cut_lineage
 
 HISTORY = 90
@@ -30,19 +32,47 @@ RUN_RATE_CATEGORIES = ["3-Wheelers", "Bus"]
 
 def model_columns() -> list[str]:
     return (list(calendar_values(date(2000, 1, 1))) + [f"lag_{k}" for k in LAGS]
-            + [f"rolling_{s}_{n}" for s, ns in FIGURES.items() for n in ns])
-
-
-def training_rows(panel: DataFrame) -> DataFrame:
+            + [f"rolling_{s}_{n}" for s, ns in FIGURES.items() for n in ns]
+            + list(_from_history(F.col("history"))) + [f"ema_{n}" for n in WIDTHS]
+            + ["State_code", "state_overall_mean", "category_overall_mean"])
+
+
+def _from_history(h: Column) -> dict[str, Column]:
+    """Trend, spread, selling days and ratios that follow from the last values and the group means."""
+    out: dict[str, Column] = {}
+    before = F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    for k in windows.SEASONAL_WINDOWS:
+        out[f"seasonal_{k}"], out[f"volatility_{k}"] = tail_figures(h, {"mean": [k], "std": [k]})
+        out[f"trend_{k}"] = out[f"seasonal_{k}"] - tail_figures(before, {"mean": [k]})[0]
+    out["sales_frequency_30d"] = F.size(F.filter(windows.tail(h, 30), lambda x: x > 0))
+    state, category = F.col("state_overall_mean"), F.col("category_overall_mean")
+    out["state_category_interaction"] = state * category
+    out["sales_ratio_to_state_mean"] = back(h, 1) / (state + 1)
+    out["sales_ratio_to_category_mean"] = back(h, 1) / (category + 1)
+    return {name: c.alias(name) for name, c in out.items()}
+
+
+def _with_groups(df: DataFrame, panel: DataFrame, codes: DataFrame | None) -> DataFrame:
+    """State code and the frozen means of state and category, from the whole panel."""
+    sums = windows.series_sums(panel)
+    df = df.join(windows.mean_of_sums(sums, [STATE], "state_overall_mean"), STATE, "left")
+    df = df.join(windows.mean_of_sums(sums, [CATEGORY], "category_overall_mean"), CATEGORY, "left")
+    return encode.apply_codes(df, encode.code_table(panel, STATE) if codes is None else codes, STATE)
+
+
+def training_rows(panel: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """The same inputs for past days: figures of the 90 rows before each day."""
     w = windows.series_window()
     recent = F.collect_list(F.col(QTY).cast("double")).over(windows.frame(w, HISTORY, "shifted"))
-    rows = panel.withColumn("history", recent).filter(F.size("history") == HISTORY)
-    d = F.col(DATE)
+    rows = windows.shifted_ewma(panel.select(*PANEL_KEY, QTY), WIDTHS, name="ema_{n}")
+    rows = rows.withColumn("history", recent).filter(F.size("history") == HISTORY)
+    rows = _with_groups(rows, panel, codes)
+    d, h = F.col(DATE), F.col("history")
     return rows.select(
         DATE, *SERIES, QTY, *calendar.parts(d), *calendar.flags(d), *calendar.cyclical(d),
-        *[back(F.col("history"), k).alias(f"lag_{k}") for k in LAGS],
-        *tail_figures(F.col("history"), FIGURES, "rolling_"))
+        *[back(h, k).alias(f"lag_{k}") for k in LAGS], *tail_figures(h, FIGURES, "rolling_"),
+        *_from_history(h).values(), *[f"ema_{n}" for n in WIDTHS],
+        "State_code", "state_overall_mean", "category_overall_mean")
 
 
 def start_history(panel: DataFrame) -> DataFrame:
@@ -72,17 +102,22 @@ def weekday_factors(panel: DataFrame) -> DataFrame:
 
 
 def ml_forecast(panel: DataFrame, asked: DataFrame, models: dict[str, PipelineModel],
-                start: str, days: int) -> DataFrame:
+                start: str, days: int, codes: DataFrame | None = None) -> DataFrame:
     """Day loop on the last 90 values, scaled by the weekday factor.
 
+    ``codes`` are the state codes of the training, by default those of the panel.
+
     A series whose forecast does not vary is left out.
     """
     history = panel.join(asked.select(*SERIES).distinct(), SERIES, "left_semi")
-    state = start_history(history).join(weekday_factors(history), SERIES, "left")
+    sums = series_state(history, HISTORY, WIDTHS).drop("history")
+    state = start_history(history).join(sums, SERIES).join(weekday_factors(history), SERIES, "left")
+    state = _with_groups(state, panel, codes)
 
     h = F.col("history")
     names = [f"rolling_{s}_{n}" for s, ns in FIGURES.items() for n in ns]
-    known = {f"lag_{k}": back(h, k) for k in LAGS} | dict(zip(names, tail_figures(h, FIGURES)))
+    known = {f"lag_{k}": back(h, k) for k in LAGS} | dict(zip(names, tail_figures(h, FIGURES))) | _from_history(h)
+    known |= {f"ema_{n}": F.col(f"sum_{n}") / F.col(f"weight_{n}") for n in WIDTHS}
 
     def features(day: date) -> dict[str, Column]:
         return known | calendar_values(day)
@@ -94,7 +129,7 @@ def ml_forecast(panel: DataFrame, asked: DataFrame, models: dict[str, PipelineMo
         return F.round(whole * factor, 9).cast("long").cast("double")
 
     def advance(value: Column) -> dict[str, Column]:
-        return {"history": windows.tail(F.array_append("history", value), HISTORY)}
+        return push_value(value, HISTORY, WIDTHS)
 
     path = roll_forward(cut_lineage(state), models, days_after(start, days), features, advance, adjust)
     path = cut_lineage(path)

@@ -119,6 +119,30 @@ def test_too_little_data_means_no_model(spark, months):
     assert models.categories_with_enough(few) == ["Bus"]
 
 
+def test_on_demand_step_inputs_equal_training_inputs(spark, dense):
+    """What the loop sees on a day is what training saw: every column, for series that sold on 90 days or were never short."""
+    day = F.lit("2001-07-31").cast("date")
+    past = dense.filter(F.col(DATE) < day)
+    want = ondemand.training_rows(dense).filter(F.col(DATE) == day)
+    names = [c for c in ondemand.model_columns() if c not in recursive.calendar_values(recursive.days_after("2001-07-31", 1)[0])
+             and "overall" not in c and "ratio" not in c and "interaction" not in c]
+    state = ondemand._with_groups(recursive.series_state(past, 90, ondemand.WIDTHS), dense, None)
+    h = F.col("history")
+    known = ({f"lag_{k}": recursive.back(h, k) for k in ondemand.LAGS} | ondemand._from_history(h)
+             | {f"ema_{n}": F.col(f"sum_{n}") / F.col(f"weight_{n}") for n in ondemand.WIDTHS})
+    known |= dict(zip([f"rolling_{s}_{n}" for s, ns in ondemand.FIGURES.items() for n in ns], recursive.tail_figures(h, ondemand.FIGURES)))
+    got = state.select(*SERIES, *[known.get(n, F.col(n)).cast("double").alias(n) for n in names if n in known or n == "State_code"]).toPandas()
+    want = want.select(*SERIES, *[F.col(c).cast("double") for c in got.columns if c not in SERIES]).toPandas()
+    a, b = (d.sort_values(SERIES).reset_index(drop=True) for d in (got, want))
+    assert len(a.columns) > 30
+    np.testing.assert_allclose(a.drop(columns=SERIES), b[a.columns].drop(columns=SERIES), rtol=1e-8, atol=1e-9)
+
+
+def test_model_tells_states_apart(spark, dense):
+    rows = ondemand.training_rows(dense.filter("Vehicle_Category = '2-Wheelers' AND State IN ('NATION_7', 'NATION_3')"))
+    assert {r["State_code"] for r in rows.select("State_code").distinct().collect()} == {0, 1}
+
+
 def test_on_demand_sources_and_smoke_cases(spark, dense):
     """The two smoke cases: a model category for 30 days, a run-rate category for 90."""
     rows = clean.between_dates(ondemand.training_rows(dense), start="2001-01-01")
