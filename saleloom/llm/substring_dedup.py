@@ -62,10 +62,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of each word of a text, all at once."""
     b = np.frombuffer(raw, dtype=np.uint8)
-    word = np.r_[False, ~_BLANK[b], False]
-    begin = np.flatnonzero(word[1:] & ~word[:-1])
-    end = np.flatnonzero(word[:-1] & ~word[1:])
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[b] * _power(_BASE, len(b)), dtype=np.uint64)]
+    word = np.zeros(len(b) + 2, dtype=bool)
+    np.logical_not(_BLANK[b], out=word[1:-1])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    begin, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[b] * _power(_BASE, len(b)), dtype=np.uint64, out=sums[1:])
     return _mix((sums[end] - sums[begin]) * _power(_INVERSE, len(b) + 1)[begin] + (end - begin).astype(np.uint64))
 
 
@@ -80,10 +82,13 @@ def anchors(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndar
     for j in range(gram):
         g = g * np.uint64(0x9FB21C651E98DF25) + w[j:j + grams]
     g = _mix(g)
-    wide = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1)
+    wide = np.lib.stride_tricks.as_strided(g, (n, window - gram + 1), (8, 8), writeable=False)
     at = wide.argmin(axis=1) + np.arange(n)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:] - 1, n - 1]
+    fresh = np.ones(n, dtype=bool)
+    np.not_equal(at[1:], at[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    last = np.empty_like(first)
+    last[:-1], last[-1] = first[1:] - 1, n - 1
     return g[at[first]].view(np.int64), first, last
 
 
@@ -165,7 +170,8 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                     words = raw.split()
                     joined = b" ".join(words)
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                    begins = np.r_[0, ends[:-1] + 1]
+                    begins = np.zeros_like(ends)
+                    begins[1:] = ends[:-1] + 1
                     first = first[hit]
                     texts += map(joined.__getitem__, map(slice, begins[first].tolist(), ends[last[hit] + window - 1].tolist()))
                     ids.append(np.full(len(hit), doc))
@@ -181,17 +187,24 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             .mapInArrow(run, "anchor long, doc_id long, key long, first long, text binary"))
 
 
+class _Numbers(dict):
+    """Words in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class PhraseAutomaton:
     """Windows of words with the smallest doc_id that holds them, and the automaton that finds them."""
 
     def __init__(self, window: int):
         self.window = window
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.holders: dict[tuple[int, ...], list[int]] = {}
 
     def numbers(self, text: bytes) -> tuple[int, ...]:
-        number = self.number
-        return tuple([number.setdefault(w, len(number)) for w in text.split(b" ")])
+        return tuple(map(self.number.__getitem__, text.split(b" ")))
 
     def note(self, words: tuple[int, ...], low: int, high: int) -> None:
         """A text that documents from ``low`` to ``high`` hold."""
