@@ -183,11 +183,10 @@ def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALIS
     near = found.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term")
     n_entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least)
-    total = found.agg(F.count("*").alias("n_all"))  # one row
-    share = (F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-             / F.log2(F.col("n_all") / F.col("n_entity")))
-    rated = (pairs.join(n_entity, "entity").join(terms, "term").join(F.broadcast(total), F.lit(True))
-             .withColumn("share", share).filter(F.col("share") >= generalise))
+    total = F.lit(found.count())
+    share = (F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
+             / F.log2(total / F.col("n_entity")))
+    rated = (pairs.join(n_entity, "entity").join(terms, "term").withColumn("share", share).filter(F.col("share") >= generalise))
     return rated.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
 
 
