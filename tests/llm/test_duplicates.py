@@ -83,11 +83,53 @@ def test_near_duplicates(spark):
             first[group[p]] = min(d, first.get(group[p], d))
     want = [(d, f"{p:016x}", first.get(group[p])) for (d, _), p in zip(rows, prints)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert simhash.component_digests(empty(spark)).count() == 0
+
+
+def similar_by_hand(rows, similarity=0.8):
+    """Components of exact Jaccard similarity on five words."""
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or a and b and len(a & b) >= similarity * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_similar_documents(spark):
+    rnd = np.random.default_rng(5)
+    rows = awkward_texts()
+    for group in range(12):
+        words = ["v%d" % k for k in rnd.integers(0, 5000, 90 + 60 * group)]
+        for copy in range(4):
+            edited = list(words)
+            for _ in range(copy * len(words) // 100):  # 0 to 3 % of the words
+                edited[int(rnd.integers(0, len(words)))] = "edit%d" % rnd.integers(0, 10**6)
+            rows.append((1000 + 10 * group + copy, " ".join(edited)))
+    got = {(r["doc_id"], r["key"]): r["root"] for r in simhash.similar(docs_of(spark, rows)).collect()}
+    want = similar_by_hand(rows)
+    groups = {}
+    for (d, _), x in zip(rows, want):
+        groups.setdefault(x, set()).add(d)
+    found = {}
+    for (d, _), root in got.items():
+        found.setdefault(root, set()).add(d)
+    pairs = lambda parts: {(a, b) for p in parts for a in p for b in p if a is not None and b is not None and a < b}
+    have, must = pairs(found.values()), pairs(groups.values())
+    assert len(must - have) <= 0.02 * len(must)
+    loose = similar_by_hand(rows, 0.65)
+    assert have - must <= pairs([{d for (d, _), y in zip(rows, loose) if y == x} for x in set(loose)])
     kept = simhash.keep_one(docs_of(spark, rows))
     assert kept.columns == docs_of(spark, rows).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first.values()))
-    assert simhash.component_digests(empty(spark)).count() == 0
-    assert simhash.keep_one(empty(spark)).count() == 0
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(min((d for d in p if d is not None), default=None)) for p in found.values())
+    assert simhash.keep_one(empty(spark)).count() == 0 and simhash.similar(empty(spark)).count() == 0
 
 
 def test_forest_finds_every_partner():
