@@ -21,6 +21,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from saleloom.llm.common import ship
 ROOT = 0
 #: Texts of these characters only need lower case and a cut at white space before the library's splitter.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ſ]*+")
-#: Entries that one worker keeps of pieces it has met; beyond it starts anew.
+#: Entries that one worker keeps of pieces it has met; beyond it drops the later half.
 KEPT_PIECES = 350_000
 KEPT_ARCS = 500_000
 
@@ -200,8 +201,6 @@ class Codec:
             for word in words:
                 ids += self.pieces.get(word) or self.automaton.encode(word) if word.isascii() \
                     else self.automaton.encode(word)
-        if len(self.pieces) >= KEPT_PIECES:
-            self.pieces.clear()
         if len(piece) <= 64:
             self.pieces[piece] = ids
         return ids
@@ -212,6 +211,8 @@ class Codec:
             parts = text.lower().split()
         else:
             parts = self.normalizer.normalize_str(text).split(" ")
+        if len(self.pieces) >= KEPT_PIECES:  # what came first is what comes often
+            self.pieces = dict(islice(self.pieces.items(), KEPT_PIECES // 2))
         known, extend = self.pieces.get, ids.extend
         for part in parts:
             found = known(part)
