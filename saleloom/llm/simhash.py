@@ -7,10 +7,10 @@ shard a BK-tree finds all partners: children hang at their Hamming distance to t
 search follows only the edges within the radius. Shards travel by shuffle, as their total size grows
 with the documents. A shard returns a star for each of its groups, never its pairs.
 
-``similar`` finds documents whose word shingles have a Jaccard similarity of 0.8 or more. Such texts may
-differ in ten and more bits of a fingerprint, so their shards are other ones: documents that share two of
-MIN_KEYS smallest shingle hashes meet, a BK-tree of fingerprints finds who is near within the shard,
-and prints of 256 bits decide.
+``similar`` finds documents whose five-word shingles have a Jaccard similarity of 0.8 or more, all of them
+and no others. Shingles have one order, rare ones first. Two texts of that similarity share one of the
+first shingles of either, as many as a text may miss and one more; whatever such shards connect is a
+group of candidates, and inside a group the exact similarity decides.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ SEED = 42
 BLOCKS = 4  # of 16 bits; RADIUS differing bits leave BLOCKS - RADIUS of them alike
 FOREST_ROWS = 200_000  # fingerprints whose trees are searched together
 SEARCH_ROWS = 4096  # queries in one step of a search
-SIMILAR_FOREST, SIMILAR_ROWS = 50_000, 256  # the same for ``similar``, which finds more near a row
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -211,44 +210,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 @dataclass(frozen=True)
 class Similar:
-    """What ``similar`` asks of two documents.
-
-    At a similarity of 0.8 prints differ on average in 9.7 bits of one word and in 38.8 of all 256, with
-    deviations of 2.9 and 5.7: ``bits`` and ``wide_bits`` lie 2.8 and 2 of them beyond, so that what has the
-    similarity is found; at 0.6 one pair in twelve passes, at 0.5 one in five hundred.
-    """
+    """What ``similar`` asks of two documents: shared shingles of all shingles of both, in hundredths."""
 
     shingle: int = 5
-    bits: int = 18
-    wide_bits: int = 50
-
-
-MIN_KEYS = 5  # two of them are a shard; at similarity 0.8 no two agree in 0.7 % of the pairs
-WIDE = 4  # 64-bit words of a wide print, the first of which is the tree's
-HUB_ROWS = 64  # shards from this size on are first compared with their middle
-_SEEDS = np.random.default_rng(8).integers(0, 2**63, max(MIN_KEYS, WIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    percent: int = 80
 
 
-def _mixed(hashes: np.ndarray, seed: np.uint64) -> np.ndarray:
-    h = (hashes ^ seed) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
-    return h ^ (h >> np.uint64(29))
+SAMPLED_ROWS = 8192  # about so many rows tell which shingles are common; this steers the work, never the result
+COMMON, MOST_COMMON = 3, 100_000  # a shingle is common from so many sampled rows on; so many are kept
+BLOCK_SHINGLES = 1_000_000  # larger groups of candidates are dealt out by pairs of blocks
+HUB_ROWS = 64  # groups from this size on are first compared with one member
 
 
-def profile(text: str | None, shingle: int) -> tuple[list[int], np.ndarray]:
-    """Shards, named by any two of MIN_KEYS smallest hashes, and wide print of a text's distinct shingles."""
-    distinct = np.unique(shingle_hashes(text, shingle, SEED))
-    if not len(distinct):
-        return [], np.zeros(WIDE, dtype=np.uint64)
-    least = [_mixed(distinct, s).min() for s in _SEEDS[:MIN_KEYS]]
-    shards = _mixed(np.array([a for a, _ in combinations(least, 2)]), np.array([b for _, b in combinations(least, 2)]))
-    wide = np.stack([_mixed(distinct, s ^ np.uint64(1 << 40)) for s in _SEEDS[:WIDE]], axis=1)
-    return (shards + np.arange(len(shards), dtype=np.uint64)).view(np.int64).tolist(), majority(wide)
+def prefix_length(size: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """How many of its first shingles a text must show: all it may miss, and one more."""
+    return size - -(-percent * size // 100) + 1
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of wide prints, row by row."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def ranked(text: str | None, ask: Similar, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes of a text, rare ones first, in one order for all texts."""
+    distinct = np.unique(shingle_hashes(text, ask.shingle, SEED).view(np.int64))
+    if not len(common) or not len(distinct):
+        return distinct
+    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+    return distinct[np.argsort(np.where(common[at] == distinct, counts[at], 0), kind="stable")]
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,94 +249,119 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def similar_roots(groups: np.ndarray, wide: np.ndarray, ask: Similar) -> np.ndarray:
-    """Row number of the first member of each row's component, links within groups only.
+def similar_roots(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Row number of the first member of each row's component; ``shingles`` holds the rows' shingles one after another.
 
-    A large group is first compared with its middle, the member nearest to the majority of its bits. Those
-    that link to it are one component, and only the others still have to look for partners, which finds
-    every link that could join anything.
+    Two rows are linked by their exact similarity only. A large group is first compared with the member
+    whose shingles are the most common: what links to it is one component, and the others still ask for
+    partners. A row's partners share a shingle of its prefix; the shared ones of the prefix and the rest
+    of the text bound what two rows can share.
     """
-    n = len(wide)
-    label, asks = np.arange(n), np.ones(n, dtype=bool)
-    if not n:
-        return label
-    head = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    for a, b in zip(head.tolist(), [*head[1:].tolist(), n]):
-        if b - a >= HUB_ROWS:
-            bits = np.unpackbits(wide[a:b].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) * 2 > b - a
-            middle = np.packbits(bits).view(np.uint64)
-            hub = a + int(_apart(wide[a:b], middle).argmin())
-            near = a + np.flatnonzero(_apart(wide[a:b], wide[hub]) <= ask.wide_bits)
-            label[near] = near[0]
-            asks[near] = False
-        elif b - a == 1:
-            asks[a] = False
-    forest, asking = BkForest(wide[:, 0], groups), np.flatnonzero(asks)
-    for at in range(0, len(asking), SIMILAR_ROWS):
-        for a, b in forest.within(asking[at:at + SIMILAR_ROWS], ask.bits):
-            for cut in range(0, len(a), 200_000):
-                x, y = a[cut:cut + 200_000], b[cut:cut + 200_000]
-                open_ = label[x] != label[y]
-                x, y = x[open_], y[open_]
-                linked = _apart(wide[x], wide[y]) <= ask.wide_bits
-                label = _joined(label, x[linked], y[linked])
+    n = len(sizes)
+    label = np.arange(n)
+    _, ids, among = np.unique(shingles, return_inverse=True, return_counts=True)
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(label, sizes)
+    shown = prefix_length(sizes, percent)
+    in_prefix = np.arange(len(ids)) - begin[owner] < shown[owner]
+    order = np.argsort(ids[in_prefix], kind="stable")
+    posted, holder = ids[in_prefix][order], owner[in_prefix][order]
+    rest = sizes - shown
+    mark = np.zeros(len(among), dtype=bool)
+
+    def linked(row: int, others: np.ndarray) -> np.ndarray:
+        mine = ids[begin[row]:begin[row] + sizes[row]]
+        mark[mine] = True
+        both = np.array([np.count_nonzero(mark[ids[a:b]]) for a, b in zip(begin[others], begin[others] + sizes[others])], dtype=np.int64)
+        mark[mine] = False
+        return others[100 * both >= percent * (sizes[row] + sizes[others] - both)]
+
+    asks = np.ones(n, dtype=bool)
+    if n >= HUB_ROWS:
+        hub = int((np.bincount(owner, weights=among[ids], minlength=n) / sizes).argmax())
+        near = linked(hub, np.arange(n))
+        label[near] = near[0]
+        asks[near] = False
+    for row in np.flatnonzero(asks).tolist():
+        mine = ids[begin[row]:begin[row] + shown[row]]
+        low = np.searchsorted(posted, mine, "left")
+        count = np.searchsorted(posted, mine, "right") - low
+        found = holder[np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)]
+        others, shared = np.unique(found, return_counts=True)
+        total = sizes[row] + sizes[others]
+        most = np.minimum(shared + np.maximum(rest[row], rest[others]), np.minimum(sizes[row], sizes[others]))
+        others = others[(label[others] != label[row]) & (100 * most >= percent * (total - most))]
+        partners = linked(row, others)
+        label = _joined(label, np.full(len(partners), row), partners)
     return _jump(label)
 
 
+def common_shingles(docs: DataFrame, ask: Similar, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that many rows of a sample hold."""
+    share = max(1, docs.count() // SAMPLED_ROWS)
+    sample = docs.select(F.col(f"`{text}`").alias("text")).filter(F.pmod(row_key(F.col("text")), F.lit(share)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                held = np.concatenate([np.unique(shingle_hashes(t.as_py(), ask.shingle, SEED)) for t in part.column("text")])
+                hashes, counts = np.unique(held.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], names=["shingle", "n"])
+
+    rows = (sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow())
+    hashes, counts = rows["shingle"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
 def similar(docs: DataFrame, ask: Similar = Similar(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, key and component_id of every row: documents linked by similarity, and their links' links.
+    """doc_id, key, root and component_id of every row: documents linked by similarity, and their links' links.
 
     Texts of the same shingles are one unit, however many rows hold them. Texts of fewer words than a
     shingle are compared whole; those without words are alike. See ``near_duplicates`` for nulls.
     """
     spark = docs.sparkSession
     ship(spark)
+    common, counts = common_shingles(docs, ask, text)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{text}`")).alias("key"),
                        F.col(f"`{text}`").alias("text"))
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                found = [profile(t.as_py(), ask.shingle) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                     pa.array([f[1].tobytes() for f in found], pa.binary())],
-                    names=["doc_id", "key", "keys", "wide"])
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                found = [ranked(t.as_py(), ask, common, counts) for t in part.column("text")]
+                units = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
+                ends = np.cumsum([0] + [len(f) for f in found])
+                shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(units), shingles],
+                                                 names=["doc_id", "key", "unit", "shingles"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(profiles, f"doc_id {kind}, key long, keys array<long>, wide binary")
-    found = stored(found.withColumn("unit", F.xxhash64("wide", "keys")), "profiles")
-    keyed = found.select("unit", F.explode("keys").alias("shard")).distinct()
-    shared = keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard")
-    met = keyed.join(shared, "shard", "left_semi")
-    wanted = met.select("unit").distinct()
-    units = (found.select("unit", "wide").join(wanted, "unit", "left_semi")
-             .groupBy("unit").agg(F.min("wide").alias("wide")))
-
-    def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows >= SIMILAR_FOREST:
-                shards = held["shard"].to_numpy()
-                cut = int(np.searchsorted(shards, shards[-1]))  # the last shard may go on
-                if cut:
-                    yield edges(held.slice(0, cut))
-                    held = held.slice(cut).combine_chunks()
-        if held is not None and held.num_rows:
-            yield edges(held)
-
-    def edges(table: pa.Table) -> pa.RecordBatch:
-        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), dtype=np.uint64).reshape(-1, WIDE)
-        root = similar_roots(table["shard"].to_numpy(), wide, ask)
-        unit = table["unit"].to_numpy()
+    found = stored(rows.mapInArrow(profiles, f"doc_id {kind}, key long, unit long, shingles array<long>"), "profiles")
+    size = F.size("shingles")
+    shown = (size - F.ceil(size * F.lit(ask.percent) / 100) + 1).cast("int")
+    keyed = found.filter(size > 0).select("unit", F.explode(F.slice("shingles", F.lit(1), shown)).alias("shard"))
+    # texts that share a shard become candidates: one group of all that shards connect, each text in it once
+    met = keyed.groupBy("shard").agg(F.min("unit").alias("b"), F.max("unit").alias("most")).filter("b < most").select("shard", "b")
+    groups = stars(keyed.join(met, "shard").filter("unit > b").select(F.col("unit").alias("a"), "b").distinct())
+    groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+                    .select(F.col("node").alias("unit"), F.col("root").alias("cluster")), "candidates")
+    members = stored(found.select("unit", "shingles").join(groups, "unit").dropDuplicates(["unit"]), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(size) / BLOCK_SHINGLES).alias("blocks"))
+    block = F.pmod(F.xxhash64("unit"), F.col("blocks"))
+    dealt = (members.join(blocks, "cluster").withColumn("block", block)
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "unit", "shingles"))
+
+    def edges(group: pa.Table) -> pa.Table:
+        units = group["unit"].to_numpy()
+        lists = group["shingles"].combine_chunks()
+        root = similar_roots(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), ask.percent)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(unit[moved]), pa.array(unit[root[moved]])], names=["a", "b"])
+        return pa.table({"a": units[moved], "b": units[root[moved]]})
 
-    linked = (met.join(units, "unit").select("shard", "unit", "wide")
-              .repartition("shard").sortWithinPartitions("shard", "unit").mapInArrow(stars_of, "a long, b long"))
-    roots = stars(linked)
+    roots = stars(dealt.groupBy("cluster", "x", "y").applyInArrow(edges, "a long, b long"))
     first = found.groupBy("unit").agg(F.min("doc_id").alias("first_doc"))
     of = (first.join(roots, first["unit"] == roots["node"], "left")
           .select("unit", "first_doc", F.coalesce("root", "unit").alias("root")))

@@ -132,6 +132,44 @@ def test_similar_documents(spark):
     assert simhash.keep_one(empty(spark)).count() == 0 and simhash.similar(empty(spark)).count() == 0
 
 
+def roots_by_document(found):
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_similar_links_nothing_below(spark):
+    """Pairs at 0.70 to 0.79, many of which prints of 256 bits cannot tell from 0.8."""
+    rows, sizes = [], []
+    for i in range(60):
+        words = ["p%d_%d" % (i, k) for k in range(204)]  # 200 shingles
+        gone = 24 + i % 8
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:204 - gone] + ["q%d_%d" % (i, k) for k in range(gone)]))]
+        sizes.append((200 - gone) / (200 + gone))
+    assert 0.70 < min(sizes) and max(sizes) < 0.8
+    assert roots_by_document(simhash.similar(docs_of(spark, rows))) == [[d] for d in range(120)]
+    assert simhash.keep_one(docs_of(spark, rows)).count() == 120
+
+
+def test_similar_templates():
+    """A large group around one text, members at 0.6 to 1: the hub must not hide links nor make any."""
+    rnd = np.random.default_rng(3)
+    base = np.arange(150)
+    sets = [base] + [np.unique(np.where(rnd.random(150) < rnd.choice([0.02, 0.06, 0.12, 0.2]), rnd.integers(1000, 10**6, 150), base)) for _ in range(150)]
+    df = np.bincount(np.concatenate(sets))
+    sets = [s[np.lexsort((s, df[s]))] for s in sets]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = simhash.similar_roots(np.concatenate(sets), np.array([len(s) for s in sets]), 80)
+    assert got.tolist() == label and 1 < len(set(label)) < len(sets)
+
+
 def test_forest_finds_every_partner():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
