@@ -2,15 +2,15 @@
 
 Every value that a pattern finds is a protected entity. A term is disclosive of an entity if their
 pointwise mutual information over the whole corpus comes near the entity's information content:
-PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against IC(c) = log2(N / n(c)). n(c) and n(c,t) count distinct
-contexts (CONTEXT words on either side), so that copies of one passage speak once; n(t) counts the
-documents that hold the term and N all documents. From GENERALISE on the share PMI / IC makes a term
-a word without name, from REMOVE on it goes. Terms are touched in the contexts of the entity only.
+PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against IC(c) = log2(N / n(c)). All four count documents, and
+entity and term meet wherever one document holds both. Copies of one text are one witness: a pair needs
+MIN_TEXTS different texts, since in a single text every rare word would be exclusive. From GENERALISE on
+the share PMI / IC makes a term a word without name, from REMOVE on it goes. Terms are touched wherever
+a document holds their entity.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +26,7 @@ from saleloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("generalise", "remove")
-CONTEXT = 6
-MIN_CONTEXTS = 2
+MIN_TEXTS = 2
 GENERALISE, REMOVE = 0.80, 0.95
 COUNTED_TERMS = 500_000  # distinct terms that a task holds before it hands on its counts
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[WORD]", "remove": ""}
@@ -98,10 +97,8 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], width: int = CONTEXT) -> list[dict]:
-    """The terms around each span: entity, context, term and place."""
-    if not spans:
-        return []
+def entities_and_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[dict]]:
+    """Distinct entities of a text, and the term and place of every word outside the spans."""
     taken = sorted((a, b) for _, a, b in spans)
     words, at, reach = [], 0, -1
     for m in _TERM.finditer(text):
@@ -109,43 +106,39 @@ def contexts(text: str, spans: list[tuple[str, int, int]], width: int = CONTEXT)
             reach = max(reach, taken[at][1])
             at += 1
         if reach <= m.start():
-            words.append((m.start(), m.end(), m[0].lower()))
-    begins, out = [w[0] for w in words], []
-    for kind, a, b in spans:
-        entity = _hash(f"{kind}:{_value(kind, text[a:b])}")
-        left, right = bisect.bisect_left(begins, a), bisect.bisect_left(begins, b)
-        near = words[max(0, left - width):left] + words[right:right + width]
-        context = _hash(" ".join(w[2] for w in near))
-        out += [{"entity": entity, "context": context, "term": _hash(t), "start": s, "end": e} for s, e, t in near]
-    return out
+            words.append({"term": _hash(m[0].lower()), "start": m.start(), "end": m.end()})
+    return sorted({_hash(f"{kind}:{_value(kind, text[a:b])}") for kind, a, b in spans}), words
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                   T.StructField("end", T.LongType())]))
-_NEAR = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("entity", "context", "term", "start", "end")]))
+_NEAR = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("term", "start", "end")]))
 _ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_ARROW_NEAR = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "context", "term", "start", "end")]))
+_ARROW_NEAR = pa.list_(pa.struct([(n, pa.int64()) for n in ("term", "start", "end")]))
 
 
 def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, key, spans of the patterns and the terms near them, for every row."""
+    """doc_id, key, spans of the patterns, and where there are any their entities and the words beside them, for every row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{text}`")).alias("key"),
                        F.col(f"`{text}`").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("spans", _SPAN),
-                           T.StructField("near", _NEAR)])
+                           T.StructField("entities", T.ArrayType(T.LongType())), T.StructField("near", _NEAR)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-                spans, near = [], []
+                spans, entities, near = [], [], []
                 for value in part.column("text"):
                     found = base_spans(t := value.as_py())
                     spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                    near.append(contexts(t, found) if found else [])
+                    held, words = entities_and_words(t, found) if found else ([], [])
+                    entities.append(held)
+                    near.append(words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(spans, _ARROW_SPAN), pa.array(near, _ARROW_NEAR)],
-                    names=["doc_id", "key", "spans", "near"])
+                    [part.column("doc_id"), part.column("key"), pa.array(spans, _ARROW_SPAN),
+                     pa.array(entities, pa.list_(pa.int64())), pa.array(near, _ARROW_NEAR)],
+                    names=["doc_id", "key", "spans", "entities", "near"])
 
     return rows.mapInArrow(run, schema)
 
@@ -167,7 +160,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for value in batch.column(0):
                 if t := value.as_py():
-                    counts.update(set(_TERM.findall(t.lower())))
+                    counts.update({w.lower() for w in set(_TERM.findall(t))})
                     if len(counts) >= COUNTED_TERMS:
                         yield from summed()
                         counts.clear()
@@ -178,23 +171,32 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE,
-               least: int = MIN_CONTEXTS) -> DataFrame:
+               least: int = MIN_TEXTS) -> DataFrame:
     """entity, term and kind of every pair at or over the threshold, from the stored rows of ``detect``."""
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term")
-    n_entity = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least)
+    held = found.filter("size(entities) > 0")
+    by_text = held.select("key", F.explode("entities").alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
+    n_entity = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    n_entity = n_entity.filter(F.col("texts") >= least).select("entity", "n_entity")
+    words = (held.select("key", F.explode(F.array_distinct(F.col("near.term"))).alias("term")).distinct())
+    pairs = (by_text.join(n_entity, "entity").join(words, "key").groupBy("entity", "n_entity", "term")
+             .agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least))
     total = F.lit(found.count())
     share = (F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
              / F.log2(total / F.col("n_entity")))
-    rated = (pairs.join(n_entity, "entity").join(terms, "term").withColumn("share", share).filter(F.col("share") >= generalise))
+    share = F.when(F.col("n_entity") < total, share)  # an entity of every document tells nothing
+    rated = pairs.join(terms, "term").withColumn("share", share).filter(F.col("share") >= generalise)
     return rated.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
 
 
 def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, key and the added spans of the rows that have any; the stronger measure wins a place."""
-    places = found.filter("size(near) > 0").select("doc_id", "key", F.explode("near").alias("x")).select(
-        "doc_id", "key", "x.entity", "x.term", "x.start", "x.end")
-    return (places.join(pairs, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.max("kind").alias("kind"))
+    pairs = stored(pairs, "pairs")
+    held = found.filter("size(entities) > 0")
+    # the terms of a text first, whichever of its entities they reveal; then their places
+    terms = (held.select("key", F.explode("entities").alias("entity")).distinct().join(pairs, "entity")
+             .groupBy("key", "term").agg(F.max("kind").alias("kind")))
+    places = held.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.term", "x.start", "x.end").distinct()
+    return (places.join(terms, ["key", "term"])
             .groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")))
 
 

@@ -209,6 +209,29 @@ def test_disclosive_terms(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in clean.values())
 
 
+def test_disclosive_terms_of_copied_passages(spark):
+    """A passage copied into different documents, a term far from its entity, and an entity of every document."""
+    rnd = random.Random(4)
+    common = ["alpha", "beta", "gamma", "delta", "kappa"]
+
+    def filler(n):
+        return " ".join(rnd.choice(common) for _ in range(n))
+
+    beside = "alpha beta gamma quorvex delta mail to p.q@mail.example.org or kappa beta alpha gamma delta"
+    rows = [(i, filler(30)) for i in range(60)]
+    rows += [(100 + i, f"{filler(20)} {beside} {filler(20)} quorvex {filler(9)}") for i in range(2)]
+    rows += [(200 + i, f"farword {filler(40)} 10.1.2.3 {filler(40)}") for i in range(2)]
+    found = {r["doc_id"]: r for r in pii.find(docs_of(spark, rows)).collect()}
+    for d, term, times in ((100, "quorvex", 2), (101, "quorvex", 2), (200, "farword", 1), (201, "farword", 1)):
+        text = dict(rows)[d]
+        added = [text[s["start"]:s["end"]] for s in found[d]["added"]]
+        assert added.count(term) == times and not set(added) & set(common)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs_of(spark, rows)).collect()}
+    assert not any("quorvex" in t or "farword" in t for t in clean.values())
+    everywhere = [(i, f"word{chr(97 + i)} at a.b@mail.example.org") for i in range(5)]
+    assert not any(r["added"] for r in pii.find(docs_of(spark, everywhere)).collect())
+
+
 def test_spans_table(spark):
     rows = awkward_texts()
     got = pii.span_digests(awkward(spark)).collect()
