@@ -152,6 +152,22 @@ def test_similar_links_nothing_below(spark):
     assert simhash.keep_one(docs_of(spark, rows)).count() == 120
 
 
+def exactly_four_fifths():
+    """Pairs of 180 shingles that share 160 of 200."""
+    rows = []
+    for i in range(400):
+        words = ["p%d_%d" % (i, k) for k in range(184)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:164] + ["q%d_%d" % (i, k) for k in range(20)]))]
+    return rows
+
+
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_similar_misses_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)  # 60: a group is dealt out by pairs of blocks
+    rows = exactly_four_fifths()[:800 if block > 60 else 40]
+    assert roots_by_document(simhash.similar(docs_of(spark, rows))) == [[d, d + 1] for d in range(0, len(rows), 2)]
+
+
 def test_similar_templates():
     """A large group around one text, members at 0.6 to 1: the hub must not hide links nor make any."""
     rnd = np.random.default_rng(3)
