@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saleloom.llm.common import row_key, ship
@@ -218,6 +218,7 @@ class Similar:
 
 SAMPLED_ROWS = 8192  # about so many rows tell which shingles are common; this steers the work, never the result
 COMMON, MOST_COMMON = 3, 100_000  # a shingle is common from so many sampled rows on; so many are kept
+BROADCAST_UNITS = 500_000  # candidates up to which their texts are picked out without a shuffle of all texts
 BLOCK_SHINGLES = 1_000_000  # larger groups of candidates are dealt out by pairs of blocks
 HUB_ROWS = 64  # groups from this size on are first compared with one member
 
@@ -332,23 +333,34 @@ def similar(docs: DataFrame, ask: Similar = Similar(), text: str = "text", doc_i
             for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
                 found = [ranked(t.as_py(), ask, common, counts) for t in part.column("text")]
                 units = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
-                ends = np.cumsum([0] + [len(f) for f in found])
-                shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(units), shingles],
-                                                 names=["doc_id", "key", "unit", "shingles"])
+                shown = [f[:prefix_length(len(f), ask.percent)] if len(f) else f for f in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(units), lists_of(shown)],
+                                                 names=["doc_id", "key", "unit", "shown"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                found = [ranked(t.as_py(), ask, common, counts) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("unit"), part.column("cluster"), lists_of(found)],
+                                                 names=["unit", "cluster", "shingles"])
+
+    def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0] + [len(x) for x in arrays])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = stored(rows.mapInArrow(profiles, f"doc_id {kind}, key long, unit long, shingles array<long>"), "profiles")
-    size = F.size("shingles")
-    shown = (size - F.ceil(size * F.lit(ask.percent) / 100) + 1).cast("int")
-    keyed = found.filter(size > 0).select("unit", F.explode(F.slice("shingles", F.lit(1), shown)).alias("shard"))
+    found = stored(rows.mapInArrow(profiles, f"doc_id {kind}, key long, unit long, shown array<long>"), "profiles")
+    keyed = found.select("unit", F.explode("shown").alias("shard"))
     # texts that share a shard become candidates: one group of all that shards connect, each text in it once
-    met = keyed.groupBy("shard").agg(F.min("unit").alias("b"), F.max("unit").alias("most")).filter("b < most").select("shard", "b")
-    groups = stars(keyed.join(met, "shard").filter("unit > b").select(F.col("unit").alias("a"), "b").distinct())
+    least = F.min("unit").over(Window.partitionBy("shard"))
+    groups = stars(keyed.withColumn("b", least).filter("unit > b").select(F.col("unit").alias("a"), "b").distinct())
     groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
                     .select(F.col("node").alias("unit"), F.col("root").alias("cluster")), "candidates")
-    members = stored(found.select("unit", "shingles").join(groups, "unit").dropDuplicates(["unit"]), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(size) / BLOCK_SHINGLES).alias("blocks"))
+    wanted = stored(found.select("unit", "key").join(groups, "unit").groupBy("unit", "cluster").agg(F.min("key").alias("key")), "wanted")
+    few = wanted.count() <= BROADCAST_UNITS
+    texts = rows.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["unit"])
+    members = stored(texts.select("unit", "cluster", "text").mapInArrow(whole, "unit long, cluster long, shingles array<long>"), "members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).alias("blocks"))
     block = F.pmod(F.xxhash64("unit"), F.col("blocks"))
     dealt = (members.join(blocks, "cluster").withColumn("block", block)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
