@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleloom.llm import bpe, chat, decontam, html_extract, pii, quality, simhash, substring_dedup, token_files, topk
+from saleloom.llm import (bpe, chat, decontam, html_extract, pii, quality, simhash, substring_dedup, token_counts, token_files,
+                          topk)
 from saleloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(fn):
@@ -21,10 +23,10 @@ def query(fn):
     return fn
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query
@@ -130,3 +132,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 @query
 def op9_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
