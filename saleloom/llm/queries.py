@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleloom.llm import (bpe, chat, decontam, html_extract, pii, quality, simhash, substring_dedup, token_counts, token_files,
-                          topk)
+from saleloom.llm import (bpe, chat, decontam, html_extract, lexical_search, pii, quality, simhash, substring_dedup,
+                          token_counts, token_files, topk)
 from saleloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,27 @@ def op9_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
+@query
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_blocked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT row_id, doc_id, n, term, count(*) AS tf
+      FROM (SELECT row_id, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY row_id, doc_id, n, term),
+g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM f, s GROUP BY term),
+r AS (SELECT item_id, row_id, doc_id,
+             CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN g USING (term), s GROUP BY item_id, row_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
