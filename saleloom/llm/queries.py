@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleloom.llm import (bpe, chat, decontam, html_extract, lexical_search, pii, quality, simhash, substring_dedup,
-                          token_counts, token_files, topk)
+                          token_counts, token_files, topk, vector_codes)
 from saleloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,38 @@ r AS (SELECT item_id, row_id, doc_id,
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM r WHERE score > 0 QUALIFY rank <= 50
 """
+
+
+@query
+def op11_drake_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """Whole searches and means in whole numbers, one step after the other."""
+    steps = ["""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+       list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT CAST(max(len(e)) // 4 AS BIGINT) AS w FROM v),
+x AS MATERIALIZED (SELECT r, p, e[p * w + 1 : (p + 1) * w] AS x FROM v, w, range(4) AS u(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS c FROM x WHERE r <= 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, p, min(s) AS d, arg_min(k, s * 256 + k) AS k FROM (
+       SELECT r, p, k, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS s
+       FROM x JOIN c{i} USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (SELECT p, k, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n
+       FROM (SELECT p, k, unnest(x) AS y, unnest(range(len(x))) AS i FROM x JOIN a{i} USING (r, p)) GROUP BY p, k, i),
+n{i} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM m{i} GROUP BY p, k),
+c{i + 1} AS MATERIALIZED (SELECT p, k, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (p, k))""")
+    return ",".join(steps) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS h FROM c{rounds}),
+z AS (SELECT r, CAST(sum(d) AS BIGINT) AS error, string_agg(printf('%02x', k), '' ORDER BY p) AS code FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM v JOIN z USING (r), h"""
+
+
+SQL["op11_drake_hamerly_codes"] = _codes_sql()
