@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleloom.session import stored
+from saleloom.session import discard, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def stars(edges: DataFrame) -> DataFrame:
     """(node, root) for every node but the roots; root is the smallest node of its component.
 
     ``edges`` has columns a and b. Loops are ignored; an edge may stand in any direction and more
-    than once. Every round is one written table; the driver sees two numbers of it.
+    than once. Every round is one written table, which goes when the next one is written; the driver sees
+    two numbers of it.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                  .filter("a > b").distinct(), "stars")
@@ -41,4 +42,5 @@ def stars(edges: DataFrame) -> DataFrame:
         if mark == seen or mark["n"] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        now = stored(_small_star(_large_star(now)), "stars")
+        last, now = now, stored(_small_star(_large_star(now)), "stars")
+        discard(last)

@@ -6,23 +6,17 @@ fingerprint therefore goes to six shards, one for each pair of blocks and their
 shard a BK-tree finds all partners: children hang at their Hamming distance to the parent, and a
 search follows only the edges within the radius. Shards travel by shuffle, as their total size grows
 with the documents. A shard returns a star for each of its groups, never its pairs.
-
-``similar`` finds documents whose five-word shingles have a Jaccard similarity of 0.8 or more, all of them
-and no others. Shingles have one order, rare ones first. Two texts of that similarity share one of the
-first shingles of either, as many as a text may miss and one more; whatever such shards connect is a
-group of candidates, and inside a group the exact similarity decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleloom.llm.common import row_key, ship
@@ -191,203 +185,38 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, text: str = "text",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, key, fingerprint and component_id of every row.
-
-    component_id is the smallest doc_id that links reach, the row's own included. Texts without words
-    have fingerprint 0 and link like any other. Repeated rows are kept, each with its result; rows
-    without doc_id take part in links but never name a component, so it is null where all are such.
-    """
+def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, text: str = "text",
+               doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, key, fingerprint, root (a fingerprint that names the component) and component_id of every row."""
     rows = stored(fingerprints(docs, shingle, text=text, doc_id=doc_id), "fingerprints")
     distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), "distinct")
     roots = stars(links(distinct, radius))
     of = (distinct.join(roots, distinct["fingerprint"] == roots["node"], "left")
           .select("fingerprint", "first_doc", F.coalesce("root", "fingerprint").alias("root")))
     names = of.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rows.join(of.join(names, "root").select("fingerprint", "component_id"), "fingerprint")
-
-
-@dataclass(frozen=True)
-class Similar:
-    """What ``similar`` asks of two documents: shared shingles of all shingles of both, in hundredths."""
-
-    shingle: int = 5
-    percent: int = 80
-
+    return rows.join(of.join(names, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
-SAMPLED_ROWS = 8192  # about so many rows tell which shingles are common; this steers the work, never the result
-COMMON, MOST_COMMON = 3, 100_000  # a shingle is common from so many sampled rows on; so many are kept
-BROADCAST_UNITS = 500_000  # candidates up to which their texts are picked out without a shuffle of all texts
-BLOCK_SHINGLES = 1_000_000  # larger groups of candidates are dealt out by pairs of blocks
-HUB_ROWS = 64  # groups from this size on are first compared with one member
-
-
-def prefix_length(size: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """How many of its first shingles a text must show: all it may miss, and one more."""
-    return size - -(-percent * size // 100) + 1
-
-
-def ranked(text: str | None, ask: Similar, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Distinct shingle hashes of a text, rare ones first, in one order for all texts."""
-    distinct = np.unique(shingle_hashes(text, ask.shingle, SEED).view(np.int64))
-    if not len(common) or not len(distinct):
-        return distinct
-    at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
-    return distinct[np.argsort(np.where(common[at] == distinct, counts[at], 0), kind="stable")]
-
-
-def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after links between rows a and b."""
-    while len(a):
-        x, y = label[a], label[b]
-        open_ = x != y
-        if not open_.any():
-            break
-        a, b = a[open_], b[open_]
-        np.minimum.at(label, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
-        label = _jump(label)
-    return label
-
-
-def similar_roots(shingles: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Row number of the first member of each row's component; ``shingles`` holds the rows' shingles one after another.
-
-    Two rows are linked by their exact similarity only. A large group is first compared with the member
-    whose shingles are the most common: what links to it is one component, and the others still ask for
-    partners. A row's partners share a shingle of its prefix; the shared ones of the prefix and the rest
-    of the text bound what two rows can share.
-    """
-    n = len(sizes)
-    label = np.arange(n)
-    _, ids, among = np.unique(shingles, return_inverse=True, return_counts=True)
-    begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(label, sizes)
-    shown = prefix_length(sizes, percent)
-    in_prefix = np.arange(len(ids)) - begin[owner] < shown[owner]
-    order = np.argsort(ids[in_prefix], kind="stable")
-    posted, holder = ids[in_prefix][order], owner[in_prefix][order]
-    rest = sizes - shown
-    mark = np.zeros(len(among), dtype=bool)
-
-    def linked(row: int, others: np.ndarray) -> np.ndarray:
-        mine = ids[begin[row]:begin[row] + sizes[row]]
-        mark[mine] = True
-        both = np.array([np.count_nonzero(mark[ids[a:b]]) for a, b in zip(begin[others], begin[others] + sizes[others])], dtype=np.int64)
-        mark[mine] = False
-        return others[100 * both >= percent * (sizes[row] + sizes[others] - both)]
-
-    asks = np.ones(n, dtype=bool)
-    if n >= HUB_ROWS:
-        hub = int((np.bincount(owner, weights=among[ids], minlength=n) / sizes).argmax())
-        near = linked(hub, np.arange(n))
-        label[near] = near[0]
-        asks[near] = False
-    for row in np.flatnonzero(asks).tolist():
-        mine = ids[begin[row]:begin[row] + shown[row]]
-        low = np.searchsorted(posted, mine, "left")
-        count = np.searchsorted(posted, mine, "right") - low
-        found = holder[np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)]
-        others, shared = np.unique(found, return_counts=True)
-        total = sizes[row] + sizes[others]
-        most = np.minimum(shared + np.maximum(rest[row], rest[others]), np.minimum(sizes[row], sizes[others]))
-        others = others[(label[others] != label[row]) & (100 * most >= percent * (total - most))]
-        partners = linked(row, others)
-        label = _joined(label, np.full(len(partners), row), partners)
-    return _jump(label)
 
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, text: str = "text",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, key, fingerprint and component_id of every row.
 
-def common_shingles(docs: DataFrame, ask: Similar, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of shingles that many rows of a sample hold."""
-    share = max(1, docs.count() // SAMPLED_ROWS)
-    sample = docs.select(F.col(f"`{text}`").alias("text")).filter(F.pmod(row_key(F.col("text")), F.lit(share)) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-                held = np.concatenate([np.unique(shingle_hashes(t.as_py(), ask.shingle, SEED)) for t in part.column("text")])
-                hashes, counts = np.unique(held.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], names=["shingle", "n"])
-
-    rows = (sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow())
-    hashes, counts = rows["shingle"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def similar(docs: DataFrame, ask: Similar = Similar(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, key, root and component_id of every row: documents linked by similarity, and their links' links.
-
-    Texts of the same shingles are one unit, however many rows hold them. Texts of fewer words than a
-    shingle are compared whole; those without words are alike. See ``near_duplicates`` for nulls.
+    component_id is the smallest doc_id that links reach, the row's own included. Texts without words
+    have fingerprint 0 and link like any other. Repeated rows are kept, each with its result; rows
+    without doc_id take part in links but never name a component, so it is null where all are such.
+    An empty table gives no rows. Other columns are ignored, whatever their names. Texts are read whole.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    common, counts = common_shingles(docs, ask, text)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{text}`")).alias("key"),
-                       F.col(f"`{text}`").alias("text"))
-
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-                found = [ranked(t.as_py(), ask, common, counts) for t in part.column("text")]
-                units = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
-                shown = [f[:prefix_length(len(f), ask.percent)] if len(f) else f for f in found]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(units), lists_of(shown)],
-                                                 names=["doc_id", "key", "unit", "shown"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
-                found = [ranked(t.as_py(), ask, common, counts) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("unit"), part.column("cluster"), lists_of(found)],
-                                                 names=["unit", "cluster", "shingles"])
-
-    def lists_of(arrays: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0] + [len(x) for x in arrays])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = stored(rows.mapInArrow(profiles, f"doc_id {kind}, key long, unit long, shown array<long>"), "profiles")
-    keyed = found.select("unit", F.explode("shown").alias("shard"))
-    # texts that share a shard become candidates: one group of all that shards connect, each text in it once
-    least = F.min("unit").over(Window.partitionBy("shard"))
-    groups = stars(keyed.withColumn("b", least).filter("unit > b").select(F.col("unit").alias("a"), "b").distinct())
-    groups = stored(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-                    .select(F.col("node").alias("unit"), F.col("root").alias("cluster")), "candidates")
-    wanted = stored(found.select("unit", "key").join(groups, "unit").groupBy("unit", "cluster").agg(F.min("key").alias("key")), "wanted")
-    few = wanted.count() <= BROADCAST_UNITS
-    texts = rows.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["unit"])
-    members = stored(texts.select("unit", "cluster", "text").mapInArrow(whole, "unit long, cluster long, shingles array<long>"), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).alias("blocks"))
-    block = F.pmod(F.xxhash64("unit"), F.col("blocks"))
-    dealt = (members.join(blocks, "cluster").withColumn("block", block)
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "unit", "shingles"))
-
-    def edges(group: pa.Table) -> pa.Table:
-        units = group["unit"].to_numpy()
-        lists = group["shingles"].combine_chunks()
-        root = similar_roots(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), ask.percent)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": units[moved], "b": units[root[moved]]})
-
-    roots = stars(dealt.groupBy("cluster", "x", "y").applyInArrow(edges, "a long, b long"))
-    first = found.groupBy("unit").agg(F.min("doc_id").alias("first_doc"))
-    of = (first.join(roots, first["unit"] == roots["node"], "left")
-          .select("unit", "first_doc", F.coalesce("root", "unit").alias("root")))
-    names = of.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return found.select("doc_id", "key", "unit").join(of.join(names, "root").select("unit", "root", "component_id"), "unit").drop("unit")
+    return components(docs, shingle, radius, text, doc_id).select("doc_id", "key", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, ask: Similar = Similar()) -> DataFrame:
-    """``docs`` with one row of each component of similar documents: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: the one with the smallest doc_id.
 
     Among rows of that doc_id the smallest text hash stays, and one of equal rows. A row without
-    doc_id stays only where its component has no other.
+    doc_id stays only where its component has no other. Texts without words are near duplicates of
+    each other. Columns keep their order, whatever their names; an empty table stays empty.
     """
-    found = stored(similar(docs, ask), "similar")
+    found = stored(components(docs, shingle, radius).select("doc_id", "key", "root"), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     kept = (found.withColumn("order", order).groupBy("root").agg(F.min("order").alias("o"))
             .select(F.col("o.doc_id").alias("_doc"), F.col("o.key").alias("_key")))

@@ -86,104 +86,30 @@ def test_near_duplicates(spark):
     assert simhash.component_digests(empty(spark)).count() == 0
 
 
-def similar_by_hand(rows, similarity=0.8):
-    """Components of exact Jaccard similarity on five words."""
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
-
-    sets = [shingles(t) for _, t in rows]
-    label = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a == b or a and b and len(a & b) >= similarity * len(a | b):
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    return label
-
-
-def test_similar_documents(spark):
-    rnd = np.random.default_rng(5)
+def test_keep_one(spark):
+    """One row of each component by bit distance, whole and unchanged."""
     rows = awkward_texts()
-    for group in range(12):
-        words = ["v%d" % k for k in rnd.integers(0, 5000, 90 + 60 * group)]
-        for copy in range(4):
-            edited = list(words)
-            for _ in range(copy * len(words) // 100):  # 0 to 3 % of the words
-                edited[int(rnd.integers(0, len(words)))] = "edit%d" % rnd.integers(0, 10**6)
-            rows.append((1000 + 10 * group + copy, " ".join(edited)))
-    got = {(r["doc_id"], r["key"]): r["root"] for r in simhash.similar(docs_of(spark, rows)).collect()}
-    want = similar_by_hand(rows)
-    groups = {}
-    for (d, _), x in zip(rows, want):
-        groups.setdefault(x, set()).add(d)
-    found = {}
-    for (d, _), root in got.items():
-        found.setdefault(root, set()).add(d)
-    pairs = lambda parts: {(a, b) for p in parts for a in p for b in p if a is not None and b is not None and a < b}
-    have, must = pairs(found.values()), pairs(groups.values())
-    assert len(must - have) <= 0.02 * len(must)
-    loose = similar_by_hand(rows, 0.65)
-    assert have - must <= pairs([{d for (d, _), y in zip(rows, loose) if y == x} for x in set(loose)])
-    kept = simhash.keep_one(docs_of(spark, rows))
-    assert kept.columns == docs_of(spark, rows).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(min((d for d in p if d is not None), default=None)) for p in found.values())
-    assert simhash.keep_one(empty(spark)).count() == 0 and simhash.similar(empty(spark)).count() == 0
-
-
-def roots_by_document(found):
-    groups = {}
-    for r in found.collect():
-        groups.setdefault(r["root"], set()).add(r["doc_id"])
-    return sorted(map(sorted, groups.values()))
-
-
-def test_similar_links_nothing_below(spark):
-    """Pairs at 0.70 to 0.79, many of which prints of 256 bits cannot tell from 0.8."""
-    rows, sizes = [], []
-    for i in range(60):
-        words = ["p%d_%d" % (i, k) for k in range(204)]  # 200 shingles
-        gone = 24 + i % 8
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:204 - gone] + ["q%d_%d" % (i, k) for k in range(gone)]))]
-        sizes.append((200 - gone) / (200 + gone))
-    assert 0.70 < min(sizes) and max(sizes) < 0.8
-    assert roots_by_document(simhash.similar(docs_of(spark, rows))) == [[d] for d in range(120)]
-    assert simhash.keep_one(docs_of(spark, rows)).count() == 120
-
-
-def exactly_four_fifths():
-    """Pairs of 180 shingles that share 160 of 200."""
-    rows = []
-    for i in range(400):
-        words = ["p%d_%d" % (i, k) for k in range(184)]
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:164] + ["q%d_%d" % (i, k) for k in range(20)]))]
-    return rows
-
-
-@pytest.mark.parametrize("block", [1_000_000, 60])
-def test_similar_misses_nothing(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)  # 60: a group is dealt out by pairs of blocks
-    rows = exactly_four_fifths()[:800 if block > 60 else 40]
-    assert roots_by_document(simhash.similar(docs_of(spark, rows))) == [[d, d + 1] for d in range(0, len(rows), 2)]
-
-
-def test_similar_templates():
-    """A large group around one text, members at 0.6 to 1: the hub must not hide links nor make any."""
-    rnd = np.random.default_rng(3)
-    base = np.arange(150)
-    sets = [base] + [np.unique(np.where(rnd.random(150) < rnd.choice([0.02, 0.06, 0.12, 0.2]), rnd.integers(1000, 10**6, 150), base)) for _ in range(150)]
-    df = np.bincount(np.concatenate(sets))
-    sets = [s[np.lexsort((s, df[s]))] for s in sets]
-    label = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            both = len(np.intersect1d(a, sets[j]))
-            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    got = simhash.similar_roots(np.concatenate(sets), np.array([len(s) for s in sets]), 80)
-    assert got.tolist() == label and 1 < len(set(label)) < len(sets)
+    base = " ".join(t for _, t in rows[30:36])
+    rows += [(500 + i, base + " tail%d" % i) for i in range(12)] + [(None, "only one without a name"), (8, rows[25][1])]
+    prints = [print_by_hand(t) for _, t in rows]
+    group = components_by_hand(set(prints))
+    want = {}
+    for (d, t), p in zip(rows, prints):
+        old = want.get(group[p], (None, None))
+        if group[p] not in want or d is not None and (old[0] is None or d < old[0]):
+            want[group[p]] = (d, t)
+    docs = docs_of(spark, rows)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in want.values())
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, set()).add(t)
+    assert all(r["text"] in texts[r["doc_id"]] and r["row"] == "y" and r["_key"] == 6 for r in got)
+    found = {group[print_by_hand(r["text"])] for r in got}
+    assert len(found) == len(got) == len(want)
+    assert simhash.keep_one(empty(spark)).count() == 0
 
 
 def test_forest_finds_every_partner():
