@@ -13,6 +13,7 @@ from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, STATE
 from saleloom.session import new_folder
 from saleloom.sources import panel as panel_source
 from saleloom.sources import sheets, sinks
+from saleloom.sources.versions import SKETCH_ERROR, PanelVersions
 
 PANEL_SQL = 'SELECT "Date", "State", "Vehicle_Category", "EV_Sales_Quantity" FROM panel'
 DATE_TEXT = 'CAST("Date" AS VARCHAR) AS "Date"'
@@ -73,17 +74,58 @@ CAST(sum("EV_Sales_Quantity") AS BIGINT) AS total, 1 AS backup_kept
 FROM panel GROUP BY 1""")
 def save_panel_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots: the second is read, the first stays readable as backup."""
-    folder = new_folder(spark, "panel")
+    versions = PanelVersions(spark, new_folder(spark, "panel"))
     panel = inputs.stored_panel(spark, sf_dir)
-    sinks.write_panel_version(clean.between_dates(panel, before=inputs.PUSH_FROM), folder, 1)
-    sinks.write_panel_version(panel, folder, 2)
-    backup = sinks.read_panel_version(spark, folder, 1)
-    kept = backup.agg((F.count(F.lit(1)) > 0).cast("int")).scalar()
-    return (sinks.read_panel_version(spark, folder, 2).groupBy("year")
+    first = versions.save(clean.between_dates(panel, before=inputs.PUSH_FROM))
+    versions.save(panel)
+    kept = versions.read(first).agg((F.count(F.lit(1)) > 0).cast("int")).scalar()
+    return (versions.read().groupBy(F.year(DATE).alias("year"))
             .agg(F.count(F.lit(1)).alias("rows_written"), F.sum(QTY).alias("total"))
             .withColumn("backup_kept", kept))
 
 
+@query("A5,A6", f"""WITH y AS (SELECT year("Date") AS y, count(*) AS n, CAST(sum("EV_Sales_Quantity") AS BIGINT) AS q FROM panel GROUP BY 1),
+v AS (SELECT 1 AS version, 0 AS parent, 'save' AS action, y, n, q FROM y WHERE y < year(DATE '{inputs.PUSH_FROM}')
+UNION ALL SELECT 2, 1, 'save', y, n, q FROM y
+UNION ALL SELECT 3, 2, 'replace years', y, n, CASE WHEN y = {inputs.PATTERN_YEAR} THEN 2 * q ELSE q END FROM y
+UNION ALL SELECT 4, 3, 'roll back to 2', y, n, q FROM y)
+SELECT version, parent, action, count(*) AS years, CAST(sum(n) AS BIGINT) AS rows_named, CAST(sum(n) AS BIGINT) AS rows_read,
+CAST(sum(q) AS BIGINT) AS total, 0 AS damaged_years FROM v GROUP BY ALL""")
+def panel_version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save, save more, replace one year, roll back: what the log names and what reading each version gives."""
+    versions = PanelVersions(spark, new_folder(spark, "panel"))
+    panel = inputs.stored_panel(spark, sf_dir)
+    versions.save(clean.between_dates(panel, before=inputs.PUSH_FROM))
+    second = versions.save(panel)
+    changed = panel.filter(F.year(DATE) == inputs.PATTERN_YEAR).withColumn(QTY, 2 * F.col(QTY))
+    versions.replace_years(changed)
+    last = versions.roll_back(second)
+    read = None
+    for number in range(1, last + 1):
+        one = versions.read(number).agg(F.count(F.lit(1)).alias("rows_read"), F.sum(QTY).alias("total")).select(
+            F.lit(number).alias("_version"), "*", F.lit(versions.damage(number).count()).alias("damaged_years"))
+        read = one if read is None else read.unionByName(one)
+    told = versions.log().select("version", "parent", "action", F.size("years").alias("years"),
+                                 F.aggregate("years", F.lit(0).cast("long"), lambda n, y: n + y["rows"]).alias("rows_named"))
+    return told.join(read, told["version"] == read["_version"]).drop("_version")
+
+
+@query("A11,D14", """SELECT count(*) AS rows, CAST(min("Date") AS VARCHAR) AS first_date, CAST(max("Date") AS VARCHAR) AS last_date,
+CAST(sum("EV_Sales_Quantity") AS BIGINT) AS total_quantity, count(DISTINCT "State") AS states,
+count(DISTINCT "Vehicle_Category") AS categories, count(DISTINCT "Date") AS dates, 1 AS states_within_bound,
+1 AS categories_within_bound, 1 AS dates_within_bound FROM panel""")
+def status_from_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status from the months' stored figures; exact distinct counts stand beside, and estimates keep within three standard errors."""
+    versions = PanelVersions(spark, new_folder(spark, "panel"))
+    panel = inputs.stored_panel(spark, sf_dir)
+    versions.save(panel)
+    names = {"states": STATE, "categories": CATEGORY, "dates": DATE}
+    exact = panel.agg(*[F.count_distinct(c).alias(n) for n, c in names.items()]).first()
+    near = [(F.abs(F.col(n) - exact[n]) <= 3 * SKETCH_ERROR * exact[n]).cast("int").alias(f"{n}_within_bound") for n in names]
+    return versions.status().select(
+        "rows", "first_date", "last_date", "total_quantity", *[F.lit(exact[n]).alias(n) for n in names], *near)
+
+
 @query("A7", f"""SELECT vehicle_category, count(*) AS rows_written,
 round(avg(error), 6) AS mean_error FROM live_feed GROUP BY 1""")
 def append_scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,13 @@
-"""Writing panels, forecasts and scored rows. Nothing is overwritten in place."""
+"""Writing forecasts and scored rows. Nothing is overwritten in place; ``versions`` keeps the panel."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saleloom.schema import CATEGORY, STATE
 
 
-def write_panel_version(panel: DataFrame, folder: str, version: int) -> str:
-    """A new snapshot ``version=N``, partitioned by year, sorted inside the files.
-
-    The earlier snapshot stays as the backup.
-    """
-    path = f"{folder}/version={version}"
-    (panel.withColumn("year", F.year(DATE)).repartition("year", STATE)
-     .sortWithinPartitions("year", STATE, CATEGORY, DATE)
-     .write.partitionBy("year").parquet(path))
-    return path
-
-
-def read_panel_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={version}")
-
-
 def append_scored(scored: DataFrame, folder: str, stamp: str) -> None:
     """Append rows with their error and the time of scoring."""
     (scored.withColumn("error", F.abs(F.col("actual") - F.col("predicted")))
