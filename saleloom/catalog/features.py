@@ -69,8 +69,8 @@ def short_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 {_roll_sql([7, 30, 60], ['mean'], 'inclusive', 'seasonal_{n}')},
 {_roll_sql([7, 30, 60], ['std'], 'inclusive', 'volatility_{n}')} FROM panel_dense""")
 def rolling_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = inputs.dense(spark, sf_dir).select(*PANEL_KEY, *windows.rolling(
-        windows.DAILY_WINDOWS, ["mean", "std", "min", "max"], "inclusive"))
+    df = windows.rolling_extremes(inputs.dense(spark, sf_dir), windows.DAILY_WINDOWS, "inclusive")
+    df = df.select("*", *windows.rolling(windows.DAILY_WINDOWS, ["mean", "std"], "inclusive")).drop(QTY)
     return rounded(df.select("*", *[F.col(f"rolling_mean_{k}").alias(f"seasonal_{k}") for k in (7, 30, 60)],
                              *[F.col(f"rolling_std_{k}").alias(f"volatility_{k}") for k in (7, 30, 60)]))
 
@@ -231,7 +231,7 @@ avg({Q}) OVER (PARTITION BY "Vehicle_Category") AS cm FROM panel_dense))) GROUP
 @query("F1,F4,F9,F11,F12,F13,F14,F18,C7,G1,G2,G3,G7,G8", _whole_frame_sql())
 def daily_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete inclusive feature set, shown as monthly means of all its columns."""
-    df = windows.daily_features(inputs.dense(spark, sf_dir), holidays=inputs.holidays(spark))
+    df = windows.daily_features(inputs.stored_dense(spark, sf_dir), holidays=inputs.holidays(spark))
     df = clean.zero_for_null_numbers(df)
     keys = [STATE, CATEGORY, "year", "month"]
     figures = [c for c in df.columns if c not in (*keys, DATE)]
@@ -279,7 +279,7 @@ avg({Q}) OVER (PARTITION BY "State", "Date") AS sd FROM panel_dense))) WHERE {d}
 def daily_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column of the leak-safe daily set from 2001 on, features looking back freely."""
     spec = windows.DailySpec(mode="shifted", means_until=inputs.TEST_FROM)
-    df = windows.daily_features(inputs.dense(spark, sf_dir), spec, inputs.holidays(spark))
+    df = windows.daily_features(inputs.stored_dense(spark, sf_dir), spec, inputs.holidays(spark))
     return rounded(_off_ties(clean.zero_for_null_numbers(clean.between_dates(df, start=inputs.TEST_FROM))))
 
 

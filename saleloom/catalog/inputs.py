@@ -78,6 +78,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify.dense_calendar(stored_panel(spark, sf_dir))
 
 
+def stored_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense panel written once, for plans that read it in several branches."""
+    return stored(dense(spark, sf_dir), "dense")
+
+
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.monthly_totals(dense(spark, sf_dir))
 

@@ -35,7 +35,7 @@ round(q / (avg(q) OVER (PARTITION BY "State", "Date") + 1), 6) AS sales_ratio_to
 round(q / (avg(q) OVER (PARTITION BY "Vehicle_Category") + 1), 6) AS sales_ratio_to_category_mean
 FROM (SELECT *, "EV_Sales_Quantity" AS q FROM panel_dense)""")
 def group_mean_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = windows.add_ratios(windows.add_group_means(inputs.dense(spark, sf_dir)))
+    df = windows.add_ratios(windows.add_group_means(inputs.stored_dense(spark, sf_dir)))
     return rounded(df.drop(QTY))
 
 

@@ -9,6 +9,7 @@ row earlier and are the only ones the models may use.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,14 +43,65 @@ def lags(steps: list[int], prefix: str = "lag_", series: list[str] = SERIES,
     return [F.lag(QTY, k).over(w).alias(f"{prefix}{k}{suffix}") for k in steps]
 
 
-_ROLLING = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+def before(w: WindowSpec, mode: str, n: int = 0) -> WindowSpec:
+    """All rows of the series up to the frame of n rows, that frame left out; with 0 up to the frame's last row."""
+    return w.rowsBetween(Window.unboundedPreceding, -n if mode == "inclusive" else -n - 1)
 
 
 def rolling(windows: list[int], stats: list[str], mode: str, series: list[str] = SERIES,
             name: str = "rolling_{stat}_{n}") -> list[Column]:
+    """Rolling figures of whole quantities, from the rows that exist (null where there are none).
+
+    Means and deviations are differences of running totals: count, sum and sum of squares up to the frame's
+    end less those before its start, each kept up row by row, so a frame of 90 rows costs what one of 7
+    costs. The totals are whole numbers and lose nothing; a series whose squares add up to more than a long is
+    refused by Spark's overflow check (10 million a day for a century are not). ``min`` and ``max`` walk
+    their frames here; ``rolling_extremes`` does not.
+    """
+    w = series_window(series)
+    x = F.col(QTY)
+    frame(w, 1, mode)  # refuses an unknown mode
+
+    def within(total: Callable[[WindowSpec], Column], n: int) -> Column:
+        none = F.lit(0).cast("long")
+        return F.coalesce(total(before(w, mode)), none) - F.coalesce(total(before(w, mode, n)), none)
+
+    def figure(stat: str, n: int) -> Column:
+        if stat in ("min", "max"):
+            return getattr(F, stat)(x).over(frame(w, n, mode))
+        rows = within(lambda over: F.count(x).over(over), n)
+        total = within(lambda over: F.sum(x).over(over), n)
+        if stat == "mean":
+            return F.when(rows > 0, total / rows)
+        if stat != "std":
+            raise ValueError(f"unknown figure {stat!r}")
+        squares = within(lambda over: F.sum(x * x).over(over), n)
+        return F.when(rows > 1, F.sqrt((rows * squares - total * total) / (rows * (rows - 1))))
+
+    return [figure(s, n).alias(name.format(stat=s, n=n)) for n in windows for s in stats]
+
+
+def rolling_extremes(df: DataFrame, windows: list[int], mode: str, stats: tuple[str, ...] = ("min", "max"),
+                     series: list[str] = SERIES, name: str = "rolling_{stat}_{n}") -> DataFrame:
+    """Rolling minima and maxima by doubling: the figure of 2 k rows is that of k rows and of the k rows before.
+
+    Two overlapping stretches of a power of two make up any frame, so the widest one takes a step for each
+    power below it, all in the order the rows already have, instead of a walk over its rows.
+    """
     w = series_window(series)
-    return [_ROLLING[s](F.col(QTY)).over(frame(w, n, mode)).alias(name.format(stat=s, n=n))
-            for n in windows for s in stats]
+    pick = {"min": F.least, "max": F.greatest}
+    start = F.col(QTY) if mode == "inclusive" else F.lag(QTY).over(w)
+    frame(w, 1, mode)
+    out = df.withColumns({f"_{s}_1": start for s in stats})
+    powers = [1]
+    while 2 * powers[-1] <= max(windows):
+        k = powers[-1]
+        out = out.withColumns({f"_{s}_{2 * k}": pick[s](f"_{s}_{k}", F.lag(f"_{s}_{k}", k).over(w)) for s in stats})
+        powers.append(2 * k)
+    half = {n: max(k for k in powers if k <= n) for n in windows}
+    figures = [(F.col(f"_{s}_{k}") if n == k else pick[s](f"_{s}_{k}", F.lag(f"_{s}_{k}", n - k).over(w))).alias(name.format(stat=s, n=n))
+               for n, k in half.items() for s in stats]
+    return out.select(*df.columns, *figures)
 
 
 def middle(sorted_array: Column) -> Column:
@@ -80,40 +132,48 @@ def rolling_medians(df: DataFrame, windows: list[int], series: list[str] = SERIE
 
 def ewma(df: DataFrame, spans: list[int], series: list[str] = SERIES,
          name: str = "ema_{n}") -> DataFrame:
-    """Bias-adjusted exponential mean, a = 2 / (span + 1), linear in series length.
+    """Bias-adjusted exponential mean, a = 2 / (span + 1), by a scan of two levels.
 
     A series is cut into blocks of ``CHUNK`` rows. Inside a block the weighted sum
-    is one running sum of x * d^-r, scaled by d^r (d = 1 - a, r = row in block). The
-    end values of the blocks before, faded by the rows since, are added on top, as
-    far back as their weight is not below ``FADED``: a few blocks, whatever the
-    length of the series. The weights need no sum: they are (1 - d^rows) / a. Every
-    row counts, so a null quantity is filled before (it would weigh in as 0). With
-    span 1 the mean is the value itself.
+    is one running sum of x * d^-r, scaled by d^r (d = 1 - a, r = row in block). Each
+    block's first row takes the end values of the blocks before it, fades and adds
+    them, as far back as their weight is not below ``FADED``, and hands the result on
+    to the block's other rows: so a row costs the same for a span of 7 and of 2000,
+    and the second level sees one value in ``CHUNK``. The weights need no sum: they
+    are (1 - d^rows) / a. Every row counts, so a null quantity is filled before (it
+    would weigh in as 0). With span 1 the mean is the value itself.
     """
     decay = {n: 1 - 2 / (n + 1) for n in spans if n > 1}
-    w = series_window(series)
-    row = F.row_number().over(w) - 1
+    row = F.row_number().over(series_window(series)) - 1
     base = df.withColumn("_row", row).select(
         "*", F.floor(F.col("_row") / CHUNK).alias("_block"),
         F.pmod(F.col("_row"), F.lit(CHUNK)).alias("_r"))
+    # both levels read the rows in one order, that of blocks and days
     inside = (Window.partitionBy(*series, "_block").orderBy(DATE)
               .rowsBetween(Window.unboundedPreceding, 0))
+    earlier = Window.partitionBy(*series).orderBy("_block", DATE).rowsBetween(Window.unboundedPreceding, -1)
     local = base.select("*", *[
         (F.sum(F.col(QTY) * F.pow(F.lit(d), -F.col("_r"))).over(inside)
          * F.pow(F.lit(d), F.col("_r"))).alias(f"_local_{n}") for n, d in decay.items()])
-    blocks = {n: min(math.ceil(math.log(FADED) / (CHUNK * math.log(d))), MOST_BLOCKS) for n, d in decay.items()}
     # nulls are skipped by collect_list, so an array holds one entry per full block
     full = F.when(F.col("_r") == CHUNK - 1, F.struct(F.lit(0).alias("_"), *[f"_local_{n}" for n in decay]))
-    earlier = F.collect_list(full).over(w.rowsBetween(-CHUNK * max([1, *blocks.values()]), -1))
-    carried = local.withColumn("_ends", earlier)
+    ends = local.withColumn("_ends", F.collect_list(full).over(earlier))
+
+    def start(n: int) -> Column:
+        d = decay[n]
+        reach = min(math.ceil(math.log(FADED) / (CHUNK * math.log(d))), MOST_BLOCKS)
+        faded = F.aggregate(tail(F.col("_ends"), reach), F.lit(0.0),
+                            lambda acc, end: acc * F.lit(d ** CHUNK) + end[f"_local_{n}"])
+        return F.when(F.col("_r") == 0, faded).alias(f"_start_{n}")
+
+    started = ends.select(*[c for c in ends.columns if c != "_ends"], *[start(n) for n in decay])
+    carried = started.withColumns({f"_start_{n}": F.first(f"_start_{n}").over(inside) for n in decay})
 
     def value(n: int) -> Column:
         if n == 1:
             return F.col(QTY).cast("double").alias(name.format(n=n))
         d = decay[n]
-        start = F.aggregate("_ends", F.lit(0.0),
-                            lambda acc, end: acc * F.lit(d ** CHUNK) + end[f"_local_{n}"])
-        top = F.col(f"_local_{n}") + start * F.pow(F.lit(d), F.col("_r") + 1)
+        top = F.col(f"_local_{n}") + F.col(f"_start_{n}") * F.pow(F.lit(d), F.col("_r") + 1)
         weights = (1 - F.pow(F.lit(d), F.col("_row") + 1)) / F.lit(1 - d)
         return (top / weights).alias(name.format(n=n))
 
@@ -135,11 +195,14 @@ def first_difference(column: str, name: str, series: list[str] = SERIES) -> Colu
     return F.coalesce(F.col(column) - F.lag(column).over(w), F.lit(0.0)).alias(name)
 
 
-def selling_days(n: int = 30, full: bool = False, series: list[str] = SERIES) -> Column:
-    """Days with sales in the last n rows; ``full`` gives null until n rows exist."""
-    over = frame(series_window(series), n, "inclusive")
-    days = F.sum((F.col(QTY) > 0).cast("int")).over(over)
-    return F.when(F.count(QTY).over(over) == n, days) if full else days
+def selling_days(n: int = 30, full: bool = False, series: list[str] = SERIES, mode: str = "inclusive") -> Column:
+    """Days with sales in the last n rows, from running totals; ``full`` gives null until n rows exist."""
+    w = series_window(series)
+    upto, until = before(w, mode), before(w, mode, n)
+    known = F.count(QTY).over(upto) - F.count(QTY).over(until)
+    sold = (F.col(QTY) > 0).cast("int")
+    days = F.sum(sold).over(upto) - F.coalesce(F.sum(sold).over(until), F.lit(0).cast("long"))
+    return F.when(known == n, days) if full else F.when(known > 0, days)
 
 
 def sales_before(series: list[str] = SERIES) -> Column:
@@ -208,10 +271,9 @@ def daily_features(panel: DataFrame, spec: DailySpec = DailySpec(),
     df = emas(df, windows, name="ema_{n}")
     if spec.medians:
         df = rolling_medians(df, windows, mode=spec.mode)
-    sold = F.sum((F.col(QTY) > 0).cast("int")).over(frame(series_window(), 30, spec.mode))
-    df = df.select("*", *lags(list(spec.lag_steps)),
-                   *rolling(windows, ["mean", "std", "min", "max"], spec.mode),
-                   sold.alias("sales_frequency_30d"))
+    df = rolling_extremes(df, windows, spec.mode)
+    df = df.select("*", *lags(list(spec.lag_steps)), *rolling(windows, ["mean", "std"], spec.mode),
+                   selling_days(30, mode=spec.mode).alias("sales_frequency_30d"))
     seasonal = [k for k in SEASONAL_WINDOWS if k in windows]
     d = F.col(DATE)
     df = df.select(
@@ -294,10 +356,10 @@ def specialised_monthly_features(monthly: DataFrame, mode: str = "inclusive",
     d = F.col(DATE)
     w = series_window(series)
     seen = w.rowsBetween(Window.unboundedPreceding, 0 if mode == "inclusive" else -1)
-    df = monthly.drop("Year", "Month").select(
+    df = rolling_extremes(monthly.drop("Year", "Month"), MONTHLY_WINDOWS, mode, ("max",), series, "roll_{stat}_{n}m").select(
         "*", F.month(d).alias("month"), F.year(d).alias("year"), F.quarter(d).alias("quarter"),
         *lags(MONTHLY_LAGS, "lag_month_", series),
-        *rolling(MONTHLY_WINDOWS, ["mean", "std", "max"], mode, series, "roll_{stat}_{n}m"),
+        *rolling(MONTHLY_WINDOWS, ["mean", "std"], mode, series, "roll_{stat}_{n}m"),
         F.avg(QTY).over(seen).alias("state_avg"))
     df = df.withColumn("momentum", F.col("roll_mean_3m") / (F.col("roll_mean_12m") + 1))
     return df.fillna(0)
