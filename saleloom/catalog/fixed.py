@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from saleloom.catalog import inputs
 from saleloom.catalog.base import query, rounded
 from saleloom.operators import clean, encode, merge, windows
 from saleloom.plans import baselines, models, ondemand, recursive
+from saleloom.plans.scorers import Linear
 from saleloom.schema import CATEGORY, PANEL_KEY, QTY, SERIES, STATE
 from saleloom.session import cut_lineage
 
@@ -19,8 +18,8 @@ Q = '"EV_Sales_Quantity"'
 S = '"State", "Vehicle_Category"'
 
 
-def _fixed(formula: str) -> PipelineModel:
-    return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST({formula} AS DOUBLE) AS prediction FROM __THIS__")])
+def _fixed(constant: float = 0.0, hot: dict[str, dict[int, float]] | None = None, **weights: float) -> Linear:
+    return Linear(weights, constant, hot or {})
 
 
 def _tail_sql(source: str, n: int) -> str:
@@ -46,7 +45,7 @@ def monthly_loop_under_fixed_model(spark: SparkSession, sf_dir: str) -> DataFram
     """Lags, rolling means, EWMA, calendar and state code of the monthly loop."""
     months = cut_lineage(inputs.full_months(spark, sf_dir))
     codes = cut_lineage(encode.code_table(months, STATE))
-    model = _fixed("0.4D * Lag_1 + 0.1D * Lag_12 + 0.3D * Roll_Mean_3 + 0.1D * EWMA_3 + 0.05D * Month + 0.01D * State_code")
+    model = _fixed(Lag_1=0.4, Lag_12=0.1, Roll_Mean_3=0.3, EWMA_3=0.1, Month=0.05, State_code=0.01)
     return rounded(recursive.forecast_months(months, codes, {recursive.ALL: model}, NEXT_MONTH, 12))
 
 
@@ -60,9 +59,9 @@ UNION ALL SELECT {S}, sm, cm, step + 1, list_append(h, p)[2:91], p + 0.75 * s, 1
 SELECT CAST(CAST(DATE '2001-08-01' + CAST(step AS INTEGER) AS DATE) AS VARCHAR) AS "Date", {S}, round(v, 6) AS "Predicted_Sales" FROM steps WHERE step > 0""")
 def daily_loop_under_fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lags, rolling figures, trend, EWMA, group means and ratio of the daily loop on the full feature set."""
-    model = _fixed("0.3D * lag_1 + 0.1D * lag_7 + 0.05D * lag_90 + 0.2D * rolling_mean_7 + 0.1D * ema_7 + 0.05D * rolling_max_14"
-                   " + 0.05D * rolling_median_30 + 0.05D * state_overall_mean + 0.02D * state_category_interaction"
-                   " + 0.02D * day_of_week + 0.01D * sales_frequency_30d + 0.1D * trend_7 + 0.02D * sales_ratio_to_category_mean")
+    model = _fixed(lag_1=0.3, lag_7=0.1, lag_90=0.05, rolling_mean_7=0.2, ema_7=0.1, rolling_max_14=0.05, rolling_median_30=0.05,
+                   state_overall_mean=0.05, state_category_interaction=0.02, day_of_week=0.02, sales_frequency_30d=0.01,
+                   trend_7=0.1, sales_ratio_to_category_mean=0.02)
     dense = cut_lineage(inputs.dense(spark, sf_dir))
     spec = windows.DailySpec(mode="shifted")
     return rounded(recursive.forecast_days(dense, {recursive.ALL: model}, spec, NEXT_DAY, 30))
@@ -78,9 +77,13 @@ UNION ALL SELECT {S}, step + 1, list_append(h, p)[2:61], p FROM (SELECT steps.*,
 SELECT CAST(CAST(DATE '2001-08-01' + CAST(step AS INTEGER) AS DATE) AS VARCHAR) AS "Date", {S}, v AS "Predicted_Sales" FROM steps WHERE step > 0""")
 def all_series_loop_under_fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaling, one-hot names, lags and the way back to units of the loop over all series."""
-    model = _fixed("0.5D * lag_1 + 0.3D * lag_7 + 0.05D * month + 0.21D * cat_Bus + 0.13D * state_NATION_3")
+    def fit(train: DataFrame, names: list[str], codes: dict[str, DataFrame]) -> Linear:
+        code = {v: codes[c].filter(F.col(c) == v).first()[f"{c}_code"] for c, v in ((CATEGORY, "Bus"), (STATE, "NATION_3"))}
+        hot = {f"{CATEGORY}_code": {code["Bus"]: 0.21}, f"{STATE}_code": {code["NATION_3"]: 0.13}}
+        return _fixed(lag_1=0.5, lag_7=0.3, month=0.05, hot=hot)
+
     dense = cut_lineage(inputs.dense(spark, sf_dir))
-    return recursive.forecast_all_series(dense, lambda _, names: model, NEXT_DAY, 30)
+    return recursive.forecast_all_series(dense, fit, NEXT_DAY, 30)
 
 
 @query("J12", f"""WITH RECURSIVE sold AS ({_tail_sql('(SELECT * FROM panel_dense WHERE "EV_Sales_Quantity" > 0)', 90)}), days AS ({_tail_sql('panel_dense', 90)}),
@@ -99,7 +102,7 @@ def on_demand_loop_under_fixed_model(spark: SparkSession, sf_dir: str) -> DataFr
     """History rule, weekday factors, whole quantities and the rule against flat forecasts."""
     dense = cut_lineage(inputs.dense(spark, sf_dir))
     asked = merge.distinct_series(dense).filter(F.col(CATEGORY).isin("2-Wheelers", "4-Wheelers", "Others"))
-    model = _fixed("0.5D * lag_1 + 0.2D * lag_7 + 0.35D * rolling_mean_14 + 0.1D * day_of_week + 0.5003D")
+    model = _fixed(0.5003, lag_1=0.5, lag_7=0.2, rolling_mean_14=0.35, day_of_week=0.1)
     return ondemand.ml_forecast(dense, asked, {recursive.ALL: model}, NEXT_DAY, 30)
 
 
@@ -108,8 +111,7 @@ coalesce(avg({Q}) OVER (PARTITION BY {S} ORDER BY "Date" ROWS BETWEEN UNBOUNDED
 avg(CASE WHEN "Date" < DATE '2000-06-01' THEN {Q} END) OVER (PARTITION BY {S}) AS se FROM"""
 
 def _special() -> models.ModelSet:
-    model = _fixed("0.5D * lag_month_1 + 0.25D * lag_month_12 + 0.2D * roll_mean_3m + 0.1D * month + 0.01D * state_avg"
-                   " + 0.05D * state_encoded + 0.0137D")
+    model = _fixed(0.0137, lag_month_1=0.5, lag_month_12=0.25, roll_mean_3m=0.2, month=0.1, state_avg=0.01, state_encoded=0.05)
     return models.ModelSet(models.SPECIALISED_FEATURES, dict.fromkeys(["3-Wheelers", "Bus"], model))
 
 

@@ -224,7 +224,7 @@ def recursive_daily_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J11,E5,H3,H5,H8,H9,F3", _forecast_sql(30, NEXT_DAY))
 def iterative_forecast_all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One linear model for all series on scaled inputs; the last 60 rows are kept."""
-    def fit(train: DataFrame, names: list[str]) -> PipelineModel:
+    def fit(train: DataFrame, names: list[str], _: dict[str, DataFrame]) -> PipelineModel:
         linear = LinearRegression(featuresCol="x", labelCol=QTY, regParam=0.01)
         return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), linear]).fit(train)
 

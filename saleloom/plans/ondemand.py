@@ -12,11 +12,12 @@ from saleloom.functions import calendar
 from saleloom.operators import allocate, encode, merge, summary, windows
 from saleloom.plans import baselines
 from saleloom.plans.recursive import (
+    Get,
     back,
     calendar_values,
     days_after,
+    fold_forward,
     push_value,
-    roll_forward,
     series_state,
     tail_figures,
 )
@@ -114,24 +115,21 @@ def ml_forecast(panel: DataFrame, asked: DataFrame, models: dict[str, PipelineMo
     state = start_history(history).join(sums, SERIES).join(weekday_factors(history), SERIES, "left")
     state = _with_groups(state, panel, codes)
 
-    h = F.col("history")
     names = [f"rolling_{s}_{n}" for s, ns in FIGURES.items() for n in ns]
-    known = {f"lag_{k}": back(h, k) for k in LAGS} | dict(zip(names, tail_figures(h, FIGURES))) | _from_history(h)
-    known |= {f"ema_{n}": F.col(f"sum_{n}") / F.col(f"weight_{n}") for n in WIDTHS}
 
-    def features(day: date) -> dict[str, Column]:
-        return known | calendar_values(day)
+    def features(get: Get) -> dict[str, Column]:
+        h = get("history")
+        known = {f"lag_{k}": back(h, k) for k in LAGS} | dict(zip(names, tail_figures(h, FIGURES))) | _from_history(h)
+        return known | {f"ema_{n}": get(f"sum_{n}") / get(f"weight_{n}") for n in WIDTHS}
 
-    def adjust(p: Column, day: date) -> Column:
+    def adjust(p: Column, get: Get) -> Column:
         # rounded before the cut so that 3.9999999999 counts as 4
         whole = F.round(F.greatest(p, F.lit(0.0)), 9).cast("long")
-        factor = F.coalesce(F.try_element_at("factors", F.lit(day.weekday())), F.lit(1.0))
+        factor = F.coalesce(F.try_element_at("factors", get("day_of_week")), F.lit(1.0))
         return F.round(whole * factor, 9).cast("long").cast("double")
 
-    def advance(value: Column) -> dict[str, Column]:
-        return push_value(value, HISTORY, WIDTHS)
-
-    path = roll_forward(cut_lineage(state), models, days_after(start, days), features, advance, adjust)
+    path = fold_forward(cut_lineage(state), models, days_after(start, days), calendar_values, features,
+                        lambda v, get: push_value(v, HISTORY, WIDTHS, get), adjust)
     path = cut_lineage(path)
     varying = (path.groupBy(*SERIES).agg(F.stddev_pop(PRED).alias("_s")).filter(F.col("_s") > 0)
                .select(*SERIES))

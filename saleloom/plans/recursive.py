@@ -1,9 +1,11 @@
 """Step-by-step forecasts over all series at once.
 
 The state of a series is one row: its recent values as an array, plus running sums
-where a feature reaches further back. A step builds features from the row, scores
-them and appends the prediction, so no step shuffles. Categories differ in their
-model only, and each keeps its own straight chain of steps.
+where a feature reaches further back. ``fold_forward`` takes all steps of a series in
+one expression: a step builds features from the state, lets the model, which is an
+expression too, score them, and moves the state. A category is one stage, whatever the
+number of steps, and nothing is shuffled or stored between them. ``roll_forward`` does
+the same for models that only Spark can apply, a plan step for each date.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from saleloom.operators import encode, merge, windows
 from saleloom.operators.group_stats import attach
 from saleloom.operators.windows import middle, tail
+from saleloom.plans.scorers import Scorer, compiled, let
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, SERIES, STATE
-from saleloom.session import cut_lineage
+from saleloom.session import cut_lineage, stored
 
 
 def array_mean(a: Column) -> Column:
@@ -31,8 +34,7 @@ def array_mean(a: Column) -> Column:
 
 def array_std(a: Column, sample: bool = False) -> Column:
     """Deviation of an array; the sample form is null below two values."""
-    mean = array_mean(a)
-    squares = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    squares = let(array_mean(a), lambda mean: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)))
     n = F.size(a) - (1 if sample else 0)
     return F.sqrt(squares / F.nullif(n, F.lit(0)))
 
@@ -91,6 +93,52 @@ def roll_forward(state: DataFrame, models: dict[str | None, PipelineModel], date
             .select(F.get(calendar_array, F.col("_i")).alias(DATE), *SERIES, PRED))
 
 
+Get = Callable[[str], Column]  # the present value of a state column
+
+
+def fold_forward(state: DataFrame, models: dict[str | None, PipelineModel | Scorer], dates: list[date],
+                 calendar_of: Callable[[date], dict[str, Column]], features: Callable[[Get], dict[str, Column]],
+                 advance: Callable[[Column, Get], dict[str, Column]],
+                 adjust: Callable[[Column, Get], Column] | None = None,
+                 hot: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """What ``roll_forward`` gives, all steps of a series in one expression.
+
+    ``calendar_of`` gives a date's inputs as literals, ``features`` those that follow from the state,
+    ``advance`` the moved state columns after a value. All read the state, and ``adjust`` and ``features``
+    the date's literals too, through the getter they are given. See ``compiled`` for ``hot``.
+    """
+    adjust = adjust or (lambda p, _: F.greatest(p, F.lit(0.0)))
+    literals = [calendar_of(day) for day in dates]
+    known_days = F.array(*[F.struct(*[c.alias(n) for n, c in of.items()]) for of in literals])
+    calendar_names = set(literals[0]) if literals else set()
+    moving = list(advance(F.lit(0.0), F.col))
+
+    def chain(category: str | None, model: PipelineModel | Scorer) -> DataFrame:
+        scorer = compiled(model, hot)
+        rows = state if category is ALL else state.filter(F.col(CATEGORY) == category)
+
+        def step(now: Column, day: Column) -> Column:
+            def get(name: str) -> Column:
+                return now[name] if name in moving else day[name] if name in calendar_names else F.col(name)
+
+            inputs = {n: get(n) for n in [*state.columns, *calendar_names]} | features(get)
+
+            def after(value: Column) -> Column:
+                moved = advance(value, get)
+                return F.struct(*[moved[n].alias(n) for n in moving], F.array_append(now["path"], value).alias("path"))
+
+            return let(adjust(scorer.column(inputs), get), after)
+
+        start = F.struct(*[F.col(n) for n in moving], F.array().cast("array<double>").alias("path"))
+        path = F.aggregate(known_days, start, step)["path"]
+        return scorer.attach(rows).select(*SERIES, path.alias("path"))
+
+    path = reduce(DataFrame.unionByName, [chain(c, m) for c, m in models.items()])
+    calendar_array = F.array(*[F.lit(d) for d in dates])
+    return (path.select(*SERIES, F.posexplode("path").alias("_i", PRED))
+            .select(F.get(calendar_array, F.col("_i")).alias(DATE), *SERIES, PRED))
+
+
 def days_after(first: str, n: int) -> list[date]:
     start = date.fromisoformat(first)
     return [start + timedelta(days=k) for k in range(n)]
@@ -122,14 +170,14 @@ def series_state(df: DataFrame, length: int, spans: list[int]) -> DataFrame:
     return merge.recent_values(df, length).join(ends.select(*SERIES, *sums), SERIES)
 
 
-def push_value(value: Column, length: int, spans: list[int]) -> dict[str, Column]:
+def push_value(value: Column, length: int, spans: list[int], get: Get = F.col) -> dict[str, Column]:
     """State columns after one more value."""
-    longer = F.array_append("history", value)
+    longer = F.array_append(get("history"), value)
     moved = {"history": windows.tail(longer, length)}
     for n in spans:
         d = F.lit(1 - 2 / (n + 1))
-        moved[f"sum_{n}"] = value + d * F.col(f"sum_{n}")
-        moved[f"weight_{n}"] = 1 + d * F.col(f"weight_{n}")
+        moved[f"sum_{n}"] = value + d * get(f"sum_{n}")
+        moved[f"weight_{n}"] = 1 + d * get(f"weight_{n}")
     return moved
 
 
@@ -160,14 +208,14 @@ def hybrid_calendar(day: date) -> dict[str, Column]:
             "Month_Sin": F.lit(math.sin(angle)), "Month_Cos": F.lit(math.cos(angle))}
 
 
-def hybrid_history() -> dict[str, Column]:
+def hybrid_history(get: Get = F.col) -> dict[str, Column]:
     """The hybrid monthly features that follow from the state of the series."""
-    h = F.col("history")
+    h = get("history")
     out = {f"Lag_{k}": back(h, k) for k in windows.MONTHLY_LAGS}
     for n in windows.MONTHLY_WINDOWS:
         out[f"Roll_Mean_{n}"] = array_mean(windows.tail(h, n))
         out[f"Roll_Std_{n}"] = F.coalesce(array_std(windows.tail(h, n), sample=True), F.lit(0.0))
-    out |= {f"EWMA_{n}": F.col(f"sum_{n}") / F.col(f"weight_{n}") for n in windows.MONTHLY_SPANS}
+    out |= {f"EWMA_{n}": get(f"sum_{n}") / get(f"weight_{n}") for n in windows.MONTHLY_SPANS}
     return out
 
 
@@ -176,10 +224,8 @@ def forecast_months(monthly: DataFrame, codes: DataFrame, models: dict[str, Pipe
     """Recursive monthly forecast of all series with the hybrid models."""
     spans, length = windows.MONTHLY_SPANS, max(windows.MONTHLY_LAGS)
     state = encode.apply_codes(series_state(monthly, length, spans), codes, STATE)
-    known = hybrid_history()
-    return roll_forward(cut_lineage(state), models, months_after(first, months),
-                        lambda day: known | hybrid_calendar(day),
-                        lambda v: push_value(v, length, spans), cut_every=6)
+    return fold_forward(cut_lineage(state), models, months_after(first, months), hybrid_calendar, hybrid_history,
+                        lambda v, get: push_value(v, length, spans, get))
 
 
 # ---- daily -----------------------------------------------------------------------------
@@ -198,9 +244,9 @@ def daily_columns(spec: windows.DailySpec) -> list[str]:
     return names
 
 
-def daily_history(spec: windows.DailySpec) -> dict[str, Column]:
+def daily_history(spec: windows.DailySpec, get: Get = F.col) -> dict[str, Column]:
     """The daily features that follow from the state of the series."""
-    h = F.col("history")
+    h = get("history")
     out = {f"lag_{k}": back(h, k) for k in spec.lag_steps}
     for n in spec.windows:
         last = windows.tail(h, n)
@@ -209,7 +255,7 @@ def daily_history(spec: windows.DailySpec) -> dict[str, Column]:
                 f"rolling_min_{n}": F.array_min(last), f"rolling_max_{n}": F.array_max(last)}
         if spec.medians:
             out[f"rolling_median_{n}"] = middle(F.sort_array(last))
-        out[f"ema_{n}"] = F.col(f"sum_{n}") / F.col(f"weight_{n}")
+        out[f"ema_{n}"] = get(f"sum_{n}") / get(f"weight_{n}")
     for k in (k for k in windows.SEASONAL_WINDOWS if k in spec.windows):
         out[f"seasonal_{k}"], out[f"volatility_{k}"] = out[f"rolling_mean_{k}"], out[f"rolling_std_{k}"]
         before = windows.tail(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), k)
@@ -237,13 +283,12 @@ def forecast_days(panel: DataFrame, models: dict[str | None, PipelineModel], spe
     """Recursive daily forecast of all series; ``whole`` cuts each value to an integer."""
     state = cut_lineage(daily_state(panel, spec, length))
 
-    def adjust(p: Column, _: date) -> Column:
+    def adjust(p: Column, _: Get) -> Column:
         value = F.greatest(p, F.lit(0.0))
         return value.cast("long").cast("double") if whole else value
 
-    known = daily_history(spec)
-    return roll_forward(state, models, days_after(first, days), lambda d: known | calendar_values(d),
-                        lambda v: push_value(v, length, list(spec.windows)), adjust)
+    return fold_forward(state, models, days_after(first, days), calendar_values, lambda get: daily_history(spec, get),
+                        lambda v, get: push_value(v, length, list(spec.windows), get), adjust)
 
 
 # ---- all series under one model --------------------------------------------------------
@@ -253,38 +298,42 @@ def forecast_days(panel: DataFrame, models: dict[str | None, PipelineModel], spe
 NET_NUMBERS = ["month", "year", "quarter", "day_of_week", "lag_1", "lag_3", "lag_7"]
 
 
-def forecast_all_series(panel: DataFrame, fit: Callable[[DataFrame, list[str]], PipelineModel], first: str, days: int,
-                        kept: int = 60) -> DataFrame:
-    """Day by day for all series with one model on scaled numbers and one-hot names.
+def forecast_all_series(panel: DataFrame, fit: Callable[[DataFrame, list[str], dict[str, DataFrame]], PipelineModel | Scorer],
+                        first: str, days: int, kept: int = 60) -> DataFrame:
+    """Day by day for all series with one linear model on scaled numbers and one-hot names.
 
-    ``fit`` gets the scaled training rows and the names of the inputs. Scaling parameters
-    are stored figures, so the driver holds one row per number; a series keeps its last
-    ``kept`` rows. Predictions go back to units and are cut to whole quantities.
+    ``fit`` gets the scaled training rows, the names of the inputs and the stored codes of states and
+    categories. Names are sparse vectors made from the codes, however many states there are. Scaling
+    parameters are stored figures, so the driver holds one row per number and the model; a series keeps
+    its last ``kept`` rows. Predictions go back to units and are cut to whole quantities.
     """
     d = F.col(DATE)
     rows = panel.select(*PANEL_KEY, QTY, F.month(d).alias("month"), F.year(d).alias("year"), F.quarter(d).alias("quarter"),
                         F.weekday(d).alias("day_of_week"), *windows.lags([1, 3, 7])).dropna()
-    flags = (encode.one_hot(CATEGORY, encode.known_values(panel, CATEGORY), "cat")
-             + encode.one_hot(STATE, encode.known_values(panel, STATE), "state"))
+    codes = {c: stored(encode.code_table(panel, c), "codes") for c in (CATEGORY, STATE)}
+    sizes = {c: codes[c].count() for c in codes}
     params = {r["feature"]: (r["mean"], r["std"]) for r in encode.zscore_parameters(rows, [*NET_NUMBERS, QTY]).collect()}
 
     def scaled(name: str, value: Column) -> Column:
         mean, std = params[name]
         return (value - F.lit(mean)) / F.lit(std)
 
-    train = rows.select(*[scaled(c, F.col(c)).alias(c) for c in [*NET_NUMBERS, QTY]], *flags)
-    model = fit(train, [c for c in train.columns if c != QTY])
-    state = cut_lineage(merge.recent_values(panel, kept).select("*", *flags))
-    h = F.col("history")
-    lagged = {f"lag_{k}": back(h, k) for k in (1, 3, 7)}
+    train = rows.select(CATEGORY, STATE, *[scaled(c, F.col(c)).alias(c) for c in [*NET_NUMBERS, QTY]])
+    for column, table in codes.items():
+        train = encode.one_hot_vector(train, table, column, f"hot_{column}", sizes[column])
+    hot = {f"hot_{c}": (f"{c}_code", sizes[c]) for c in codes}
+    model = fit(train, [*NET_NUMBERS, *hot], codes)
+    state = merge.recent_values(panel, kept)
+    for column, table in codes.items():
+        state = encode.apply_codes(state, table, column)
 
-    def features(day: date) -> dict[str, Column]:
-        numbers = {"month": F.lit(day.month), "year": F.lit(day.year), "quarter": F.lit((day.month + 2) // 3),
-                   "day_of_week": F.lit(day.weekday())}
-        return {c: scaled(c, v) for c, v in (numbers | lagged).items()}
+    def calendar_of(day: date) -> dict[str, Column]:
+        numbers = {"month": day.month, "year": day.year, "quarter": (day.month + 2) // 3, "day_of_week": day.weekday()}
+        return {c: scaled(c, F.lit(v)) for c, v in numbers.items()}
 
     mean, std = params[QTY]
-    return roll_forward(
-        state, {ALL: model}, days_after(first, days), features,
-        lambda v: {"history": windows.tail(F.array_append("history", v), kept)},
-        lambda p, _: F.greatest(p * F.lit(std) + F.lit(mean), F.lit(0.0)).cast("long").cast("double"))
+    return fold_forward(
+        cut_lineage(state), {ALL: model}, days_after(first, days), calendar_of,
+        lambda get: {f"lag_{k}": scaled(f"lag_{k}", back(get("history"), k)) for k in (1, 3, 7)},
+        lambda v, get: {"history": windows.tail(F.array_append(get("history"), v), kept)},
+        lambda p, _: F.greatest(p * F.lit(std) + F.lit(mean), F.lit(0.0)).cast("long").cast("double"), hot)
