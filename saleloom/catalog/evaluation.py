@@ -10,6 +10,7 @@ from saleloom.catalog.base import query, r6, rounded
 from saleloom.catalog.inputs_sql import SCORES
 from saleloom.functions import scores
 from saleloom.operators import clean, summary, windows
+from saleloom.plans import origins
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, STATE
 from saleloom.session import cut_lineage
 
@@ -126,6 +127,20 @@ def rolling_origin_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.metrics(folds, ["fold"]))
 
 
+@query("K10,J17", f"""WITH x AS (SELECT *, "EV_Sales_Quantity" AS q, lag("EV_Sales_Quantity", 7) OVER @W AS l7, "Date" - min("Date") OVER () AS i FROM panel_dense),
+f AS (SELECT unnest(range(0, (max(i) - 180 - 30 + 1) // 30 + 1)) AS fold FROM x),
+fits AS (SELECT "State", "Vehicle_Category", fold, avg(q) AS m, CASE WHEN var_pop(l7) > 0 THEN regr_slope(q, l7) END AS b,
+CASE WHEN var_pop(l7) > 0 THEN regr_intercept(q, l7) END AS a
+FROM x JOIN f ON i >= fold * 30 AND i < fold * 30 + 180 WHERE l7 IS NOT NULL GROUP BY ALL)
+SELECT fold, {SCORES} FROM (SELECT fold, CAST(q AS DOUBLE) AS y, coalesce(a + b * l7, m) AS p
+FROM x JOIN f ON i >= 180 + fold * 30 AND i < 210 + fold * 30 JOIN fits USING ("State", "Vehicle_Category", fold)) GROUP BY fold""")
+def rolling_origin_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series fitted anew in every fold on the quantity a week ago, scored on the fold's own test days."""
+    panel = inputs.stored_dense(spark, sf_dir)
+    rows = panel.select(*PANEL_KEY, QTY, *windows.lags([7]))
+    return rounded(summary.metrics(origins.refit_each_fold(rows, ["lag_7"]), ["fold"]))
+
+
 @query("K11", f"""SELECT "Vehicle_Category", count(*) AS records, round(avg(CASE WHEN r BETWEEN lo AND hi THEN 1 ELSE 0 END), 6) AS coverage
 FROM (SELECT "Vehicle_Category", round("EV_Sales_Quantity" - "Predicted_Sales", 6) AS r FROM predictions WHERE "Date" >= DATE '2001-01-01')
 JOIN (SELECT "Vehicle_Category", quantile_cont(round("EV_Sales_Quantity" - "Predicted_Sales", 6), 0.05) AS lo,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from saleloom.catalog import QUERIES, inputs
 from saleloom.operators import clean, encode, merge, windows
-from saleloom.plans import baselines, models, ondemand, recursive
+from saleloom.plans import baselines, models, ondemand, origins, recursive, scorers
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, SERIES, STATE
 from saleloom.session import cut_lineage, new_folder
 from saleloom.streaming import jobs
@@ -46,6 +46,78 @@ def test_loop_equals_fold_on_linear_predictor(spark, months):
             past.append(want)
 
 
+@pytest.mark.parametrize("scale", [True, False])
+def test_fold_equals_loop_on_trees(spark, months, scale):
+    """Trees walked inside one expression give what Spark's own models give date by date."""
+    rows = cut_lineage(models.with_state_codes(windows.hybrid_monthly_features(months)))
+    fitted = {c: models.fit_regressor(rows.filter(F.col(CATEGORY) == c), models.HYBRID_FEATURES, scale=scale, **QUICK) for c in ("Bus", "Others")}
+    codes = encode.code_table(months, STATE)
+    spans, length = windows.MONTHLY_SPANS, max(windows.MONTHLY_LAGS)
+    state = cut_lineage(encode.apply_codes(recursive.series_state(months, length, spans), codes, STATE))
+    dates = recursive.months_after("2001-08-01", 7)
+    known = recursive.hybrid_history()
+    loop = recursive.roll_forward(state, fitted, dates, lambda day: known | recursive.hybrid_calendar(day),
+                                  lambda v: recursive.push_value(v, length, spans))
+    fold = recursive.forecast_months(months, codes, fitted, "2001-08-01", 7)
+    a, b = (x.toPandas().sort_values([*SERIES, DATE]).reset_index(drop=True) for x in (loop, fold))
+    assert len(a) == len(b) == 7 * state.filter(F.col(CATEGORY).isin("Bus", "Others")).count()
+    assert a[[*SERIES, DATE]].equals(b[[*SERIES, DATE]]) and a[PRED].nunique() > 10
+    np.testing.assert_allclose(a[PRED], b[PRED], rtol=1e-9, atol=1e-9)
+
+
+def test_trees_as_arrays():
+    text = """GBTRegressionModel: uid=x, numTrees=3, numFeatures=2
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 0.5)
+     If (feature 1 <= -2.0E-3)
+      Predict: 1.0
+     Else (feature 1 > -2.0E-3)
+      If (feature 0 <= 0.25)
+       Predict: 2.0
+      Else (feature 0 > 0.25)
+       Predict: 3.0
+    Else (feature 0 > 0.5)
+     Predict: 4.0
+  Tree 1 (weight 0.1):
+    Predict: 7.0
+  Tree 2 (weight 0.5):
+    If (feature 1 <= 1.0)
+     Predict: 5.0
+    Else (feature 1 > 1.0)
+     Predict: 6.0
+"""
+    arrays = scorers.trees_of_text(text)
+    assert arrays["roots"] == [0, 7, 8] and arrays["weights"] == [1.0, 0.1, 0.5] and arrays["depth"] == 3
+
+    def walk(x, node):
+        while arrays["feature"][node] >= 0:
+            node = arrays["left" if x[arrays["feature"][node]] <= arrays["threshold"][node] else "right"][node]
+        return arrays["threshold"][node]
+
+    assert [walk(x, 0) for x in ([0, -1], [0.1, 0], [0.3, 0], [9, 0])] == [1, 2, 3, 4]
+    assert [walk([0, y], 8) for y in (1, 1.5)] == [5, 6]
+    with pytest.raises(ValueError):
+        scorers.trees_of_text("head\n Tree 0 (weight 1.0):\n  If (feature 0 in {1.0})")
+
+
+def test_loop_over_many_states(spark):
+    """Names travel as codes and weights by code: no column and no literal for each of 3,000 states."""
+    n = 3000
+    rows = spark.range(n * 70).select(
+        F.date_add(F.lit("2001-01-01"), (F.col("id") % 70).cast("int")).alias(DATE), F.format_string("S%05d", F.floor(F.col("id") / 70)).alias(STATE),
+        F.lit("Bus").alias(CATEGORY), (F.floor(F.col("id") / 70) % 10 + F.col("id") % 2).alias(QTY))
+    panel = cut_lineage(rows)
+
+    def fit(train, names, codes):
+        line = LinearRegression(featuresCol="x", labelCol=QTY, solver="l-bfgs", maxIter=3)
+        return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), line]).fit(train)
+
+    out = recursive.forecast_all_series(panel, fit, "2001-03-12", 3)
+    assert len(out.columns) == 4 and out.count() == 3 * n
+    by_level = out.groupBy((F.substring(STATE, 6, 1)).alias("k")).agg(F.avg(PRED).alias("m")).orderBy("k").collect()
+    assert by_level[0]["m"] < by_level[9]["m"]
+
+
 def test_step_features_equal_window_features(spark, months):
     """The state of a series gives the features the windows give for the next month."""
     last = F.lit("2001-07-01").cast("date")
@@ -268,3 +340,38 @@ def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Fake())
+
+
+def test_folds_fit_their_own_rows(spark):
+    """Fits of running totals equal least squares on each fold's rows, gaps, nulls and useless inputs included."""
+    rng = np.random.default_rng(6)
+    frames = []
+    for state, n in (("A", 160), ("B", 90), ("C", 12)):
+        x1, x2 = rng.integers(0, 20, n), rng.integers(0, 9, n)
+        frames.append(pd.DataFrame({DATE: pd.date_range("2001-01-01", periods=n).date, STATE: state, CATEGORY: "Bus", "x1": x1, "x2": x2,
+                                    "x3": 2 * x1 + 3, QTY: 3 * x1 - x2 + rng.integers(0, 4, n)}))
+    pdf = pd.concat(frames, ignore_index=True)
+    pdf = pdf.drop(index=pdf.index[(pdf[STATE] == "B") & (pdf.index % 5 == 0)])
+    pdf.loc[pdf.index[::17], "x2"] = np.nan
+    pdf["x2"] = pdf["x2"].astype("Int64")
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), f"{DATE} date, {STATE} string, {CATEGORY} string, x1 long, x2 long, x3 long, {QTY} long")
+    for inputs_, same in ((["x1", "x2"], ["x1", "x2"]), (["x1", "x3", "x2"], ["x1", "x2"])):
+        got = {(r[STATE], r["fold"]): r for r in origins.fold_fits(df, inputs_, 40, 20, 10).collect()}
+        day = (pd.to_datetime(pdf[DATE]) - pd.Timestamp("2001-01-01")).dt.days
+        seen = 0
+        for fold in range((159 - 40 - 20 + 1) // 10 + 1):
+            for state in "ABC":
+                rows = pdf[(pdf[STATE] == state) & (day >= 10 * fold) & (day < 10 * fold + 40)].dropna()
+                if rows.empty:
+                    assert (state, fold) not in got
+                    continue
+                r = got[state, fold]
+                x = np.column_stack([np.ones(len(rows)), *[rows[c].astype(float) for c in same]])
+                if len(rows) > 5:
+                    want = np.linalg.lstsq(x, rows[QTY].astype(float), rcond=None)[0]
+                    np.testing.assert_allclose([r["intercept"], r["weight_x1"], r["weight_x2"]], want, rtol=1e-7, atol=1e-7)
+                    assert r["n"] == len(rows) and (len(inputs_) == 2 or r["weight_x3"] == 0)
+                    seen += 1
+        assert seen > 15
+    scored = origins.refit_each_fold(df, ["x1"], 40, 20, 10)
+    assert scored.columns == [*df.columns, "fold", PRED] and scored.filter(F.col(PRED).isNotNull()).count() > 100
