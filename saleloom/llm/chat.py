@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from saleloom.llm.common import batches_of, ship
-from saleloom.llm.token_files import LibraryEncoder
+from saleloom.llm.token_files import encoder_of
 from saleloom.session import stored
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -70,7 +70,12 @@ class _Turn:
 
 
 def windows_of(turns: Iterable[tuple[str, str]], count, budget: int = BUDGET, history: int = HISTORY) -> Iterator[dict]:
-    """The windows of one conversation, as its turns come in. ``count`` gives the tokens of a formatted turn.
+    """The windows of one conversation; ``count`` gives the tokens of a formatted turn."""
+    return windows_of_sized(((role, text, count(format_turn(role, text))) for role, text in turns), budget, history)
+
+
+def windows_of_sized(turns: Iterable[tuple[str, str, int]], budget: int = BUDGET, history: int = HISTORY) -> Iterator[dict]:
+    """The windows of one conversation, as its turns (role, text, tokens once formatted) come in.
 
     Holds one window and its history at a time, however long the conversation is.
     """
@@ -92,8 +97,7 @@ def windows_of(turns: Iterable[tuple[str, str]], count, budget: int = BUDGET, hi
         return {"window": number, "repeated": repeated, "n_tokens": sum(t.size for t in parts), "text": "".join(text),
                 "loss": loss}
 
-    for i, (role, text) in enumerate(turns):
-        size = count(format_turn(role, text))
+    for i, (role, text, size) in enumerate(turns):
         if i == 0 and role == "system":
             system = _Turn(role, text, 0, size)
             continue
@@ -126,20 +130,25 @@ def format_conversations(rows: DataFrame, tokenizer: str, budget: int = BUDGET,
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(tokenizer)
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer)
+        for batch in batches:
+            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+                bodies = map(format_turn, part.column("role").to_pylist(), part.column("text").to_pylist())
+                sizes = [len(ids) // 4 for ids in encoder.encode_all(list(bodies))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes, pa.int64())], names=[*part.schema.names, "size"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def all_windows() -> Iterator[dict]:
-            def count(text: str) -> int:
-                return len(encoder.encode(text)) // 4
-
-            for conv, group in _groups(batches, ("role", "text")):
-                for window in windows_of(group, count, budget, history):
+            for conv, group in _groups(batches, ("role", "text", "size")):
+                for window in windows_of_sized(group, budget, history):
                     yield {"conv_id": conv, **window}
 
         yield from batches_of(all_windows(), _ARROW, 500, weight=lambda w: 4 * len(w["text"]))
 
-    return (turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # turns are tokenised where they are read; what a conversation's one task adds up are their sizes
+    counted = turns.mapInArrow(sized, "conv_id long, turn long, role string, text string, size long")
+    return (counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
             .mapInArrow(run, WINDOWS))
 
 

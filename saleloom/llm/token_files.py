@@ -13,9 +13,12 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -30,7 +33,10 @@ from saleloom.session import new_folder
 END_ID = 2
 BLOCK = 4096  # ids transposed together; the last block of a chunk is shorter
 CHUNK = 1 << 16  # a chunk ends with the document that reaches so many ids
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 600_000  # a worker's words; a full store drops its later half, as frequent words are met early
+PART_BYTES = 12 << 20  # of texts whose words are numbered together
+FEW_TEXTS = 16  # fewer are not worth numbering their words
+MARKS = frozenset(".,;:!?")  # one at the end of a word is a token of its own
 
 CHUNKS = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.LongType()),
@@ -44,6 +50,22 @@ _ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("first_id", p
                     ("lengths", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary()))])
 
 
+class _Pieces(dict):
+    """Ids of known words; a known word and a known mark are put together, other words are noted and answered by None."""
+
+    def __init__(self):
+        super().__init__()
+        self.unmet: set[str] = set()
+
+    def __missing__(self, word: str) -> bytes | None:
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            base, mark = self.get(word[:-1]), self.get(word[-1])
+            if base is not None and mark is not None:
+                return base + mark
+        self.unmet.add(word)
+        return None
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each word that a worker meets.
 
@@ -70,44 +92,86 @@ class LibraryEncoder:
         suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
+        """Ask the library for words that are not known yet."""
+        pieces, words, others = self.pieces, set(), []
+        for p in new:
+            if p.isalpha():  # one word
+                words.add(p)
+            elif p[-1:] in MARKS and p[:-1].isalpha():  # a word and a mark
+                words.update((p[:-1], p[-1]))
+            else:
+                others.append((p, self.words.findall(p)))
+                words.update(others[-1][1])
+        words = [w for w in words if w not in pieces]
+        if words:
+            ids = np.asarray(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words):
+                raw, ends = ids.tobytes(), (ends * 4).tolist()
+                pieces.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            else:
+                pieces.update((w, self._whole(w)) for w in words)
+        pieces.update((p, b"".join(map(pieces.__getitem__, found))) for p, found in others)
+
+    def _room(self) -> None:
+        """Drop the later half of a full store."""
+        if len(self.pieces) > KEPT_PIECES:
+            for word in list(islice(self.pieces, KEPT_PIECES // 2, None)):
+                del self.pieces[word]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; those met for the first time are learned together."""
         pieces = self.pieces
-        bare = set(filter(str.isalpha, new))  # one word each
-        cut = {p: (p[:-1], p[-1]) if p[-1] in ".,;:!?" and p[:-1].isalpha() else self.words.findall(p) for p in new - bare}
-        unknown = [w for w in bare.union(*cut.values()) if w not in pieces]
-        ids = np.asarray(self.bare.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(unknown):
-            raw, ends = ids.tobytes(), (ends * 4).tolist()
-            pieces.update(zip(unknown, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        else:
-            pieces.update((w, self._whole(w)) for w in unknown)
-        for piece, words in cut.items():
-            pieces[piece] = b"".join(map(pieces.__getitem__, words))
+        found = list(map(pieces.__getitem__, words))
+        if pieces.unmet:
+            new, pieces.unmet = pieces.unmet, set()
+            self._learn(new)
+            found = [pieces[w] if f is None else f for w, f in zip(words, found)]
+        return found
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; none for null and the empty text."""
-        cut = [t.lower().split() if t and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None
-               for t in texts]
-        new = {p for p in set().union(*(c for c in cut if c)) if p not in self.pieces}
-        if len(self.pieces) + len(new) > KEPT_PIECES:
-            self.pieces.clear()
-            new = set().union(*(c for c in cut if c))
-        if new:
-            self._learn(new)
-        of = self.pieces.__getitem__
-        return [b"".join(map(of, c)) if c is not None else self._whole(t) if t else b""
-                for t, c in zip(texts, cut, strict=True)]
+        """Ids of each text as little-endian 32-bit integers; none for null and the empty text.
+
+        The words of all texts are numbered first, so each distinct one is looked up once.
+        """
+        self._room()
+        out, rows, plain = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if text and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                rows.append(i)
+                plain.append(text.lower())
+            elif text:
+                out[i] = self._whole(text)
+        if plain:
+            split = [t.split() for t in plain] if len(plain) < FEW_TEXTS else None
+            if split is not None:
+                for i, words in zip(rows, split):
+                    out[i] = b"".join(self._known(words))
+            else:
+                split = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+                numbered = split.flatten().dictionary_encode()
+                found = self._known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+                at, codes, of = split.offsets.to_pylist(), numbered.indices.to_numpy().tolist(), found.__getitem__
+                for i, a, b in zip(rows, at, at[1:]):
+                    out[i] = b"".join(map(of, codes[a:b]))
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> LibraryEncoder:
+    """The encoder of a file; a worker keeps it, and the words it has met, from task to task."""
+    return LibraryEncoder(path)
+
+
 def to_planes(ids: np.ndarray, plane_bits: int = 8, block: int = BLOCK) -> list[bytes]:
     """Planes of 32-bit ids, each compressed: 4 byte planes or 32 bit planes, block after block."""
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -154,7 +218,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = LibraryEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer), TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype="<u4").tobytes()
         chunk, first, held, names, lengths = 0, 0, [], [], []
 
@@ -166,7 +230,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
         size = 0
         for batch in batches:
-            for part in (batch.slice(at, 250) for at in range(0, batch.num_rows, 250)):
+            step = max(100, min(4000, PART_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
                 encoded = encoder.encode_all(part.column("text").to_pylist())
                 for name, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     held += (ids, end)
