@@ -27,8 +27,8 @@ BLOCK_TAGS = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK_TAGS - frozenset("html body option optgroup td th tr tbody thead tfoot caption".split())
-SILENT = frozenset("head script style noscript template iframe object svg math canvas audio video noembed noframes "
-                   "textarea title".split())
+SILENT = frozenset("head script style noscript template iframe svg canvas audio video noembed noframes textarea "
+                   "title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # elements that end an open one of the same kind when they begin
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
@@ -48,7 +48,29 @@ NAME_FOR, NAME_AGAINST, HIDDEN = 1.5, -7.0, -9.0
 PRIOR, LINKS, LONG, SENTENCE, SHORT, RIGHTS = -0.5, -4.0, 1.8, 0.6, -0.3, -2.5
 NEXT_EDGE, PARENT_EDGE = 2.0, 1.0
 RIGHTS_TEXT = re.compile("©|\\(c\\) ?[12][0-9]{3}|all rights reserved|copyright", re.I)
-_NAME = re.compile(r"[a-z]+")
+STATES = frozenset("has have with without no not is".split())  # has-sidebar says what a page has, not what this is
+SLUGS = frozenset("a about an and for from in of on or the to vs".split())  # comment-on-policy is a title
+_PARTS = re.compile(r"[a-z]+")
+# a number of so many digits is no character; the standard reader would try to make a number of it
+_ZEROS, _HUGE = re.compile(r"&#0{2,}"), re.compile(r"&#0?[1-9][0-9]{7,}")
+
+
+def names_of(value: str) -> tuple[set[str], set[str]]:
+    """Names that speak for an article and against one, from the tokens of class, id, role and itemprop.
+
+    A token with both kinds, such as footer-content, speaks against; states and titles say nothing.
+    """
+    good, bad = set(), set()
+    for token in value.lower().split():
+        parts = _PARTS.findall(token)
+        if not parts or parts[0] in STATES or SLUGS.intersection(parts):
+            continue
+        against = AGAINST_NAMES.intersection(parts)
+        if against:
+            bad |= against
+        else:
+            good |= FOR_NAMES.intersection(parts)
+    return good, bad
 
 
 class _Node:
@@ -91,13 +113,13 @@ class _Reader(HTMLParser):
             score += AGAINST_TAGS.get(tag, 0.0)
         if tag in ("html", "body"):
             return score
-        names = _NAME.findall(" ".join(filter(None, (attrs.get(k) for k in ("class", "id", "role", "itemprop")))).lower())
-        if names:
-            against = AGAINST_NAMES.intersection(names)
-            if against and not (inside and against == {"header"}):
-                score += NAME_AGAINST
-            elif FOR_NAMES.intersection(names):
+        named = " ".join(filter(None, (attrs.get(k) for k in ("class", "id", "role", "itemprop"))))
+        if named:
+            good, bad = names_of(named)
+            if good:
                 score += NAME_FOR
+            elif bad and tag not in FOR_TAGS and not (inside and bad == {"header"}):
+                score += NAME_AGAINST
         style = (attrs.get("style") or "").replace(" ", "").lower()
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
             score += HIDDEN
@@ -153,6 +175,13 @@ class _Reader(HTMLParser):
                 return
             node = node.parent
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration of an unknown kind is a comment up to its ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.parts.append(data)
@@ -167,6 +196,8 @@ class _Reader(HTMLParser):
 
 def blocks_of(html: str) -> list[Block]:
     reader = _Reader()
+    if "&#" in html:
+        html = _HUGE.sub("&#1114112", _ZEROS.sub("&#0", html))
     reader.feed(html)
     return reader.finish()
 
@@ -291,8 +322,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
-    Null, empty and text-free pages have the empty text. Each row is read alone: repeated rows give
-    repeated results, other columns are ignored.
+    Null, empty and text-free pages have the empty text; no page, however malformed, stops the job. Each row
+    is read alone and whole: repeated rows give repeated results, an empty table gives none, other columns are
+    ignored, whatever their names.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
