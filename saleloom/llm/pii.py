@@ -1,12 +1,18 @@
 """Personal data: patterns, and terms that reveal what the patterns protect.
 
-Every value that a pattern finds is a protected entity. A term is disclosive of an entity if their
-pointwise mutual information over the whole corpus comes near the entity's information content:
-PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against IC(c) = log2(N / n(c)). All four count documents, and
-entity and term meet wherever one document holds both. Copies of one text are one witness: a pair needs
-MIN_TEXTS different texts, since in a single text every rare word would be exclusive. From GENERALISE on
-the share PMI / IC makes a term a word without name, from REMOVE on it goes. Terms are touched wherever
-a document holds their entity.
+Every value that a pattern finds is a protected entity, and so is the group it belongs to: an address's
+domain, the net of an ip, a card's issuer, a number's prefix. Groups stand in many texts where the values
+themselves stand in one, and a term that gives away the domain narrows down the address. A term is
+disclosive of an entity if their pointwise mutual information over the whole corpus comes near the entity's
+information content: PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) against IC(c) = log2(N / n(c)). All four count
+documents, and entity and term meet wherever one document holds both. Copies of one text are one witness: a
+pair needs MIN_TEXTS different texts, since in a single text every rare word would be exclusive. From
+GENERALISE on the share PMI / IC makes a term a word without name, from REMOVE on it goes. Terms are touched
+wherever a document holds their entity.
+
+A term in n(t) documents shares at most all of them with an entity, so only terms of up to N^(1-g) n(c)^g
+documents, g = GENERALISE, can reach the threshold. Words are held against that before they are paired, which
+leaves out the frequent ones, nearly all of a text.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +98,22 @@ def _value(kind: str, found: str) -> str:
     return found.lower() if kind in ("email", "ip") else "".join(c for c in found if "0" <= c <= "9")
 
 
+def group_of(kind: str, value: str) -> str:
+    """The coarser entity that a value belongs to."""
+    if kind == "email":
+        return f"domain:{value.rpartition('@')[2]}"
+    if kind == "ip":
+        return f"net:{value.rpartition('.')[0]}"
+    return f"issuer:{value[:6]}" if kind == "card" else f"prefix:{value[:-4]}"
+
+
 def _hash(text: str) -> int:
     h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
 def entities_and_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[int], list[dict]]:
-    """Distinct entities of a text, and the term and place of every word outside the spans."""
+    """Distinct entities of a text, their groups among them, and the term and place of every word outside the spans."""
     taken = sorted((a, b) for _, a, b in spans)
     words, at, reach = [], 0, -1
     for m in _TERM.finditer(text):
@@ -107,7 +122,8 @@ def entities_and_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[li
             at += 1
         if reach <= m.start():
             words.append({"term": _hash(m[0].lower()), "start": m.start(), "end": m.end()})
-    return sorted({_hash(f"{kind}:{_value(kind, text[a:b])}") for kind, a, b in spans}), words
+    values = {(kind, _value(kind, text[a:b])) for kind, a, b in spans}
+    return sorted({_hash(name) for kind, v in values for name in (f"{kind}:{v}", group_of(kind, v))}), words
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
@@ -176,15 +192,25 @@ def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALIS
     held = found.filter("size(entities) > 0")
     by_text = held.select("key", F.explode("entities").alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
     n_entity = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
-    n_entity = n_entity.filter(F.col("texts") >= least).select("entity", "n_entity")
-    words = (held.select("key", F.explode(F.array_distinct(F.col("near.term"))).alias("term")).distinct())
-    pairs = (by_text.join(n_entity, "entity").join(words, "key").groupBy("entity", "n_entity", "term")
+    n_entity = stored(n_entity.filter(F.col("texts") >= least).select("entity", "n_entity"), "entities")
+    total = F.lit(found.count()).cast("double")
+    most = n_entity.agg(F.coalesce(F.max("n_entity"), F.lit(0).cast("long"))).first()[0]
+
+    def within_reach(n_entity: Column) -> Column:
+        # n_both <= n_term, so PMI <= log2(N / n_term) where the term is the more frequent one; a little room for rounding
+        return F.col("n_term") <= F.pow(total, F.lit(1 - generalise)) * F.pow(n_entity, F.lit(generalise)) * (1 + 1e-9)
+
+    # an entity of every document tells nothing, and a term needs as many documents as a pair needs texts
+    rare = terms.filter((F.col("n_term") >= least) & (within_reach(F.lit(float(most))) | (F.col("n_term") <= most)))
+    words = held.select("key", F.explode(F.array_distinct(F.col("near.term"))).alias("term")).distinct().join(rare, "term")
+    near = (by_text.join(n_entity, "entity").join(words, "key")
+            .filter(within_reach(F.col("n_entity")) | (F.col("n_term") <= F.col("n_entity"))))
+    pairs = (near.groupBy("entity", "n_entity", "term", "n_term")
              .agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least))
-    total = F.lit(found.count())
     share = (F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
              / F.log2(total / F.col("n_entity")))
-    share = F.when(F.col("n_entity") < total, share)  # an entity of every document tells nothing
-    rated = pairs.join(terms, "term").withColumn("share", share).filter(F.col("share") >= generalise)
+    share = F.when(F.col("n_entity") < total, share)
+    rated = pairs.withColumn("share", share).filter(F.col("share") >= generalise)
     return rated.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind"))
 
 
