@@ -20,7 +20,7 @@ from saleloom.llm.common import ship
 from saleloom.session import stored
 
 PIVOTS = 16
-PART_ROWS = 16_384  # candidates that one task holds, on average
+PART_ROWS = 8192  # candidates that one task holds, on average
 CHUNK = 512  # candidates evaluated at once
 NO_ID = 2**63 - 1
 
@@ -164,7 +164,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
 
-    met = (candidates.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "side")
+    # ranges of part numbers, not their hashes, so that each task gets one part
+    met = (candidates.unionByName(asked).repartitionByRange(parts, "part").sortWithinPartitions("part", "side")
            .mapInArrow(run, ", ".join(f"{n} long" for n in names)))
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return (met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
