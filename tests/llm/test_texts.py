@@ -1,6 +1,7 @@
 """Extraction, decontamination, chat windows and personal data against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from itertools import product
@@ -29,6 +30,37 @@ def test_main_text():
     assert html_extract.main_text(PAGE) == TEXT
 
 
+PROSE = "Full paragraphs of prose stand here, long enough to be taken for an article by anyone who reads them at all. " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<body><main class='has-sidebar'><p>{}</p></main></body>", "<article class='post tag-food tags'><p>{}</p></article>",
+    "<div class='search-result content'><p>{}</p></div>", "<article><div class='comment-on-policy'><p>{}</p></div></article>",
+    "<article><p>{}</p><![foo[bar]]><![ x]></article>", "<main id=sidebar-main class=widget><p>{}</p></main>"])
+def test_names_cost_no_article(page):
+    assert html_extract.main_text(page.format(PROSE)) == PROSE.strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "footer-content", "cookie_banner wide", "ad-slot", "comment-list", "nav main-menu"])
+def test_names_speak_against(name):
+    page = f"<body><div class='{name}'><p>{PROSE}</p></div><article><p>{PROSE} Only this.</p></article></body>"
+    assert html_extract.main_text(page) == f"{PROSE} Only this.".replace("  ", " ")
+
+
+def test_formulas_and_objects_are_read():
+    page = f"<article><p>{PROSE} so <math><mi>E</mi>=<mi>m</mi></math> and <object>a map</object>.</p></article>"
+    assert html_extract.main_text(page).endswith("so E=m and a map.")
+
+
+def test_no_page_stops_the_job():
+    rnd = random.Random(5)
+    bits = ["<![", "<!", "<!--", "-->", "]]>", "<?", "</", "<p>", "<div class='", "'>", '"', "<a href=x>", "&#x", "&#", "99999999", "&amp", "<script>",
+            "</script>", "<title>", "text ", "\x00", "<table><tr><td>", "<![CDATA[", "[", "]", ">", "<", "=", "é", "😀", "<math>", "<br/>", "\n",
+            "<!DOCTYPE", "<![if", "&", "0" * 13, "&#" + "9" * 5000 + ";", "&#" + "0" * 5000 + "65;"]
+    for _ in range(10_000):
+        html_extract.main_text("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))))
+
+
 def test_main_text_without_hints():
     para = "A paragraph of plain prose that is long enough to be one, with commas, and that ends in a full stop."
     page = (f"<html><body><div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><p>{para}</p><p>Yes.</p>"
@@ -232,6 +264,69 @@ def test_disclosive_terms_of_copied_passages(spark):
     assert not any(r["added"] for r in pii.find(docs_of(spark, everywhere)).collect())
 
 
+def added_by_hand(rows):
+    """Added spans of every text from counts of whole documents."""
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(t or "", []).append(d)
+    per_text, n_term = {}, {}
+    for t, ids in texts.items():
+        spans = spans_by_hand(t)
+        for w in {m[0].lower() for m in re.finditer(r"[^\W\d_]{2,}", t)}:
+            n_term[w] = n_term.get(w, 0) + len(ids)
+        names = set()
+        for kind, a, b in spans:
+            v = t[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])
+            names |= {(kind, v), ("domain", v.split("@")[-1]) if kind == "email" else ("net", v.rsplit(".", 1)[0]) if kind == "ip"
+                      else ("issuer", v[:6]) if kind == "card" else ("prefix", v[:-4])}
+        places = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{2,}", t)
+                  if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        per_text[t] = names, places
+    total = len(rows)
+    kind_of = {}
+    for c in {c for names, _ in per_text.values() for c in names}:
+        holding = [t for t, (names, _) in per_text.items() if c in names]
+        n_c = sum(len(texts[t]) for t in holding)
+        for w in {w for t in holding for _, _, w in per_text[t][1]}:
+            both = [t for t in holding if any(x == w for _, _, x in per_text[t][1])]
+            if len(both) < 2 or n_c == total:
+                continue
+            n_both = sum(len(texts[t]) for t in both)
+            share = math.log2(n_both * total / (n_c * n_term[w])) / math.log2(total / n_c)
+            if share >= pii.GENERALISE:
+                kind_of[c, w] = "remove" if share >= pii.REMOVE else "generalise"
+    out = {}
+    for t, (names, places) in per_text.items():
+        kinds = {w: max((kind_of[c, w] for c in names if (c, w) in kind_of), default=None) for _, _, w in places}
+        out[t] = sorted((kinds[w], a, b) for a, b, w in places if kinds[w])
+    return out
+
+
+def test_added_spans_equal_counts_by_hand(spark):
+    rnd = random.Random(9)
+    words = ["w" + "".join(rnd.choice("abcdef") for _ in range(3)) for _ in range(150)]
+    rows = []
+    for i in range(260):
+        body = [rnd.choice(words[:12] if rnd.random() < 0.7 else words) for _ in range(rnd.randint(5, 40))]
+        if i % 3 == 0:
+            k = rnd.randint(0, 5)
+            j, value = rnd.choice(list(enumerate([f"u{i}@d{k}.example.org", f"10.0.{k}.{i % 250}", f"+1 555 {k:03d} {1000 + i}", "4111 1111 1111 1111"])))
+            body.insert(rnd.randint(0, len(body)), value)
+            if rnd.random() < 0.95:
+                body.insert(rnd.randint(0, len(body)), f"hint{chr(97 + j)}{chr(97 + k)}")
+        elif i % 12 == 1:  # the hint of some entities stands in other documents, too
+            body.append(f"hint{rnd.choice('abc')}{rnd.choice('abc')}")
+        rows.append((i, " ".join(body)))
+    rows += [(500 + j, rows[3 * j][1]) for j in range(20)] + [(600, None), (601, "")]
+    want = added_by_hand(rows)
+    found = pii.find(docs_of(spark, rows)).collect()
+    text = dict(rows)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in found}
+    assert got == {d: want[t or ""] for d, t in rows}
+    kinds = [k for spans in got.values() for k, _, _ in spans]
+    assert kinds.count("remove") > 10 and kinds.count("generalise") > 10 and len(text) == len(found)
+
+
 def test_spans_table(spark):
     rows = awkward_texts()
     got = pii.span_digests(awkward(spark)).collect()
