@@ -33,8 +33,8 @@ from saleloom.session import new_folder
 END_ID = 2
 BLOCK = 4096  # ids transposed together; the last block of a chunk is shorter
 CHUNK = 1 << 16  # a chunk ends with the document that reaches so many ids
-KEPT_PIECES = 600_000  # a worker's words; a full store drops its later half, as frequent words are met early
-PART_BYTES = 12 << 20  # of texts whose words are numbered together
+KEPT_PIECES = 400_000  # a worker's words; a full store drops its later half, as frequent words are met early
+PART_BYTES = 4 << 20  # of texts whose words are numbered together
 FEW_TEXTS = 16  # fewer are not worth numbering their words
 MARKS = frozenset(".,;:!?")  # one at the end of a word is a token of its own
 
