@@ -6,12 +6,13 @@ so equal windows have equal anchors wherever they stand, and only about every fi
 1. Anchors that two documents hold are found in one shuffle. A task that sees an anchor in several of
    its documents sends two witnesses, however many there are, so no anchor's rows pile up.
 2. Documents that hold such anchors give segments: the words of the windows around one anchor.
-   Segments meet by anchor; that is a shard's share of all documents.
+   Segments meet by anchor; that is a shard's share of all documents. An anchor of more than SHARE
+   documents is dealt over several tasks, and its segments carry the number of their share.
 3. In each shard the windows that two documents hold are confirmed word by word, with the smallest
    doc_id, and compiled into an automaton; all segments of the shard stream through it, which locates
-   every occurrence. Anchors with more than SHARE segments are dealt over several tasks: these first
-   hand in their windows, whose smallest doc_id is taken overall, and then stream their segments through
-   the automaton of all confirmed windows.
+   every occurrence. The shares of a busy anchor first hand in their windows, whose smallest doc_id is taken
+   overall, and get back the confirmed ones that they hold themselves, so no window travels more often than
+   it occurs; then they stream their segments through the automaton of these.
 4. The words of the located windows leave their documents.
 """
 
@@ -31,12 +32,13 @@ from saleloom.session import stored
 
 WINDOW = 13
 GRAM = 5
-SHARE = 20_000  # segments of one anchor that one task takes, some 2 MB
+SHARE = 20_000  # documents of one anchor that one task takes, some 2 MB of segments
 SHARD = 5_000  # segments at which an automaton of several anchors is closed
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+MASK = 2**64 - 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,7 +95,7 @@ def anchors(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndar
 
 
 def _shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id and anchors: those of the document that another doc_id holds too."""
+    """doc_id, anchors (those of the document that another doc_id holds too) and shares, over how many tasks each is dealt."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,30 +145,42 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def out(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=["anchor", "doc_id"])
 
-    return (docs.select("doc_id", "text").mapInArrow(local, "place long, witness boolean, anchor long, doc_id long")
-            .repartition("place").sortWithinPartitions("witness", "anchor", "doc_id")
-            .mapInArrow(shared, "anchor long, doc_id long")
-            .groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    pairs = stored(docs.select("doc_id", "text").mapInArrow(local, "place long, witness boolean, anchor long, doc_id long")
+                   .repartition("place").sortWithinPartitions("witness", "anchor", "doc_id")
+                   .mapInArrow(shared, "anchor long, doc_id long"), "anchors")
+    busy = stored(pairs.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARE)
+                  .select("anchor", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "busy")
+    known = pairs.join(busy, "anchor", "left").select("doc_id", F.struct("anchor", F.coalesce("shares", F.lit(1)).alias("shares")).alias("a"))
+    return (known.groupBy("doc_id").agg(F.collect_set("a").alias("a"))
+            .select("doc_id", F.col("a.anchor").alias("anchors"), F.col("a.shares").alias("shares")))
 
 
 def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """anchor, doc_id, key, first (word) and text of the words around every shared anchor.
+    """anchor, share, doc_id, key, first (word) and text of the words around every shared anchor.
 
-    ``docs`` has doc_id (not null), key and text.
+    ``docs`` has doc_id (not null), key and text. share is -1 where an anchor is not dealt.
     """
     shared = _shared_anchors(docs, window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 100) for at in range(0, batch.num_rows, 100)):
-                texts, ids, keys, hashes, firsts = [], [], [], [], []
-                for doc, key, text, known in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(),
-                                                 part.column("text"), part.column("anchors"), strict=True):
+                texts, ids, keys, hashes, firsts, places = [], [], [], [], [], []
+                for doc, key, text, known, shares in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(),
+                                                         part.column("text"), part.column("anchors"), part.column("shares"), strict=True):
                     raw = text.as_py().encode("utf-8", "surrogatepass")
                     h, first, last = anchors(raw, window, gram)
-                    hit = np.flatnonzero(np.isin(h, known.values.to_numpy()))
+                    known, shares = known.values.to_numpy(), shares.values.to_numpy().astype(np.int64)
+                    hit = np.flatnonzero(np.isin(h, known))
                     if not len(hit):
                         continue
+                    dealt = np.full(len(hit), -1)
+                    if shares.max() > 1:
+                        order = known.argsort()
+                        of = shares[order][np.searchsorted(known[order], h[hit])]
+                        mixed = _mix(np.uint64(doc & MASK) + first[hit].astype(np.uint64)) >> np.uint64(1)
+                        dealt = np.where(of > 1, mixed.astype(np.int64) % of, -1)
+                    places.append(dealt)
                     words = raw.split()
                     joined = b" ".join(words)
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -180,11 +194,11 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                     firsts.append(first)
                 if texts:
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(np.concatenate(c)) for c in (hashes, ids, keys, firsts)), pa.array(texts, pa.binary())],
-                        names=["anchor", "doc_id", "key", "first", "text"])
+                        [*(pa.array(np.concatenate(c)) for c in (hashes, places, ids, keys, firsts)), pa.array(texts, pa.binary())],
+                        names=["anchor", "share", "doc_id", "key", "first", "text"])
 
     return (docs.select("doc_id", "key", "text").join(shared, "doc_id")
-            .mapInArrow(run, "anchor long, doc_id long, key long, first long, text binary"))
+            .mapInArrow(run, "anchor long, share long, doc_id long, key long, first long, text binary"))
 
 
 class _Numbers(dict):
@@ -283,16 +297,12 @@ def _stream(rows: list[tuple], window: int, given: list[tuple[bytes, int, int]]
 
 
 def _columns(batch: pa.RecordBatch | pa.Table, *names: str) -> list[list]:
-    return [batch.column(n).to_pylist() for n in names]
+    return [batch.column(n).to_numpy(zero_copy_only=False).tolist() if isinstance(batch, pa.RecordBatch) else batch.column(n).to_numpy().tolist()
+            for n in names]
 
 
 def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, start, end of the stretches to remove, from stored segments."""
-    large = (found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARE)
-             .select("anchor", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")))
-    large = stored(large, "large")
-    few = found.join(large, "anchor", "left_anti")
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         last = None
@@ -305,33 +315,32 @@ def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append(row)
         yield _stream(rows, window)
 
-    cold = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(whole, _HITS_TYPE)
-
-    dealt = found.join(large, "anchor").select(
-        "anchor", F.pmod(F.xxhash64("doc_id", "key", "first"), F.col("shares")).cast("int").alias("share"),
-        "doc_id", "key", "first", "text")
+    cold = (found.filter("share < 0").drop("share").repartition("anchor").sortWithinPartitions("anchor")
+            .mapInArrow(whole, _HITS_TYPE))
+    dealt = found.filter("share >= 0")
 
     def hand_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("phrase", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+        schema = pa.schema([("anchor", pa.int64()), ("share", pa.int64()), ("phrase", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
 
         def rows() -> Iterator[dict]:
             for batch in batches:
-                seen: dict[tuple[int, bytes], list[int]] = {}
-                for anchor, doc, text in zip(*_columns(batch, "anchor", "doc_id", "text"), strict=True):
+                seen: dict[tuple[int, int, bytes], list[int]] = {}
+                for anchor, share, doc, text in zip(*_columns(batch, "anchor", "share", "doc_id", "text"), strict=True):
                     words = text.split(b" ")
                     for i in range(len(words) - window + 1):
-                        at = seen.setdefault((anchor, b" ".join(words[i:i + window])), [doc, doc])
+                        at = seen.setdefault((anchor, share, b" ".join(words[i:i + window])), [doc, doc])
                         at[0], at[1] = min(at[0], doc), max(at[1], doc)
-                for (anchor, phrase), (low, high) in seen.items():
-                    yield {"anchor": anchor, "phrase": phrase, "low": low, "high": high}
+                for (anchor, share, phrase), (low, high) in seen.items():
+                    yield {"anchor": anchor, "share": share, "phrase": phrase, "low": low, "high": high}
 
         yield from batches_of(rows(), schema, 20_000)
 
-    confirmed = (dealt.select("anchor", "doc_id", "text")
-                 .mapInArrow(hand_in, "anchor long, phrase binary, low long, high long")
-                 .groupBy("anchor", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high"))
-    spread = (confirmed.join(large, "anchor")
-              .select("anchor", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "phrase", "low", "high"))
+    # a confirmed window goes back to the shares that handed it in
+    confirmed = (dealt.select("anchor", "share", "doc_id", "text")
+                 .mapInArrow(hand_in, "anchor long, share long, phrase binary, low long, high long")
+                 .groupBy("anchor", "phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("share").alias("shares"))
+                 .filter("low < high"))
+    spread = confirmed.select("anchor", F.explode("shares").alias("share"), "phrase", "low", "high")
 
     def against(phrases: pa.Table, rows: pa.Table) -> pa.Table:
         given = list(zip(*_columns(phrases, "phrase", "low", "high"), strict=True))
@@ -373,7 +382,12 @@ def _kept(words: list[bytes], stretches: list[dict] | None) -> list[bytes]:
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id",
           digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (words joined by a blank) of every row, or kept_sha256 instead."""
+    """doc_id, n_words, n_removed and kept (words joined by a blank) of every row, or kept_sha256 instead.
+
+    Null and empty texts have no words; rows without doc_id keep theirs. Rows of one doc_id are one document to
+    the others, and repeated rows keep each its result. Long texts are read whole, an empty table gives no rows,
+    other columns are ignored, whatever their names.
+    """
     found = repeated_stretches(docs, window, gram, text, doc_id).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
     rows = _prepared(docs, text, doc_id)
     met = rows.join(found, (rows["doc_id"] == found["_doc"]) & (rows["key"] == found["_key"]), "left")
