@@ -10,9 +10,10 @@ from saleloom.catalog.base import query, r6, rounded
 from saleloom.functions import rules
 from saleloom.operators import clean, merge, position, summary
 from saleloom.schema import CATEGORY, DATE, PANEL_KEY, PRED, QTY, STATE
-from saleloom.session import new_folder
+from saleloom.session import cut_lineage, new_folder
 from saleloom.sources import panel as panel_source
 from saleloom.sources import sheets, sinks
+from saleloom.sources.ledger import Ledger
 from saleloom.sources.versions import SKETCH_ERROR, PanelVersions
 
 PANEL_SQL = 'SELECT "Date", "State", "Vehicle_Category", "EV_Sales_Quantity" FROM panel'
@@ -47,6 +48,31 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.count_distinct(F.regexp_replace("path", "/[^/]*$", "")).alias("data_files"))
 
 
+@query("A2,L1", f"""WITH f AS (SELECT DISTINCT year("Date") AS y, "Vehicle_Category" AS c FROM panel),
+s AS (SELECT CASE WHEN y = year(DATE '{inputs.PUSH_FROM}') THEN 'new' WHEN c = 'Bus' THEN 'gone'
+WHEN y = {inputs.PATTERN_YEAR} THEN 'changed' ELSE 'unchanged' END AS status FROM f WHERE NOT (c = 'Bus' AND y = year(DATE '{inputs.PUSH_FROM}')))
+SELECT status, count(*) AS files, CASE WHEN status = 'gone' THEN 0 ELSE count(*) END AS unchanged_after_note FROM s GROUP BY 1""")
+def file_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listings of the panel's files: a year arrives, one year is written anew, a category goes.
+
+    The ledger notes the first listing and is asked about the second, then notes that one too.
+    """
+    path, ledger = new_folder(spark, "listing"), Ledger(spark, new_folder(spark, "ledger"))
+    (inputs.panel(spark, sf_dir).withColumn("y", F.year(DATE)).repartition("y", CATEGORY)
+     .write.partitionBy("y", CATEGORY).parquet(path))
+    files = panel_source.data_files(spark, path, "*.parquet").withColumn(
+        "y", F.regexp_extract("path", "y=([0-9]+)/", 1).cast("int")).withColumn("bus", F.col("path").contains("=Bus/"))
+    arrived = F.col("y") == F.year(F.lit(inputs.PUSH_FROM).cast("date"))
+    ledger.note(files.filter(~arrived))
+    later = F.when(F.col("y") == inputs.PATTERN_YEAR, F.col("modificationTime") + F.expr("INTERVAL 1 MINUTE")).otherwise(F.col("modificationTime"))
+    second = files.filter(~F.col("bus")).withColumn("modificationTime", later)
+    told = cut_lineage(ledger.compare(second))
+    ledger.note(second)
+    still = ledger.compare(second).filter("status = 'unchanged'").select(F.col("path").alias("_path"))
+    return (told.join(still, F.col("path") == F.col("_path"), "left").groupBy("status")
+            .agg(F.count(F.lit(1)).alias("files"), F.count("_path").alias("unchanged_after_note")))
+
+
 @query("A3,G12", SHEET_SQL)
 def sheet_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.months_by_position(inputs.wide_sheets(spark, sf_dir), default_year=1900)

@@ -93,10 +93,8 @@ def hurdle_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = cut_lineage(inputs.dense(spark, sf_dir))
     rows = models.store_by_category(models.with_state_codes(models.hurdle_features(dense)))
     train, test, folder = _before(rows), _after(rows), new_folder(spark, "hurdles")
-    grid = [{"maxDepth": 5}, {"maxDepth": 3}]
-
     def fit(category: str) -> models.Hurdle:
-        return models.fit_hurdle(train.filter(F.col(CATEGORY) == category), models.HURDLE_FEATURES, "is_valid", grid=grid)
+        return models.fit_hurdle(train.filter(F.col(CATEGORY) == category), models.HURDLE_FEATURES, "is_valid", grid=models.GRID)
 
     def score(hurdles: dict[str, models.Hurdle]) -> DataFrame:
         return cut_lineage(merge.union_all(*[
@@ -203,7 +201,7 @@ def recursive_monthly_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = cut_lineage(clean.between_dates(windows.monthly_totals(dense), before=inputs.LAST_FULL_DAY_BEFORE))
     codes = cut_lineage(encode.code_table(months, STATE))
     rows = models.store_by_category(encode.apply_codes(windows.hybrid_monthly_features(months), codes, STATE))
-    fitted, _ = models.train_monthly(rows, inputs.TEST_FROM, grid=models.GRID[:1])
+    fitted, _ = models.train_monthly(rows, inputs.TEST_FROM)
     forecast = recursive.forecast_months(months, codes, fitted.models, NEXT_MONTH, 12)
     pattern = allocate.category_pattern(dense, inputs.PATTERN_YEAR)
     return _forecast_checks(allocate.allocate_by_pattern(forecast, pattern))

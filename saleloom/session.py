@@ -66,7 +66,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote, wherever Spark keeps it; nothing happens where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``stored`` returned, once what was made of it is stored in turn."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    remove(df.sparkSession, df._stored_at)

@@ -20,6 +20,7 @@ from saleloom.operators import merge
 from saleloom.operators.group_stats import attach
 from saleloom.schema import DATE, PANEL, PANEL_KEY, QTY, RAW_SHEET
 from saleloom.sources import sheets
+from saleloom.streaming.levels import FANOUT, PartialSums
 
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -154,19 +155,30 @@ def score_with_model(events: DataFrame, model: PipelineModel, clock: Column | No
             .withColumn("scored_at", F.current_timestamp() if clock is None else clock))
 
 
+WINDOW_SUMS = "window_start timestamp, {key} string, events long, error double, errors long, actual double, actuals long"
+
+
+def window_sums(spark: SparkSession, folder: str, key: str = "vehicle_category", fanout: int = FANOUT) -> PartialSums:
+    """The partial sums behind the live table."""
+    return PartialSums(spark, folder, WINDOW_SUMS.format(key=key), ("window_start", key), fanout)
+
+
 def live_windows(scored: DataFrame, folder: str, checkpoint: str, length: str = "5 minutes",
-                 key: str = "vehicle_category", trigger: dict | None = None) -> DataFrame:
+                 key: str = "vehicle_category", trigger: dict | None = None, fanout: int = FANOUT) -> DataFrame:
     """Count and errors per tumbling window and category, exact however late a row comes.
 
     Each micro-batch leaves its counts and sums per window and key; reading adds them
-    up. There is no state and no row is too late.
+    up. There is no state and no row is too late. Batches that the stream has committed
+    are merged in levels, so reading opens a bounded number of folders.
     """
+    sums = window_sums(scored.sparkSession, folder, key, fanout)
+
     def write(rows: DataFrame, batch_id: int) -> None:
-        (rows.groupBy(F.window("timestamp", length).alias("w"), key)
-         .agg(F.count(F.lit(1)).alias("events"), F.sum("error").alias("error"), F.count("error").alias("errors"),
-              F.sum("actual").alias("actual"), F.count("actual").alias("actuals"))
-         .select(F.col("w.start").alias("window_start"), key, "events", "error", "errors", "actual", "actuals")
-         .write.mode("overwrite").parquet(f"{folder}/batch={batch_id}"))
+        sums.put(rows.groupBy(F.window("timestamp", length).alias("w"), key)
+                 .agg(F.count(F.lit(1)).alias("events"), F.sum("error").alias("error"), F.count("error").alias("errors"),
+                      F.sum("actual").alias("actual"), F.count("actual").alias("actuals"))
+                 .select(F.col("w.start").alias("window_start"), key, "events", "error", "errors", "actual", "actuals"), batch_id)
+        sums.compact(batch_id - 1)  # this batch may run again
 
     start(scored, checkpoint, batch=write, trigger=trigger).awaitTermination()
     return windows_so_far(scored.sparkSession, folder, key)
@@ -174,11 +186,10 @@ def live_windows(scored: DataFrame, folder: str, checkpoint: str, length: str =
 
 def windows_so_far(spark: SparkSession, folder: str, key: str = "vehicle_category") -> DataFrame:
     """The live table from the partial sums stored so far."""
-    zero = F.lit(0).cast("long")
-    return (spark.read.parquet(folder).groupBy("window_start", key)
-            .agg(F.sum("events").alias("events"),
-                 (F.sum("error") / F.nullif(F.sum("errors"), zero)).alias("mae"),
-                 (F.sum("actual") / F.nullif(F.sum("actuals"), zero)).alias("mean_actual")))
+    sums, zero = window_sums(spark, folder, key), F.lit(0).cast("long")
+    return sums.read(sums.newest_batch()).select(
+        "window_start", key, "events", (F.col("error") / F.nullif(F.col("errors"), zero)).alias("mae"),
+        (F.col("actual") / F.nullif(F.col("actuals"), zero)).alias("mean_actual"))
 
 
 def without_repeats(events: DataFrame, key: str, folder: str, checkpoint: str, time: str = "timestamp",
