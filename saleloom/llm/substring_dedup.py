@@ -7,7 +7,7 @@ so equal windows have equal anchors wherever they stand, and only about every fi
    its documents sends two witnesses, however many there are, so no anchor's rows pile up.
 2. Documents that hold such anchors give segments: the words of the windows around one anchor.
    Segments meet by anchor; that is a shard's share of all documents. An anchor of more than SHARE
-   documents is dealt over several tasks, and its segments carry the number of their share.
+   segments is dealt over several tasks, and its segments carry the number of their share.
 3. In each shard the windows that two documents hold are confirmed word by word, with the smallest
    doc_id, and compiled into an automaton; all segments of the shard stream through it, which locates
    every occurrence. The shares of a busy anchor first hand in their windows, whose smallest doc_id is taken
@@ -32,7 +32,7 @@ from saleloom.session import stored
 
 WINDOW = 13
 GRAM = 5
-SHARE = 20_000  # documents of one anchor that one task takes, some 2 MB of segments
+SHARE = 20_000  # segments of one anchor that one task takes, some 2 MB
 SHARD = 5_000  # segments at which an automaton of several anchors is closed
 
 _RANDOM = np.random.default_rng(20240607)
@@ -100,55 +100,57 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            found = [np.unique(anchors(t.as_py().encode("utf-8", "surrogatepass"), window, gram)[0])
+            found = [np.unique(anchors(t.as_py().encode("utf-8", "surrogatepass"), window, gram)[0], return_counts=True)
                      for t in batch.column("text")]
-            h = np.concatenate(found) if found else np.zeros(0, np.int64)
-            d = np.repeat(ids, [len(f) for f in found])
+            if not found:
+                continue
+            h, n = (np.concatenate(x) for x in zip(*found))
+            d = np.repeat(ids, [len(f) for f, _ in found])
             order = np.lexsort((d, h))
-            h, d = h[order], d[order]
+            h, d, n = h[order], d[order], n[order]
             if not len(h):
                 continue
-            fresh = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-            h, d = h[fresh], d[fresh]
+            fresh = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+            h, d, n = h[fresh], d[fresh], np.add.reduceat(n, fresh)
             head = np.r_[True, h[1:] != h[:-1]]
             tail = np.r_[head[1:], True]
             witness = head | tail
             for a in range(0, len(h), 200_000):
                 part = slice(a, a + 200_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(witness, h, d)[part]), pa.array(witness[part]), pa.array(h[part]), pa.array(d[part])],
-                    names=["place", "witness", "anchor", "doc_id"])
+                    [pa.array(np.where(witness, h, d)[part]), pa.array(witness[part]), pa.array(h[part]), pa.array(d[part]),
+                     pa.array(n[part].astype(np.int32))], names=["place", "witness", "anchor", "doc_id", "times"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = d = np.zeros(0, np.int64)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         for batch in batches:
             sure = ~batch.column("witness").to_numpy(zero_copy_only=False)
-            new_h, new_d = batch.column("anchor").to_numpy(), batch.column("doc_id").to_numpy()
+            new = [batch.column(c).to_numpy() for c in ("anchor", "doc_id", "times")]
             if sure.any():
-                yield out(new_h[sure], new_d[sure])
-            h, d = np.concatenate([h, new_h[~sure]]), np.concatenate([d, new_d[~sure]])
-            if len(h):
-                cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                yield out(*several(h[:cut], d[:cut]))
-                h, d = h[cut:], d[cut:]
-        if len(h):
-            yield out(*several(h, d))
-
-    def several(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                yield out(*(x[sure] for x in new))
+            held = tuple(np.concatenate([x, y[~sure]]) for x, y in zip(held, new))
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
+                yield out(*several(*(x[:cut] for x in held)))
+                held = tuple(x[cut:] for x in held)
+        if len(held[0]):
+            yield out(*several(*held))
+
+    def several(h: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         if not len(h):
-            return h, d
+            return h, d, n
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[head, len(h)])
         more = np.repeat(np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head), size)
-        return h[more], d[more]
+        return h[more], d[more], n[more]
 
-    def out(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=["anchor", "doc_id"])
+    def out(h: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(n)], names=["anchor", "doc_id", "times"])
 
-    pairs = stored(docs.select("doc_id", "text").mapInArrow(local, "place long, witness boolean, anchor long, doc_id long")
+    pairs = stored(docs.select("doc_id", "text").mapInArrow(local, "place long, witness boolean, anchor long, doc_id long, times int")
                    .repartition("place").sortWithinPartitions("witness", "anchor", "doc_id")
-                   .mapInArrow(shared, "anchor long, doc_id long"), "anchors")
-    busy = stored(pairs.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > SHARE)
+                   .mapInArrow(shared, "anchor long, doc_id long, times int"), "anchors")
+    busy = stored(pairs.groupBy("anchor").agg(F.sum("times").alias("n")).filter(F.col("n") > SHARE)
                   .select("anchor", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "busy")
     known = pairs.join(busy, "anchor", "left").select("doc_id", F.struct("anchor", F.coalesce("shares", F.lit(1)).alias("shares")).alias("a"))
     return (known.groupBy("doc_id").agg(F.collect_set("a").alias("a"))
