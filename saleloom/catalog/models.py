@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleloom.catalog import inputs
@@ -132,6 +132,29 @@ def grid_search_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         _holds(F.count("valid_mae") == F.count(F.lit(1))).alias("errors_known"), _holds(F.min("valid_mae") > 0).alias("errors_positive"))
 
 
+@query("J5", """SELECT "Vehicle_Category", round, CASE round WHEN 0 THEN 24 WHEN 1 THEN 8 ELSE 3 END AS settings,
+CASE round WHEN 0 THEN 5 WHEN 1 THEN 15 ELSE 45 END AS trees, CASE round WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 1 END AS survivors,
+1 AS errors_known, 1 AS best_survive, 1 AS came_through
+FROM (SELECT DISTINCT "Vehicle_Category" FROM full_months), (SELECT unnest(range(3)) AS round)""")
+def halving_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 settings for every category by successive halving: who was tried, with how many trees, and who went on."""
+    rows = _before(_hybrid(_months(spark, sf_dir)))
+    trials = []
+    for category in models.categories_with_enough(rows):
+        mine = rows.filter(F.col(CATEGORY) == category)
+        _, tried = models.halving_search(mine, "is_valid", models.HYBRID_FEATURES, models.spread_settings(), seed=42)
+        trials += [(category, *t) for t in tried]
+    table = spark.createDataFrame(trials, f"{CATEGORY} string, round long, setting string, trees int, error double, survived boolean")
+    worst = F.max(F.when(F.col("survived"), F.col("error")))
+    rounds = table.groupBy(CATEGORY, "round").agg(
+        F.count_distinct("setting").cast("int").alias("settings"), F.max("trees").alias("trees"),
+        F.count_if("survived").cast("int").alias("survivors"), _holds(F.count("error") == F.count(F.lit(1))).alias("errors_known"),
+        _holds(F.coalesce(worst <= F.min(F.when(~F.col("survived"), F.col("error"))), F.lit(True))).alias("best_survive"),
+        F.array_sort(F.collect_list("setting")).alias("_tried"), F.array_sort(F.collect_list(F.when(F.col("survived"), F.col("setting")))).alias("_kept"))
+    before = F.lag("_kept").over(Window.partitionBy(CATEGORY).orderBy("round"))
+    return rounds.withColumn("came_through", _holds(F.coalesce(F.col("_tried") == before, F.lit(True)))).drop("_tried", "_kept")
+
+
 @query("J3,H4,K8", _check_sql("full_months", """"Vehicle_Category" IN ('3-Wheelers', 'Bus')""", "has_trees"))
 def specialised_monthly_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared loss for three-wheelers, absolute for buses, on the last months."""

@@ -176,6 +176,46 @@ def grid_search(rows: DataFrame, validation: str, features: list[str], grid: lis
     return best[0], best[1], [(s, e) for s, _, e in trials]
 
 
+def spread_settings(rates: tuple[float, ...] = (0.05, 0.1, 0.2), depths: tuple[int, ...] = (3, 5), leaves: tuple[int, ...] = (5, 20),
+                    shares: tuple[float, ...] = (0.8, 1.0)) -> list[dict]:
+    """Every combination of the parameters, 24 by default."""
+    return [{"stepSize": r, "maxDepth": d, "minInstancesPerNode": m, "subsamplingRate": s}
+            for r in rates for d in depths for m in leaves for s in shares]
+
+
+def halving_search(rows: DataFrame, validation: str, features: list[str], settings: list[dict], budgets: tuple[int, ...] = (5, 15, 45),
+                   keep: int = 3, label: str = QTY, **fixed) -> tuple[dict, list[tuple]]:
+    """The best of many settings by successive halving, and all trials.
+
+    All settings start with the first budget of trees; one in ``keep`` of them, those with the smallest
+    validation MAE, goes on to the next budget, which is as much larger as they are fewer, so every round
+    costs about the same. Ties go to the setting that comes first. Inputs are assembled once and stored
+    in memory; rounds fit at once. ``validation`` names a boolean column; without such rows the first
+    setting is returned and nothing is tried. A trial is (round, setting, trees allowed, error, survived).
+    """
+    if rows.filter(validation).isEmpty():
+        return settings[0], []
+    ready = placed(VectorAssembler(inputCols=features, outputCol="inputs").transform(rows).select("inputs", label, validation))
+    held_out = ready.filter(validation)
+
+    def error(item: tuple[int, int]) -> float:
+        place, trees = item
+        model = GBTRegressor(featuresCol="inputs", labelCol=label, predictionCol="prediction", maxIter=trees,
+                             validationIndicatorCol=validation, **{**fixed, **settings[place]}).fit(ready)
+        return model.transform(held_out).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+
+    alive, trials = list(range(len(settings))), []
+    try:
+        for i, trees in enumerate(budgets):
+            errors = fit_each([(place, trees) for place in alive], error)
+            order = sorted(alive, key=lambda place: (errors[place, trees], place))
+            alive = order[:1 if i == len(budgets) - 1 else max(1, -(-len(order) // keep))]
+            trials += [(i, str(settings[p]), trees, errors[p, trees], p in alive) for p in order]
+    finally:
+        ready.unpersist()
+    return settings[alive[0]], trials
+
+
 @dataclass
 class ModelSet:
     """Fitted models by category with the features they expect."""

@@ -375,3 +375,16 @@ def test_folds_fit_their_own_rows(spark):
         assert seen > 15
     scored = origins.refit_each_fold(df, ["x1"], 40, 20, 10)
     assert scored.columns == [*df.columns, "fold", PRED] and scored.filter(F.col(PRED).isNotNull()).count() > 100
+
+
+def test_halving_keeps_the_best(spark, months):
+    rows = windows.hybrid_monthly_features(months).filter(F.col(CATEGORY) == "Bus").withColumn("v", F.col(DATE) >= F.lit("2001-01-01").cast("date"))
+    settings = models.spread_settings((0.1, 0.3), (2,), (5, 400), (1.0,))
+    best, trials = models.halving_search(rows, "v", ["Lag_1", "Lag_12", "Month"], settings, (2, 4), 2, seed=1)
+    assert [t[0] for t in trials] == [0] * 4 + [1] * 2 and {t[2] for t in trials if t[0] == 1} == {4}
+    for i, going_on in ((0, 2), (1, 1)):
+        ranked = [t for t in trials if t[0] == i]
+        assert [t[3] for t in ranked] == sorted(t[3] for t in ranked) and [t[4] for t in ranked] == [True] * going_on + [False] * (len(ranked) - going_on)
+    assert {t[1] for t in trials if t[0] == 1} == {t[1] for t in trials if t[0] == 0 and t[4]}
+    assert str(best) == next(t[1] for t in trials if t[0] == 1 and t[4])
+    assert models.halving_search(rows.withColumn("v", F.lit(False)), "v", ["Lag_1"], settings) == (settings[0], [])
