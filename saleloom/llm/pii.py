@@ -202,7 +202,8 @@ def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALIS
 
     # an entity of every document tells nothing, and a term needs as many documents as a pair needs texts
     rare = terms.filter((F.col("n_term") >= least) & (within_reach(F.lit(float(most))) | (F.col("n_term") <= most)))
-    words = held.select("key", F.explode(F.array_distinct(F.col("near.term"))).alias("term")).distinct().join(rare, "term")
+    # copies of a text go once its words lie by term, which needs no shuffle of its own
+    words = held.select("key", F.explode(F.array_distinct(F.col("near.term"))).alias("term")).join(rare, "term").distinct()
     near = (by_text.join(n_entity, "entity").join(words, "key")
             .filter(within_reach(F.col("n_entity")) | (F.col("n_term") <= F.col("n_entity"))))
     pairs = (near.groupBy("entity", "n_entity", "term", "n_term")
