@@ -202,12 +202,14 @@ def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALIS
 
     # an entity of every document tells nothing, and a term needs as many documents as a pair needs texts
     rare = terms.filter((F.col("n_term") >= least) & (within_reach(F.lit(float(most))) | (F.col("n_term") <= most)))
-    # copies of a text go once its words lie by term, which needs no shuffle of its own
-    words = held.select("key", F.explode(F.array_distinct(F.col("near.term"))).alias("term")).join(rare, "term").distinct()
-    near = (by_text.join(n_entity, "entity").join(words, "key")
+    known = by_text.join(n_entity, "entity")
+    # only texts with an entity that can have a pair; their copies go once words lie by term, which needs no shuffle of its own
+    texts = held.select("key", F.array_distinct(F.col("near.term")).alias("terms")).join(known.select("key").distinct(), "key", "left_semi")
+    words = texts.select("key", F.explode("terms").alias("term")).join(rare, "term").distinct()
+    near = (known.join(words, "key")
             .filter(within_reach(F.col("n_entity")) | (F.col("n_term") <= F.col("n_entity"))))
-    pairs = (near.groupBy("entity", "n_entity", "term", "n_term")
-             .agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least))
+    pairs = (near.groupBy("entity", "term").agg(F.max("n_term").alias("n_term"), F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+             .filter(F.col("texts") >= least).join(n_entity, "entity"))
     share = (F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
              / F.log2(total / F.col("n_entity")))
     share = F.when(F.col("n_entity") < total, share)
