@@ -221,11 +221,12 @@ def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, key and the added spans of the rows that have any; the stronger measure wins a place."""
     pairs = stored(pairs, "pairs")
     held = found.filter("size(entities) > 0")
-    # the terms of a text first, whichever of its entities they reveal; then their places
-    terms = (held.select("key", F.explode("entities").alias("entity")).distinct().join(pairs, "entity")
-             .groupBy("key", "term").agg(F.max("kind").alias("kind")))
-    places = held.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.term", "x.start", "x.end").distinct()
-    return (places.join(terms, ["key", "term"])
+    # the terms of a text first, whichever of its entities they reveal; then their places, in texts that have such terms
+    terms = stored(held.select("key", F.explode("entities").alias("entity")).distinct().join(pairs, "entity")
+                   .groupBy("key", "term").agg(F.max("kind").alias("kind")), "touched")
+    touched = held.select("doc_id", "key", "near").join(terms.select("key").distinct(), "key", "left_semi")
+    places = touched.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.term", "x.start", "x.end")
+    return (places.join(terms, ["key", "term"]).distinct()
             .groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")))
 
 
