@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,9 +198,20 @@ def without_repeats(events: DataFrame, key: str, folder: str, checkpoint: str, t
     """First arrival of each event, whatever its age; a repeat carries the event's own time.
 
     Stored rows lie by event date. A batch reads the keys of the dates it touches, drops
-    what is there and adds the rest in its own place.
+    what is there and adds the rest in its own place. A batch without rows leaves no file, so
+    the schema of the stored rows is told, never read from them.
     """
     spark = events.sparkSession
+    kept = T.StructType([*(f for f in events.schema.fields if f.name not in ("event_date", "batch")),
+                         T.StructField("batch", T.LongType()), T.StructField("event_date", T.DateType())])
+
+    def so_far() -> DataFrame:
+        try:
+            return spark.read.schema(kept).parquet(folder)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], kept)
 
     def write(rows: DataFrame, batch_id: int) -> None:
         dated = rows.withColumn("event_date", F.to_date(time)).dropDuplicates([key]).persist()
@@ -207,7 +219,7 @@ def without_repeats(events: DataFrame, key: str, folder: str, checkpoint: str, t
             fresh = dated
             if batch_id > 0:
                 dates = [r[0] for r in dated.select("event_date").distinct().collect()]
-                known = (spark.read.parquet(folder).filter((F.col("batch") < batch_id))
+                known = (so_far().filter((F.col("batch") < batch_id))
                          .filter(F.col("event_date").isin(dates) | F.col("event_date").isNull()).select(key))
                 fresh = dated.join(known, key, "left_anti")
             fresh.write.mode("overwrite").partitionBy("event_date").parquet(f"{folder}/batch={batch_id}")
@@ -215,7 +227,7 @@ def without_repeats(events: DataFrame, key: str, folder: str, checkpoint: str, t
             dated.unpersist()
 
     start(events, checkpoint, batch=write, trigger=trigger).awaitTermination()
-    return spark.read.parquet(folder).drop("batch", "event_date")
+    return so_far().drop("batch", "event_date")
 
 
 def as_event_time(column: str) -> Column:

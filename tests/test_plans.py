@@ -325,6 +325,18 @@ def test_repeats_go_whatever_their_age(spark, sf_dir):
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_repeats_after_a_batch_without_rows(spark):
+    work = new_folder(spark, "test-repeats")
+    rows = spark.createDataFrame([(k, f"2024-01-0{k + 1} 10:00:00", k * 1.5) for k in range(4)], "id long, t string, actual double")
+    rows = rows.select("id", F.col("t").cast("timestamp").alias("timestamp"), "actual").coalesce(1)
+    for part in (rows.limit(0), rows, rows.filter("id > 1")):  # each of them is a batch of its own, the first without rows
+        part.write.mode("append").parquet(f"{work}/in")
+        stream = jobs.file_stream(spark, f"{work}/in", rows.schema, files_per_batch=1)
+        got = jobs.without_repeats(stream, "id", f"{work}/out", f"{work}/checkpoint")
+    assert got.columns == rows.columns
+    assert sorted(got.collect()) == sorted(rows.collect())
+
+
 def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
     from saleloom import session
 
