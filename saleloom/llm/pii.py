@@ -45,6 +45,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+# every text with a span matches this one; Spark's own regular expressions read it
+MAY_HOLD = (r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
+            r"|[0-9](?:[ -]?[0-9]){12}|\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -202,7 +205,7 @@ def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALIS
 
     # an entity of every document tells nothing, and a term needs as many documents as a pair needs texts
     rare = terms.filter((F.col("n_term") >= least) & (within_reach(F.lit(float(most))) | (F.col("n_term") <= most)))
-    known = by_text.join(n_entity, "entity")
+    known = stored(by_text.join(n_entity, "entity"), "known")
     # only texts with an entity that can have a pair; their copies go once words lie by term, which needs no shuffle of its own
     texts = held.select("key", F.array_distinct(F.col("near.term")).alias("terms")).join(known.select("key").distinct(), "key", "left_semi")
     words = texts.select("key", F.explode("terms").alias("term")).join(rare, "term").distinct()
@@ -218,14 +221,19 @@ def disclosive(found: DataFrame, terms: DataFrame, generalise: float = GENERALIS
 
 
 def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, key and the added spans of the rows that have any; the stronger measure wins a place."""
+    """doc_id, key and the added spans of the rows that have any; the stronger measure wins a place.
+
+    An entity's terms are as many as its texts make them, so the two never meet by entity alone: a text's
+    words come first, those of them that are terms at all, and each with an entity of its text is looked up.
+    """
     pairs = stored(pairs, "pairs")
     held = found.filter("size(entities) > 0")
-    # the terms of a text first, whichever of its entities they reveal; then their places, in texts that have such terms
-    terms = stored(held.select("key", F.explode("entities").alias("entity")).distinct().join(pairs, "entity")
-                   .groupBy("key", "term").agg(F.max("kind").alias("kind")), "touched")
-    touched = held.select("doc_id", "key", "near").join(terms.select("key").distinct(), "key", "left_semi")
-    places = touched.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.term", "x.start", "x.end")
+    places = held.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.term", "x.start", "x.end")
+    places = stored(places.join(pairs.select("term").distinct(), "term"), "places")
+    entities = (held.select("key", F.explode("entities").alias("entity"))
+                .join(pairs.select("entity").distinct(), "entity", "left_semi").distinct())
+    met = places.select("key", "term").distinct().join(entities, "key").join(pairs, ["entity", "term"])
+    terms = stored(met.groupBy("key", "term").agg(F.max("kind").alias("kind")), "touched")
     return (places.join(terms, ["key", "term"]).distinct()
             .groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added")))
 
@@ -272,12 +280,16 @@ def replace_spans(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans of every text replaced; n_chars, where there is one, follows the text."""
+    """``docs`` with the spans of every text replaced; n_chars, where there is one, follows the text.
+
+    Only texts that may hold a pattern meet the added spans; the others stay where they lie.
+    """
     added = stored(find(docs).filter("size(added) > 0").select(
         F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("added").alias("_added")).dropDuplicates(["_doc", "_key"]),
         "added")
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("row"), row_key(F.col("text")).alias("_row_key"))
+    may_hold = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
+    rows = docs.filter(may_hold).select(F.struct("*").alias("row"), row_key(F.col("text")).alias("_row_key"))
     same = F.col("row.doc_id").eqNullSafe(added["_doc"]) & (F.col("_row_key") == added["_key"])
     met = rows.join(added, same, "left").select("row.*", "_added")
     place = names.index("text")
@@ -294,7 +306,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 columns[place] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = met.mapInArrow(run, docs.schema)
+    out = docs.filter(~may_hold).union(met.mapInArrow(run, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

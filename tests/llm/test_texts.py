@@ -9,6 +9,7 @@ from itertools import product
 import public_tokenizers
 import pytest
 from fixtures import awkward, awkward_texts, docs_of, empty
+from pyspark.sql import functions as F
 
 from saleloom.llm import chat, decontam, html_extract, pii
 
@@ -327,6 +328,32 @@ def test_added_spans_equal_counts_by_hand(spark):
     assert kinds.count("remove") > 10 and kinds.count("generalise") > 10 and len(text) == len(found)
 
 
+def test_terms_meet_entities_by_text(spark, monkeypatch):
+    """Many texts of one entity, each pair of them with a term of its own: no text meets the terms of the others."""
+    kept = {}
+
+    def noted(df, name, stored=pii.stored):
+        kept[name] = stored(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(pii, "stored", noted)
+    rows = [(i, f"{w} term{w}xy at u{i}@mail.example.org") for i in range(200) for w in ["".join(chr(97 + int(c)) for c in f"{i // 2:03d}")]]
+    rows += [(1000 + i, "nothing here") for i in range(2000)]
+    found = pii.find(docs_of(spark, rows)).filter("size(added) > 0").collect()
+    assert len(found) == 200 and all(len(r["added"]) == 3 for r in found)
+    assert kept["touched"].count() == 600  # 200 texts, three terms each
+
+
+def test_untouched_texts_are_not_joined(spark):
+    for text in ("a@b.c", "x 1.2.3.4", "4111-1111 1111 1111", "+1 (555) 010-1234", "._@-.-", "0001.002.03.4"):
+        assert pii.base_spans(text) and spark.range(1).select(F.lit(text).rlike(pii.MAY_HOLD)).first()[0], text
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+             for alphabet in ("ab@.1-", "0123.+ -()@a", "1234567890- +", "12.0255") for _ in range(2000)]
+    seen = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.col("t").rlike(pii.MAY_HOLD)).collect()
+    assert all(may or not pii.base_spans(texts[i]) for i, may in seen)
+
+
 def test_spans_table(spark):
     rows = awkward_texts()
     got = pii.span_digests(awkward(spark)).collect()
