@@ -8,9 +8,9 @@ so equal windows have equal anchors wherever they stand, and only about every fi
 2. Documents that hold such anchors give segments: the words of the windows around one anchor.
    Segments meet by anchor; that is a shard's share of all documents. An anchor of more than SHARE
    segments is dealt over several tasks, and its segments carry the number of their share.
-3. In each shard the windows that two documents hold are confirmed word by word, with the smallest
-   doc_id, and compiled into an automaton; all segments of the shard stream through it, which locates
-   every occurrence. The shares of a busy anchor first hand in their windows, whose smallest doc_id is taken
+3. For each anchor the windows that two documents hold are confirmed word by word, with the smallest
+   doc_id, and compiled into an automaton; the segments of the anchor stream through it, which locates
+   every occurrence. A window has one anchor, so automata stay small and need nothing of the other anchors. The shares of a busy anchor first hand in their windows, whose smallest doc_id is taken
    overall, and get back the confirmed ones that they hold themselves, so no window travels more often than
    it occurs; then they stream their segments through the automaton of these.
 4. The words of the located windows leave their documents.
@@ -33,7 +33,7 @@ from saleloom.session import stored
 WINDOW = 13
 GRAM = 5
 SHARE = 20_000  # segments of one anchor that one task takes, some 2 MB
-SHARD = 5_000  # segments at which an automaton of several anchors is closed
+SHARD = 5_000  # segments after which a task hands on what its automata have found
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,8 +264,11 @@ _HITS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int
 _HITS_TYPE = "doc_id long, key long, start long, end long"
 
 
-def _stream(rows: list[tuple], window: int, given: list[tuple[bytes, int, int]] | None = None) -> pa.RecordBatch:
-    """Confirm, compile and stream the segments of one shard; with ``given`` phrases nothing is confirmed here.
+_Hits = tuple[list[int], list[int], list[int], list[int]]  # the columns of _HITS
+
+
+def _stream(rows: list[tuple], window: int, out: _Hits, given: list[tuple[bytes, int, int]] | None = None) -> None:
+    """Confirm, compile and stream the segments of one anchor; with ``given`` phrases nothing is confirmed here.
 
     Equal segments are read once, for all documents that hold them.
     """
@@ -282,7 +285,6 @@ def _stream(rows: list[tuple], window: int, given: list[tuple[bytes, int, int]]
         for text, low, high in given:
             phrases.holders[phrases.numbers(text)] = [low, high]
     automaton = phrases.compile()
-    out: tuple[list, ...] = ([], [], [], [])
     for words, same in read if automaton is not None else ():
         occurrences = list(automaton.iter(words))
         if not occurrences:
@@ -295,6 +297,9 @@ def _stream(rows: list[tuple], window: int, given: list[tuple[bytes, int, int]]
                 out[1].append(key)
                 out[2].append(first + a)
                 out[3].append(first + b)
+
+
+def _hits(out: _Hits) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_HITS)
 
 
@@ -303,19 +308,29 @@ def _columns(batch: pa.RecordBatch | pa.Table, *names: str) -> list[list]:
             for n in names]
 
 
+def _by_anchor(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """What the automaton of each anchor locates; the rows of an anchor stand side by side."""
+    rows: list[tuple] = []
+    out, seen, last = ([], [], [], []), 0, None
+    for batch in batches:
+        for anchor, *row in zip(*_columns(batch, "anchor", "doc_id", "key", "first", "text"), strict=True):
+            if anchor != last and rows:
+                _stream(rows, window, out)
+                seen += len(rows)
+                rows = []
+                if seen >= SHARD:
+                    yield _hits(out)
+                    out, seen = ([], [], [], []), 0
+            last = anchor
+            rows.append(row)
+    _stream(rows, window, out)
+    yield _hits(out)
+
+
 def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, start, end of the stretches to remove, from stored segments."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        last = None
-        for batch in batches:
-            for anchor, *row in zip(*_columns(batch, "anchor", "doc_id", "key", "first", "text"), strict=True):
-                if anchor != last and len(rows) >= SHARD:
-                    yield _stream(rows, window)
-                    rows = []
-                last = anchor
-                rows.append(row)
-        yield _stream(rows, window)
+        return _by_anchor(batches, window)
 
     cold = (found.filter("share < 0").drop("share").repartition("anchor").sortWithinPartitions("anchor")
             .mapInArrow(whole, _HITS_TYPE))
@@ -347,7 +362,8 @@ def located(found: DataFrame, window: int = WINDOW) -> DataFrame:
     def against(phrases: pa.Table, rows: pa.Table) -> pa.Table:
         given = list(zip(*_columns(phrases, "phrase", "low", "high"), strict=True))
         held = list(zip(*_columns(rows, "doc_id", "key", "first", "text"), strict=True))
-        return pa.Table.from_batches([_stream(held, window, given)])
+        _stream(held, window, out := ([], [], [], []), given)
+        return pa.Table.from_batches([_hits(out)])
 
     hot = (spread.groupBy("anchor", "share").cogroup(dealt.groupBy("anchor", "share"))
            .applyInArrow(against, _HITS_TYPE))

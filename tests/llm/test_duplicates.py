@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import awkward, awkward_texts, docs_of, empty
@@ -130,3 +131,21 @@ def test_stars_follow_chains(spark):
     got = {r["node"]: r["root"] for r in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(1, 41)} | {100: 90, 95: 90} | {200 + i: 200 for i in range(1, 30)}
     assert got == want
+
+
+def test_every_anchor_has_its_automaton(monkeypatch):
+    """An anchor's segments stream through their own phrases alone, wherever a batch ends."""
+    sizes = []
+    build = substring_dedup.PhraseAutomaton.compile
+
+    def noted(self):
+        sizes.append(len(self.holders))
+        return build(self)
+
+    monkeypatch.setattr(substring_dedup.PhraseAutomaton, "compile", noted)
+    rows = [(a, d, 7, 3, " ".join(f"w{a}.{i}" for i in range(15)).encode()) for a in range(20) for d in (1, 2, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["anchor", "doc_id", "key", "first", "text"])
+    got = [r for b in substring_dedup._by_anchor(iter([batch.slice(0, 31), batch.slice(31)]), 13) for r in b.to_pylist()]
+    assert sizes[:20] == [3] * 20 and not any(sizes[20:])  # three windows of 13 in 15 words
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in got) == sorted((d, 3, 18) for d in (2, 5) for _ in range(20))
+    assert not sum(b.num_rows for b in substring_dedup._by_anchor(iter([]), 13))
