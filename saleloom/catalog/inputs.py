@@ -34,34 +34,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales rows before cleaning: unknown states, missing and untidy classes."""
+    """Sales rows before cleaning: unknown states, missing and untidy classes.
+
+    Classes are named once a part, days and states once an order; the wide join, that with
+    the orders, comes last, so its rows are not shuffled again before they are summed.
+    """
     items = table(spark, sf_dir, "lineitem").select(*SOURCE_ORDER, "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    buyers = (orders.join(customers, orders.o_custkey == customers.c_custkey)
-              .join(nations, F.col("c_nationkey") == nations.n_nationkey))
-    joined = (items.join(buyers, items.l_orderkey == buyers.o_orderkey)
-              .join(parts, F.col("l_partkey") == parts.p_partkey))
     by_type = F.lit("EXCAVATOR")
     for part_type, name in CLASS_OF_TYPE.items():
         by_type = F.when(F.col("p_type") == part_type, name).otherwise(by_type)
+    classes = parts.select("p_partkey", by_type.alias("_class"))
+    buyers = (orders.join(customers, orders.o_custkey == customers.c_custkey)
+              .join(nations, F.col("c_nationkey") == nations.n_nationkey)
+              .select("o_orderkey", F.col("o_orderdate").cast("date").alias(DATE),
+                      F.when(F.col("c_custkey") % 97 == 0, "Unknown").otherwise(F.col("n_name")).alias(STATE)))
+    joined = (items.join(classes, items.l_partkey == classes.p_partkey)
+              .join(buyers, items.l_orderkey == buyers.o_orderkey))
     return joined.select(
-        F.col("o_orderdate").cast("date").alias(DATE),
-        F.when(F.col("c_custkey") % 97 == 0, "Unknown").otherwise(F.col("n_name")).alias(STATE),
-        F.when(F.col("l_orderkey") % 89 != 0, by_type).alias("Vehicle_Class"),
+        DATE, STATE, F.when(F.col("l_orderkey") % 89 != 0, F.col("_class")).alias("Vehicle_Class"),
         F.col("l_quantity").cast("long").alias(QTY), *SOURCE_ORDER)
 
 
+def known_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.drop_unknown(raw_sales(spark, sf_dir), "Vehicle_Class")
+
+
 def clean_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = clean.drop_unknown(raw_sales(spark, sf_dir), "Vehicle_Class")
+    known = known_sales(spark, sf_dir)
     return known.select(DATE, STATE, category_by_rules(F.col("Vehicle_Class")).alias(CATEGORY),
                         QTY, *SOURCE_ORDER)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.sum_by_key(clean_sales(spark, sf_dir))
+    """Clean sales by panel key. They are summed by class first: the text rules see one row a day, state and class."""
+    by_class = merge.sum_by_key(known_sales(spark, sf_dir), [DATE, STATE, "Vehicle_Class"])
+    return merge.sum_by_key(by_class.select(DATE, STATE, category_by_rules(F.col("Vehicle_Class")).alias(CATEGORY), QTY))
 
 
 def stored_sales(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,20 @@ from saleloom.functions.rules import STANDARD_CATEGORIES
 from saleloom.schema import CATEGORY, DATE, QTY, SERIES, STATE
 
 
-def place_by_series(df: DataFrame, series: list[str] = SERIES) -> DataFrame:
+ROWS_PER_TASK = 10_000  # a task makes the code of all its windows anew, which costs what thousands of rows do
+
+
+def place_by_series(df: DataFrame, rows: int | None = None, series: list[str] = SERIES) -> DataFrame:
     """Hash placement by series for the windows that follow.
 
     The number of partitions is named, because adaptive execution would size them
-    by bytes and windows cost far more than their bytes.
+    by bytes and windows cost far more than their bytes. It is that of the session, or
+    fewer where ``rows`` tells how many rows there are: a panel is bounded by its series
+    and days, however many sales it was summed from.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        parts = min(parts, max(1, -(-rows // ROWS_PER_TASK)))
     return df.repartition(parts, *series)
 
 
@@ -25,8 +32,12 @@ def dense_calendar(panel: DataFrame, categories: list[str] = STANDARD_CATEGORIES
     States come from the panel, categories are the standard ones and days are
     generated, so nothing is cross-joined. Zero rows and sales rows are united and
     summed by key; rows are placed by series first, so the sum and every later
-    window over a series share one shuffle.
+    window over a series share one shuffle. The panel is best stored: its size is
+    looked up first.
     """
+    size = panel.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(STATE)).alias("states"),
+                     (F.datediff(F.max(DATE), F.min(DATE)) + 1).alias("days")).first()
+    rows = size["rows"] + size["states"] * len(categories) * (size["days"] or 0)
     span = panel.agg(F.struct(F.min(DATE).alias("a"), F.max(DATE).alias("b")).alias("span"))
     span = span.scalar()
     zeros = (panel.select(STATE).distinct()
@@ -35,7 +46,7 @@ def dense_calendar(panel: DataFrame, categories: list[str] = STANDARD_CATEGORIES
                      F.explode(F.sequence(span.getField("a"), span.getField("b"))).alias(DATE),
                      F.lit(0).cast("long").alias(QTY)))
     facts = panel.select(STATE, CATEGORY, DATE, QTY)
-    return (place_by_series(zeros.unionByName(facts))
+    return (place_by_series(zeros.unionByName(facts), rows)
             .groupBy(STATE, CATEGORY, DATE).agg(F.sum(QTY).alias(QTY))
             .select(DATE, STATE, CATEGORY, QTY))
 

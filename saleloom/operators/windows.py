@@ -261,11 +261,12 @@ def daily_features(panel: DataFrame, spec: DailySpec = DailySpec(),
     need other placements than the series windows, which then share one shuffle.
     In ``shifted`` mode every figure that would contain the row's own quantity is
     computed from earlier rows, and the ratios use the previous day's quantity.
+    The panel is best stored: with group means its rows are counted first.
     """
     windows = list(spec.windows)
     df = panel
     if spec.group_means:
-        df = place_by_series(add_group_means(df, spec.means_until))
+        df = place_by_series(add_group_means(df, spec.means_until), panel.count())
     df = mark_holidays(df, holidays) if holidays is not None else df
     emas = ewma if spec.mode == "inclusive" else shifted_ewma
     df = emas(df, windows, name="ema_{n}")
